@@ -1,12 +1,12 @@
 """Language of whole texts, with the spans of mixed ones (operator 6).
 
-Training counts character n-grams (1 to 4, with word bounds) of the words of labelled texts, by language, and which scripts (Unicode
-ranges) the letters of each language are of. A word's scores are naive Bayes log-likelihoods; languages that don't write the word's
-script are ruled out before. Over the words of a text, Viterbi with a constant switching penalty gives the likeliest sequence of
-languages; runs of one language are its spans, and the language with most letters is the text's.
+Training counts hashed character n-grams (2 and 3, with word bounds) of the words of labelled texts, by language, and which scripts
+(Unicode ranges) the letters of each language are of. A word's scores are naive Bayes log-likelihoods; languages that don't write the
+word's script are ruled out before. Over the words (runs of letters) of a text, Viterbi with a constant switching penalty gives the
+likeliest sequence of languages; runs of one language are its spans, and the language with most letters is the text's.
 
-Training rows are a sample by hash of the id of at most about `most_rows` rows in all (documented bound); n-grams are kept down to a
-count of 2, and at most `most_grams` of them, which bounds the model (broadcast). Prediction reads the whole text, nothing else.
+Training rows are a sample by hash of the id of at most about `most_rows` rows in all (documented bound). The model is one table of
+`buckets` rows by languages (broadcast). Prediction reads the whole text, nothing else.
 
 score: the share of letters in spans of the predicted language, times the mean posterior of that language over those spans.
 
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carry, durable, small_batches, spread, table, words
+from .common import carry, chunks, mix, small_batches, spread, table
 
 #: First code points of script ranges, and their names (Unicode blocks; fixed values).
 SCRIPTS = [
@@ -40,8 +40,11 @@ SCRIPTS = [
 ]
 _STARTS = [a for a, _ in SCRIPTS]
 _LETTERS = re.compile(r"[^\W\d_]+")
-MAX_N = 4
+GRAMS = (2, 3)
+BUCKETS = 1 << 17
 PENALTY = 6.0
+#: Characters worked on at once: side by side, long texts cost less.
+CHUNK = 2_000_000
 
 
 def script_of(word: str) -> str:
@@ -52,20 +55,24 @@ def script_of(word: str) -> str:
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-cased words, reduced to their letters; words without letters are left out."""
-    out = []
-    for w in words(text.lower() if text else None):
-        if not w.isalpha():
-            w = "".join(_LETTERS.findall(w))
-            if not w:
-                continue
-        out.append(w)
-    return out
-
-
-def grams(word: str) -> list[str]:
-    w = f"^{word}$"
-    return [w[i : i + n] for n in range(1, MAX_N + 1) for i in range(len(w) - n + 1)]
+    """Runs of letters, lower-cased."""
+    return _LETTERS.findall(text.lower()) if text else []
+
+
+def gram_buckets(uniques: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all words, one word after another for each n, and the word of each."""
+    chars = np.frombuffer(("^" + "$^".join(uniques) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, uniques), np.int64, len(uniques)) + 2
+    word = np.repeat(np.arange(len(uniques)), sizes)
+    at, of = [], []
+    for n in GRAMS:
+        h = np.full(len(chars) - n + 1, n, np.uint64)
+        for i in range(n):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + chars[i : len(chars) - n + 1 + i])
+        inside = word[: len(h)] == word[n - 1 :]
+        at.append((h[inside] & np.uint64(buckets - 1)).astype(np.int64))
+        of.append(word[: len(h)][inside])
+    return np.concatenate(at), np.concatenate(of)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,67 +82,75 @@ def held_out(doc_id: Column) -> Column:
 @dataclass
 class Model:
     langs: list[str]
-    table: dict[str, np.ndarray]  # n-gram -> log-likelihoods by language
-    unseen: np.ndarray
-    scripts: dict[str, np.ndarray]  # script -> 0 or -inf-like by language
-
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log-likelihoods of a word, and ruled-out languages far below; at most the word's first and last 32 letters count less."""
-        g = grams(word)
-        get, unseen = self.table.get, self.unseen
-        s = np.zeros(len(self.langs), np.float32)
-        for x in g:
-            s += get(x, unseen)
-        # n-grams overlap: scaled to about one independent observation a letter
-        s *= 1.0 / MAX_N
-        ruled = self.scripts.get(script_of(word))
-        return s - s.max() if ruled is None else (s + ruled) - (s + ruled).max()
-
-
-def train(docs: DataFrame, most_rows: int = 40_000, most_grams: int = 300_000) -> Model:
+    table: np.ndarray  # buckets x languages: log-likelihoods
+    scripts: dict[str, np.ndarray]  # script -> 0, or far below for languages that don't use it
+
+    def word_scores(self, uniques: list[str]) -> np.ndarray:
+        """Log-likelihoods of words relative to each one's best language, ruled-out languages far below."""
+        at, of = gram_buckets(uniques, len(self.table))
+        out = np.empty((len(uniques), len(self.langs)), np.float32)
+        for i in range(len(self.langs)):
+            # n-grams overlap: scaled to about one independent observation a letter
+            out[:, i] = np.bincount(of, weights=self.table[at, i], minlength=len(uniques)) / len(GRAMS)
+        for i, w in enumerate(uniques):
+            if (ruled := self.scripts.get("Latin" if w.isascii() else script_of(w))) is not None:
+                out[i] += ruled
+        return out - out.max(axis=1, keepdims=True)
+
+
+def train(docs: DataFrame, most_rows: int = 40_000, buckets: int = BUCKETS) -> Model:
     """From docs(doc_id, text, lang) whose lang isn't null; the caller leaves out what is held out."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     n = known.select("lang").count()
     if n > most_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_rows / n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        per: dict[str, Counter] = {}
+        counts: dict[str, np.ndarray] = {}
+        scripts: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                per.setdefault(lang, Counter()).update(tokens(text))
-        for lang, count in sorted(per.items()):
-            by_gram: Counter = Counter()
-            for w, c in count.items():
-                for g in grams(w):
-                    by_gram[g] += c
-                by_gram["script:" + script_of(w)] += c * len(w)
-            yield pd.DataFrame({"lang": lang, "gram": list(by_gram), "n": list(by_gram.values())})
-
-    counts = spread(known).mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = durable(counts)
-    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    kept = counts.where(~F.col("gram").startswith("script:")).groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = kept.where("all >= 2").orderBy(F.desc("all"), "gram").limit(most_grams).collect()
-    at = {lang: i for i, lang in enumerate(langs)}
-    table_ = np.full((len(rows), len(langs)), 0.5, np.float64)
-    totals = {r[0]: r[1] for r in counts.where(~F.col("gram").startswith("script:")).groupBy("lang").agg(F.sum("n")).collect()}
-    for i, r in enumerate(rows):
-        for lang, c in r["by"].items():
-            table_[i, at[lang]] += c
-    mass = np.array([totals.get(lang, 0) + 0.5 * (len(rows) + 1) for lang in langs]) if langs else np.empty(0)
-    logs = np.log(table_ / mass).astype(np.float32)
-    scripts: dict[str, np.ndarray] = {}
-    seen = counts.where(F.col("gram").startswith("script:")).collect()
-    letters = Counter()
-    for r in seen:
-        letters[r["lang"]] += r["n"]
-    for r in seen:
-        row = scripts.setdefault(r["gram"][7:], np.full(len(langs), -1e4, np.float32))
-        if r["n"] >= 0.01 * letters[r["lang"]]:
-            row[at[r["lang"]]] = 0.0
+            texts, langs = batch["text"].tolist(), batch["lang"].tolist()
+            for a, b in chunks(texts):
+                by_lang: dict[str, Counter] = {}
+                for text, lang in zip(texts[a:b], langs[a:b], strict=True):
+                    by_lang.setdefault(lang, Counter()).update(tokens(text))
+                for lang, found in by_lang.items():
+                    if not found:
+                        continue
+                    uniques = list(found)
+                    times = np.fromiter(found.values(), np.float64, len(uniques))
+                    at, of = gram_buckets(uniques, buckets)
+                    own = counts.setdefault(lang, np.zeros(buckets))
+                    own += np.bincount(at, weights=times[of], minlength=buckets)
+                    letters = scripts.setdefault(lang, Counter())
+                    for w, c in found.items():
+                        letters["Latin" if w.isascii() else script_of(w)] += c * len(w)
+        for lang, own in sorted(counts.items()):
+            at = np.flatnonzero(own)
+            yield pd.DataFrame({"lang": lang, "script": "", "bucket": at.astype(np.int32), "n": own[at].astype(np.int64)})
+            yield pd.DataFrame([(lang, s, 0, c) for s, c in sorted(scripts[lang].items())], columns=["lang", "script", "bucket", "n"])
+
+    found = spread(known).mapInPandas(run, "lang string, script string, bucket int, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n"))
+    # at most `buckets` rows a language, one row of arrays each
+    rows = found.groupBy("lang", "script").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).collect()
+    langs = sorted({r["lang"] for r in rows})
+    place = {lang: i for i, lang in enumerate(langs)}
+    counts = np.full((buckets, len(langs)), 0.5)
+    letters: Counter = Counter()
+    for r in rows:
+        if r["script"]:
+            letters[r["lang"]] += sum(r["n"])
+        else:
+            counts[np.array(r["at"], dtype=np.int64), place[r["lang"]]] += r["n"]
+    scripts = {}
+    for r in rows:
+        if r["script"]:
+            row = scripts.setdefault(r["script"], np.full(len(langs), -1e4, np.float32))
+            if sum(r["n"]) >= 0.01 * letters[r["lang"]]:
+                row[place[r["lang"]]] = 0.0
     scripts = {s: row for s, row in scripts.items() if (row == 0).any()}
-    return Model(langs, {r["gram"]: logs[i] for i, r in enumerate(rows)}, np.log(0.5 / mass).astype(np.float32) if langs else mass, scripts)
+    return Model(langs, np.log(counts / counts.sum(axis=0)).astype(np.float32), scripts)
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
@@ -173,39 +188,19 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, penalty:
     return labels
 
 
-class Cache:
-    """Scores of the words seen last, in rows of one table; it is emptied when full."""
-
-    def __init__(self, model: Model, size: int = 200_000):
-        self.model, self.size = model, size
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((size, len(model.langs)), np.float32)
-
-    def scores(self, uniques: list[str]) -> np.ndarray:
-        out = np.empty((len(uniques), len(self.model.langs)), np.float32)
-        for i, w in enumerate(uniques):
-            row = self.rows.get(w)
-            if row is None:
-                s = self.model.word_scores(w)
-                if len(self.rows) >= self.size:
-                    self.rows.clear()
-                self.rows[w] = row = len(self.rows)
-                self.table[row] = s
-            out[i] = self.table[row]
-        return out
-
-
-def label_batch(texts: list, cache: Cache, penalty: float) -> list[tuple]:
+def label_batch(texts: list, model: Model, penalty: float) -> list[tuple]:
     """(language, score, spans) of each text; spans: (language, first word, end word, letters)."""
-    langs = cache.model.langs
+    langs = model.langs
     per = [tokens(t) for t in texts]
     counts = np.array([len(x) for x in per], dtype=np.int64)
     flat = np.array([w for x in per for w in x], dtype=object)
     if not len(flat) or not langs:
         return [("und", 0.0, []) for _ in texts]
     codes, uniques = pd.factorize(flat)
-    scores = cache.scores(list(uniques))[codes]
+    uniques = uniques.tolist()
+    scores = model.word_scores(uniques)[codes]
     sizes = np.fromiter(map(len, uniques), np.int64, len(uniques))[codes]
+    del flat, codes, uniques
     ends = np.cumsum(counts)
     labels = viterbi(scores, ends - counts, counts, penalty)
     out = []
@@ -231,12 +226,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Cache(shared.value)
         for batch in batches:
-            texts = batch["text"].tolist()
-            rows = []
-            for a in range(0, len(texts), 500):
-                rows += label_batch(texts[a : a + 500], cache, penalty)
+            texts, rows = batch["text"].tolist(), []
+            for a, b in chunks(texts, CHUNK):
+                rows += label_batch(texts[a:b], shared.value, penalty)
             spans = [[{"lang": x, "start": a, "end": b, "letters": n} for x, a, b, n in s] for _, _, s in rows]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": spans})
 
@@ -251,12 +244,12 @@ def keep_identified(docs: DataFrame, model: Model, penalty: float = PENALTY) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        cache = Cache(shared.value)
+        model = shared.value
 
         def step(texts: list) -> tuple:
             rows = []
-            for a in range(0, len(texts), 500):
-                rows += label_batch(texts[a : a + 500], cache, penalty)
+            for a, b in chunks(texts, CHUNK):
+                rows += label_batch(texts[a:b], model, penalty)
             return [r[0] != "und" for r in rows], None
 
         return step
