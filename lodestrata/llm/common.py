@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,14 +61,6 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's k-word shingles; a text with fewer words is one shingle, none without words."""
-    h = hash_words(words(lower_az(text or "")))
-    if not len(h):
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(h, min(k, len(h))))
-
-
 _own_folders: dict[str, str] = {}
 
 
@@ -125,7 +118,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds: Arrow batches of at most so many rows (Spark's default is 10,000)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -149,3 +142,16 @@ def carry(docs: DataFrame, make) -> DataFrame:
             yield batch if keep is None else batch.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def chunks(texts: list, most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about so many characters (one longer text makes a run of its own): what is worked on at once."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > first and size + n > most_chars:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if len(texts) > first:
+        yield first, len(texts)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carry, hash_words, small_batches, spread, table, window_hashes, words
+from .common import carry, chunks, hash_words, small_batches, spread, table, window_hashes, words
 
 K, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 26, 9
 _DROPPED = b".,;:!?\"'()[]"
@@ -193,9 +193,14 @@ def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple]]:
 
 
 def _matches(index: Index, texts) -> list[tuple]:
-    per_doc = [normalised(t) for t in texts]
-    ends = np.cumsum([len(x) for x in per_doc]).astype(np.int64)
-    return index.matches(hash_words([w for x in per_doc for w in x]), ends)
+    texts, out = list(texts), []
+    for a, b in chunks(texts):
+        per_doc = [normalised(t) for t in texts[a:b]]
+        ends = np.cumsum([len(x) for x in per_doc]).astype(np.int64)
+        h = hash_words([w for x in per_doc for w in x])
+        del per_doc
+        out += [(a + d, *rest) for d, *rest in index.matches(h, ends)]
+    return out
 
 
 def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

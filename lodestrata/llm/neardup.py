@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, hash_words, lower_az, mix, parts, shingle_set, small_batches, spread, spread_join, table, window_hashes
+from .common import chunks, durable, hash_words, lower_az, mix, parts, small_batches, spread, spread_join, table, window_hashes, words
 from .components import connected_components
 
 TREES, DEPTH = 32, 5
@@ -56,37 +56,36 @@ def sketch(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flips, factors = _coefficients(coordinates)
         for batch in batches:
-            per_doc = [_words(t) for t in batch["text"]]
-            counts = np.array([len(x) for x in per_doc], dtype=np.int64)
-            flat = hash_words([w for x in per_doc for w in x])
-            del per_doc
-            windows = window_hashes(flat, k)
-            ends = np.cumsum(counts)
-            n_out, keys, sigs = [], [], []
-            for end, n in zip(ends, counts, strict=True):
-                if n >= k:
-                    s = np.unique(windows[end - n : end - k + 1])
-                elif n:
-                    s = np.unique(window_hashes(flat[end - n : end], int(n)))
-                else:
-                    s = flat[:0]
-                n_out.append(len(s))
-                if len(s):
-                    keys.append(f"{int(np.bitwise_xor.reduce(mix(s))):016x}{int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))):016x}{len(s):x}")
-                    sigs.append(signature(s, flips, factors))
-                else:
-                    keys.append(None)
-                    sigs.append(None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": np.array(n_out, dtype=np.int64), "set_key": keys, "sig": sigs})
+            texts, rows = batch["text"].tolist(), []
+            for first, last in chunks(texts):
+                for s in shingle_sets(texts[first:last], k):
+                    if len(s):
+                        key = f"{int(np.bitwise_xor.reduce(mix(s))):016x}{int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))):016x}{len(s):x}"
+                        rows.append((len(s), key, signature(s, flips, factors)))
+                    else:
+                        rows.append((0, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "sig"])
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            yield out
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key string, sig binary"
     return spread(docs.select("doc_id", "text")).mapInPandas(run, schema)
 
 
-def _words(text: str | None) -> list[str]:
-    from .common import words
-
-    return words(lower_az(text)) if text else []
+def shingle_sets(texts: list, k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, as shingle_set gives them, with the words of all texts hashed at once."""
+    per_doc = [words(lower_az(t)) if t else [] for t in texts]
+    flat = hash_words([w for x in per_doc for w in x])
+    counts = [len(x) for x in per_doc]
+    del per_doc
+    windows = window_hashes(flat, k)
+    end = 0
+    for n in counts:
+        end += n
+        if n >= k:
+            yield np.unique(windows[end - n : end - k + 1])
+        else:
+            yield np.unique(window_hashes(flat[end - n : end], n)) if n else flat[:0]
 
 
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -112,7 +111,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "s": [shingle_set(t, k).tobytes() for t in batch["text"]]})
+            texts = batch["text"].tolist()
+            found = [x.tobytes() for a, b in chunks(texts) for x in shingle_sets(texts[a:b], k)]
+            yield pd.DataFrame({"id": batch["doc_id"], "s": found})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     table_ = durable(found.mapInPandas(sets, f"id {kind}, s binary").dropDuplicates(["id"]))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, hash_words, small_batches, spread, table, window_hashes, words
+from .common import chunks, durable, hash_words, small_batches, spread, table, window_hashes, words
 
 BUCKETS = 1 << 16
 SYMBOLS = "#*$%&|<>"
@@ -72,6 +72,20 @@ class Grams:
         return self.one[a:b], self.two[a : max(a, b - 1)]
 
 
+def measure(texts: list, ratio: np.ndarray) -> list[tuple]:
+    """The base counts and score of each text."""
+    g = Grams(texts, len(ratio))
+    windows = window_hashes(g.h, WINDOW)
+    rows = []
+    for i, text in enumerate(texts):
+        n, end = int(g.n[i]), int(g.ends[i])
+        one, two = g.of(i)
+        score = float(ratio[one].sum(dtype=np.float64) + ratio[two].sum(dtype=np.float64)) / (len(one) + len(two)) if n else 0.0
+        twice = repeated_words(windows[end - n : max(end - n, end - WINDOW + 1)], n, WINDOW)
+        rows.append((n, sum(map(len, g.words[i])), sum(map(text.count, SYMBOLS)) if text else 0, repeated_lines(text) if text else 0, twice, score))
+    return rows
+
+
 def labelled(labels: DataFrame, value: int, most: int) -> DataFrame:
     """doc_id of the documents with that quality; at most about `most`, by hash of the id."""
     ids = labels.where((F.col("quality") == value) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
@@ -85,17 +99,19 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, trusted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            g = Grams(batch["text"].tolist(), buckets)
-            for i, is_target in enumerate(batch["target"]):
-                if is_target:
-                    for x in g.of(i):
-                        np.add.at(trusted, x, 1)
-            raw += np.bincount(g.one, minlength=buckets)
-            # pairs across two texts aren't pairs of the corpus
-            inner = np.ones(len(g.two), bool)
-            cut = g.ends[:-1] - 1
-            inner[cut[(cut >= 0) & (cut < len(inner))]] = False
-            raw += np.bincount(g.two[inner], minlength=buckets)
+            texts, targets = batch["text"].tolist(), batch["target"].tolist()
+            for a, b in chunks(texts):
+                g = Grams(texts[a:b], buckets)
+                for i, is_target in enumerate(targets[a:b]):
+                    if is_target:
+                        for x in g.of(i):
+                            np.add.at(trusted, x, 1)
+                raw += np.bincount(g.one, minlength=buckets)
+                # pairs across two texts aren't pairs of the corpus
+                inner = np.ones(len(g.two), bool)
+                cut = g.ends[:-1] - 1
+                inner[cut[(cut >= 0) & (cut < len(inner))]] = False
+                raw += np.bincount(g.two[inner], minlength=buckets)
         at = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "raw": raw[at], "target": trusted[at]})
 
@@ -114,23 +130,15 @@ def log_ratio(counts: DataFrame, buckets: int) -> np.ndarray:
 
 def base_and_score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """doc_id, the base counts and score of every document."""
-    buckets = len(ratio)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # 4 bytes a bucket
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for batch in batches:
-            texts = batch["text"].tolist()
-            g = Grams(texts, buckets)
-            windows = window_hashes(g.h, WINDOW)
-            rows = []
-            for i, text in enumerate(texts):
-                n = int(g.n[i])
-                end = int(g.ends[i])
-                one, two = g.of(i)
-                score = float(r[one].sum(dtype=np.float64) + r[two].sum(dtype=np.float64)) / (len(one) + len(two)) if n else 0.0
-                rows.append((n, sum(map(len, g.words[i])), sum(map(text.count, SYMBOLS)) if text else 0, repeated_lines(text) if text else 0, repeated_words(windows[end - n : max(end - n, end - WINDOW + 1)], n, WINDOW), score))
+            texts, rows = batch["text"].tolist(), []
+            for a, b in chunks(texts):
+                rows += measure(texts[a:b], r)
             out = pd.DataFrame(rows, columns=[*BASE, "score"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
