@@ -7,8 +7,9 @@ N all documents, a term is disclosive when
 
     PMI(c; t) = log(n_ct N / (n_c n_t))  >=  alpha * IC(c) = alpha * log(N / n_c)    and    n_ct >= support,
 
-that is, when knowing the term yields at least the share alpha of the entity's information content. A family is all texts with the
-same least word hash: copies and near copies count as one, so that a copied text does not make each of its words disclosive.
+that is, when knowing the term yields at least the share alpha of the entity's information content. A family is a text with its near
+copies (by MinHash bands of the word sets among an entity's texts; by the least word hash for n_t, where counting too many only raises
+the bar): a text that is copied does not make each of its words disclosive.
 Disclosive terms are generalised wherever they stand.
 
 Candidate terms and disclosive terms go to the executors in blocks of `block_terms`, one pass over the documents for each.
@@ -28,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carry, durable, hash_words, lower_az, small_batches, spread, table
+from .common import carry, durable, hash_words, lower_az, mix, small_batches, spread, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-ALPHA, SUPPORT, WINDOW = 0.9, 4, 8
+ALPHA, SUPPORT, WINDOW, BANDS = 0.9, 4, 8, 8
 MIN_TERM = 4
 _STRIP = ".,;:!?\"'()[]<>"
 
@@ -140,8 +141,18 @@ def _contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> set[
     return out
 
 
-def _pairs(docs: DataFrame, window: int) -> DataFrame:
-    """entity, term (null for the entity itself), family."""
+def _bands(tokens: set[str]) -> list[int]:
+    """Keys that texts with similar word sets share: MinHash coordinates, three at a time."""
+    x = (hash_words(sorted(tokens)) >> np.uint64(32)).astype(np.uint32)
+    i = np.arange(1, 3 * BANDS + 1, dtype=np.uint64)
+    flips, factors = (mix(i) >> np.uint64(32)).astype(np.uint32), (mix(~i) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    least = np.array([((x ^ f) * g).min() for f, g in zip(flips, factors, strict=True)], dtype=np.uint64)
+    keys = mix(mix(mix(least[::3] + np.arange(BANDS, dtype=np.uint64)) + least[1::3]) + least[2::3])
+    return keys.astype(np.int64).tolist()
+
+
+def _mentions(docs: DataFrame, window: int) -> DataFrame:
+    """entity, term (null for the entity itself), text (a hash of the whole text), bands (with the entity only)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,12 +160,31 @@ def _pairs(docs: DataFrame, window: int) -> DataFrame:
             for text in batch["text"]:
                 spans = find_base(text)
                 if spans:
-                    family = _family(set(lower_az(text).split()))
-                    rows += [(who, None, family) for who in {entity(k, text[s:e]) for s, k, e in spans}]
-                    rows += [(who, t, family) for who, t in _contexts(text, spans, window)]
-            yield pd.DataFrame(rows, columns=["entity", "term", "family"])
+                    tokens = set(lower_az(text).split())
+                    key = int(np.bitwise_xor.reduce(mix(hash_words(sorted(tokens)))).astype(np.int64))
+                    bands = _bands(tokens)
+                    rows += [(who, None, key, bands) for who in {entity(k, text[s:e]) for s, k, e in spans}]
+                    rows += [(who, t, key, None) for who, t in _contexts(text, spans, window)]
+            yield pd.DataFrame(rows, columns=["entity", "term", "text", "bands"])
+
+    return spread(docs.select("text")).mapInPandas(run, "entity string, term string, text long, bands array<long>")
+
+
+def _families(mentions: DataFrame, support: int) -> DataFrame:
+    """entity, text, family: the texts of each entity, near copies under one family.
 
-    return spread(docs.select("text")).mapInPandas(run, "entity string, term string, family long").distinct()
+    Texts that share a band take the least label among them, in three rounds, so that nearly all near copies of a text end up with
+    one label, however many there are. Entities in fewer than `support` texts can't support a term and are left out.
+    """
+    texts = mentions.where("term is null").groupBy("entity", "text").agg(F.first("bands").alias("bands"))
+    enough = texts.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("entity")
+    rows = durable(texts.join(enough, "entity", "left_semi").select("entity", "text", F.explode("bands").alias("band")))
+    labels = rows.select("entity", "text").distinct().withColumn("family", F.col("text"))
+    for _ in range(3):
+        here = rows.join(labels, ["entity", "text"])
+        least = here.groupBy("entity", "band").agg(F.min("family").alias("least"))
+        labels = durable(rows.join(least, ["entity", "band"]).groupBy("entity", "text").agg(F.min("least").alias("family")))
+    return labels
 
 
 def _blocks(terms: DataFrame, size: int) -> Iterator[frozenset[str]]:
@@ -186,10 +216,13 @@ def _term_families(docs: DataFrame, terms: frozenset[str]) -> DataFrame:
 def disclosive_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, window: int = WINDOW, block_terms: int = 200_000) -> DataFrame:
     """term, disclosure: terms over the threshold for some entity, with their largest PMI as a share of its information content."""
     small_batches(docs.sparkSession)
-    pairs = durable(_pairs(docs, window))
+    mentions = durable(_mentions(docs, window))
     n = max(2, docs.count())
-    of_entity = pairs.where("term is null").groupBy("entity").agg(F.count("*").alias("n_c"))
-    joint = pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
+    families = _families(mentions, support)
+    of_entity = families.groupBy("entity").agg(F.count_distinct("family").alias("n_c"))
+    terms = mentions.where("term is not null").select("entity", "term", "text").distinct()
+    joint = terms.join(families, ["entity", "text"]).select("entity", "term", "family").distinct()
+    joint = joint.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
     joint = durable(joint.join(of_entity, "entity"))
     seen = None
     for block in _blocks(joint.select("term").distinct(), block_terms):
