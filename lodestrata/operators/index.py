@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.regexes import literals
+from ..sources.tables import spread
 from . import search as S
 from .lines import split_lines
 
@@ -30,16 +31,30 @@ def grams_of(docs: DataFrame, n: int, folded: bool = False) -> DataFrame:
 
     Lines are taken apart into arrays of characters: substring() by position walks a string from its start each time.
     """
-    lines = split_lines(docs.select("doc_id", "text"))
+    lines = split_lines(spread(docs.select("doc_id", "text")))
     line = fold(F.col("line")) if folded else F.col("line")
     # split(x, '') gives one element a character
     x = lines.select("doc_id", F.split(line, "").alias("c")).where(F.size("c") >= n)
-    shift = lambda i: F.slice("c", F.lit(i + 1), F.size("c") - (n - 1))
+    pairs = F.zip_with(_grams(F.col("c"), n), F.slice("c", F.lit(n + 1), F.size("c")), lambda g, nx: F.struct(g.alias("gram"), nx.alias("next")))
+    x = x.select("doc_id", F.posexplode(pairs).alias("pos", "g"))
+    return x.select("doc_id", "g.gram", "pos", F.coalesce("g.next", F.lit("")).alias("next")).where("gram is not null")
+
+
+def _grams(chars: Column, n: int) -> Column:
+    """The n-grams of an array of at least n characters, in order."""
+    shift = lambda i: F.slice(chars, F.lit(i + 1), F.size(chars) - (n - 1))
     gram = shift(0)
     for i in range(1, n):
         gram = F.zip_with(gram, shift(i), lambda a, b: F.concat(a, b))
-    x = x.select("doc_id", F.posexplode(F.zip_with(gram, F.slice("c", F.lit(n + 1), F.size("c")), lambda g, nx: F.struct(g.alias("gram"), nx.alias("next")))).alias("pos", "g"))
-    return x.select("doc_id", "g.gram", "pos", F.coalesce("g.next", F.lit("")).alias("next")).where("gram is not null")
+    return gram
+
+
+def document_frequency(docs: DataFrame, n: int = 3) -> DataFrame:
+    """gram, df. Grams are made distinct within each row, so only counts by gram are shuffled."""
+    chars = F.transform(F.split("text", "\n", -1), lambda line: F.split(line, ""))
+    per_line = F.transform(F.filter(chars, lambda c: F.size(c) >= n), lambda c: F.array_distinct(_grams(c, n)))
+    each = spread(docs.select("text")).select(F.explode(F.array_distinct(F.flatten(per_line))).alias("gram"))
+    return each.groupBy("gram").agg(F.count("*").alias("df"))
 
 
 def _bit(n: Column) -> Column:
@@ -220,6 +235,7 @@ def sparse_grams(docs: DataFrame, most: int = 16) -> DataFrame:
     return lines.mapInPandas(run, "doc_id long, gram string").distinct()
 
 
-def top_grams(posting: DataFrame, k: int = 20) -> DataFrame:
-    w = Window.orderBy(F.desc("df"), "gram")
-    return gram_df(posting).orderBy(F.desc("df"), "gram").limit(k).withColumn("rank", F.row_number().over(w))
+def top_grams(frequencies: DataFrame, k: int = 20) -> DataFrame:
+    """The k commonest grams and their rank."""
+    top = frequencies.orderBy(F.desc("df"), "gram").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("df"), "gram")))

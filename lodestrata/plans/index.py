@@ -26,7 +26,7 @@ def _items(spark, d):
 
 @query(f"SELECT gram, count(DISTINCT doc_id) AS df FROM {DOCS} GROUP BY gram")
 def gram_df(spark, d):
-    return I.grams_of(_docs(spark, d), 3).groupBy("gram", "doc_id").agg(F.lit(1).alias("x")).groupBy("gram").agg(F.count("*").alias("df"))
+    return I.document_frequency(_docs(spark, d))
 
 
 @query(f"""SELECT gram, doc_id, bit_or(1::BIGINT << (pos % 8)) AS loc_mask, bit_or(CASE WHEN nx = '' THEN 0 ELSE 1::BIGINT << ((unicode(nx) * 31) % 8) END)::BIGINT AS next_mask,
@@ -42,7 +42,7 @@ def index_stats(spark, d):
 
 @query(f"""SELECT gram, df, row_number() OVER (ORDER BY df DESC, gram)::INT AS rank FROM (SELECT gram, count(DISTINCT doc_id) AS df FROM {DOCS} GROUP BY gram ORDER BY df DESC, gram LIMIT 20)""")
 def top_grams(spark, d):
-    return I.top_grams(I.postings(_docs(spark, d)))
+    return I.top_grams(I.document_frequency(_docs(spark, d)))
 
 
 @query("""SELECT bg, df, CASE WHEN r > .5 THEN .25 WHEN r > .2 THEN .5 WHEN r < .01 THEN 3 WHEN r < .05 THEN 2 ELSE 1 END::DOUBLE AS weight FROM (
@@ -50,7 +50,7 @@ def top_grams(spark, d):
     SELECT doc_id, substring(line, p, 2) AS bg FROM (SELECT doc_id, line, unnest(range(1, length(line))) AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 2)) GROUP BY bg)""")
 def bigram_df_idf(spark, d):
     docs = _docs(spark, d)
-    df = I.grams_of(docs, 2).groupBy("gram", "doc_id").agg(F.lit(1).alias("x")).groupBy("gram").agg(F.count("*").alias("df"))
+    df = I.document_frequency(docs, 2)
     total = docs.agg(F.count("*").alias("total"))
     return df.crossJoin(F.broadcast(total)).select(F.col("gram").alias("bg"), "df", I.idf_weight(F.col("df"), F.col("total")).alias("weight"))  # total: one row
 

@@ -78,3 +78,9 @@ def under_paths(path: Column, filters: list[str]) -> Column:
 def excluded(path: Column, names: list[str] | None = None) -> Column:
     parts = F.split(path, "/")
     return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*[F.lit(x) for x in (names or DEFAULT_EXCLUDES)]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows to every core when the input has fewer splits than cores (one small file); larger inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
