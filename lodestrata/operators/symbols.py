@@ -169,3 +169,72 @@ def preview(lines: DataFrame, hits: DataFrame, most: int = 8, width: int = 160)
     """doc_id, start_line, line_no, line: the first lines of each hit(doc_id, start_line, end_line), cut to a width."""
     want = hits.select("doc_id", "start_line", F.explode(F.sequence("start_line", F.least(F.col("end_line"), F.col("start_line") + most - 1))).alias("line_no"))
     return want.join(lines, ["doc_id", "line_no"]).select("doc_id", "start_line", "line_no", F.left("line", F.lit(width)).alias("line"))
+
+
+#: Line starts that set a file up rather than do its work (imports and their like).
+PREAMBLE = r"^(import |from \S+ import|use |using |require[ (]|#include|package |namespace |extern crate|export \* from|mod \w+;)"
+ROLES = ["blank", "import", "definition", "code"]
+
+
+def preamble(line: Column) -> Column:
+    return F.rlike(F.trim(line), F.lit(PREAMBLE))
+
+
+def line_roles(corpus: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, line_no, role of every line: blank, import, definition or code."""
+    x = split_lines(corpus.select("doc_id", "lang", "text"), keep_final=False)
+    hit = F.lit(False)
+    for lang, p in (rules or DEFINITIONS).items():
+        hit = hit | ((F.col("lang") == lang) & F.rlike("line", F.lit(to_java(p))))
+    role = F.when(F.trim("line") == "", "blank").when(preamble(F.col("line")), "import").when(hit, "definition").otherwise("code")
+    return x.select("doc_id", "line_no", role.alias("role"))
+
+
+def read_signatures(corpus: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, line_no, line: imports and definitions only, without an opening brace at the end."""
+    roles_ = line_roles(corpus, rules).where("role in ('import', 'definition')")
+    x = split_lines(corpus.select("doc_id", "lang", "text"), keep_final=False).join(roles_, ["doc_id", "line_no"])
+    bare = F.when(F.col("role") == "definition", F.rtrim(F.regexp_replace(F.rtrim("line"), r"\{+$", ""))).otherwise(F.col("line"))
+    return x.select("doc_id", "line_no", bare.alias("line"))
+
+
+def symbol_name(signature: Column) -> Column:
+    """The name after a definition's words, null where there is none."""
+    words = r"(?:(?:pub(?:\([a-z]+\))?|export|default|async|abstract|public|private|protected|static|unsafe|final) )*"
+    kinds = r"(?:fn|struct|enum|trait|impl|type|mod|const|static|function|class|interface|def|func) "
+    name = F.regexp_extract(F.trim(signature), f"^{words}{kinds}([\\p{{L}}\\p{{N}}_]+)", 1)
+    return F.when(name != "", name)
+
+
+#: What a pack leaves out (written for this library), and the files that describe a project.
+PACK_EXTENSIONS = ["lock", "min.js", "map", "snap", "svg", "png", "jpg", "ico", "woff2", "pdf", "zip"]
+PACK_MARKS = [".d.ts", ".test.", ".spec."]
+MANIFESTS = ["cargo.toml", "package.json", "go.mod", "pyproject.toml", "requirements.txt", "gemfile", "composer.json", "pom.xml", "build.gradle", "mix.exs", "pubspec.yaml", "makefile", "dockerfile", "cmakelists.txt", "tsconfig.json"]
+
+
+def packable(path: Column) -> Column:
+    test = F.lit(True)
+    for e in PACK_EXTENSIONS:
+        test = test & ~path.endswith(f".{e}")
+    for m in PACK_MARKS:
+        test = test & ~path.contains(m)
+    return test
+
+
+def manifests(paths: DataFrame, depth: int = 3, most: int = 10) -> DataFrame:
+    """path: the first manifests by path, any case, near the root."""
+    s = _segments(F.col("path"))
+    return paths.where((F.size(s) <= depth) & F.lower(F.element_at(s, -1)).isin(MANIFESTS)).orderBy("path").limit(most)
+
+
+def context_pack(corpus: DataFrame, rules: dict[str, str] | None = None, many: int = 10, shown: int = 8) -> DataFrame:
+    """dir, n, summary of each first folder: a large one as its first definitions, a small one as its files' first definition each."""
+    keep = corpus.where(packable(F.col("path")))
+    s = symbols(keep.select("doc_id", "lang", "text"), rules)
+    first = s.groupBy("doc_id").agg(F.min_by("signature", "line_no").alias("signature"))
+    x = keep.select("doc_id", "path", F.element_at(_segments(F.col("path")), 1).alias("dir")).join(first, "doc_id", "left")
+    r = F.row_number().over(Window.partitionBy("dir").orderBy(F.col("signature").isNull(), "path"))
+    x = x.withColumn("r", r).withColumn("n", F.count("*").over(Window.partitionBy("dir")))
+    item = F.when(F.col("n") > many, F.col("signature")).otherwise(F.concat_ws(": ", "path", "signature"))
+    top = F.when(F.col("r") <= F.when(F.col("n") > many, shown).otherwise(many), F.struct("r", item.alias("t")))
+    return x.groupBy("dir").agg(F.max("n").alias("n"), F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(top)), lambda v: v["t"].isNotNull()), lambda v: v["t"]), "; ").alias("summary"))

@@ -107,18 +107,56 @@ def recent(history: DataFrame, n: int = 50) -> DataFrame:
     return history.orderBy(F.desc("ts"), F.desc("project"), "cmd", "in_bytes").limit(n)
 
 
-#: What a command could have been run as (first word -> label).
-REPLACEABLE = {"cat": "read", "head": "read", "tail": "read", "grep": "search", "rg": "search", "find": "files", "tree": "tree", "ls": "ls", "wc": "count"}
+#: What a command could have been run as, by its first word (fixed values); `ls` only with a long listing.
+REPLACEABLE = {"cat": "read", "head": "read", "tail": "read", "grep": "search", "rg": "search", "find": "files", "tree": "tree", "ls": "list", "wc": "count"}
+LONG_LISTING = r"(^|\s)-(la|lah|al)(\s|$)"
+#: Bytes that a command's output is taken to have (fixed values); git's by its second word; any other 200.
+OUTPUT_BYTES = {"cat": 2000, "head": 2000, "tail": 2000, "grep": 3000, "egrep": 3000, "fgrep": 3000, "rg": 3000, "find": 500, "tree": 1000, "ls": 300, "wc": 100}
+GIT_BYTES = {"status": 400, "log": 5000, "diff": 10000, "show": 5000}
+#: First words that could be run through a filter, and those for which the second word decides (fixed values).
+DISCOVERABLE = ["rg", "ls", "wc", "cargo", "pytest", "ruff", "mypy", "pip", "eslint", "tsc", "vitest", "prettier", "biome", "rspec", "rubocop", "rake", "golangci-lint", "npm", "npx", "pnpm", "curl", "wget", "aws"]
+DISCOVERABLE_WITH = {"docker": ["ps", "images", "logs", "build"], "kubectl": ["get", "logs", "describe"], "go": ["test", "build"], "dotnet": ["build", "test"], "gh": ["pr", "issue", "run"]}
+
+
+def _word(command: Column, i: int) -> Column:
+    return F.coalesce(F.get(F.split(F.trim(command), r"\s+"), F.lit(i)), F.lit(""))
 
 
 def missed_label(command: Column) -> Column:
-    word = F.split_part(F.trim(command), F.lit(" "), F.lit(1))
+    word = _word(command, 0)
     out = F.lit(None).cast("string")
     for w, label in reversed(REPLACEABLE.items()):
-        out = F.when(word == w, F.lit(label)).otherwise(out)
+        test = word == w
+        out = F.when(test & F.rlike(command, F.lit(LONG_LISTING)) if w == "ls" else test, F.lit(label)).otherwise(out)
     return out
 
 
+def output_estimate(command: Column) -> Column:
+    out = F.lit(200)
+    for w, n in OUTPUT_BYTES.items():
+        out = F.when(_word(command, 0) == w, n).otherwise(out)
+    git = F.lit(200)
+    for w, n in GIT_BYTES.items():
+        git = F.when(_word(command, 1) == w, n).otherwise(git)
+    return F.when(F.trim(command) == "", 0).when((_word(command, 0) == "git") & (_word(command, 1) != ""), git).otherwise(out).cast("long")
+
+
+def first_command(command: Column) -> Column:
+    """The command before the first pipe or chain."""
+    return F.trim(F.regexp_extract(command, r"^\s*([^|;&]*)", 1))
+
+
+def discoverable(command: Column) -> Column:
+    """Whether the first command of a line is of a family that a filter or another command could serve."""
+    c = first_command(command)
+    one, two = _word(c, 0), _word(c, 1)
+    test = one.isin(DISCOVERABLE) | (one.isin("grep", "egrep", "fgrep") & F.rlike(c, F.lit(r"\s[^-\s]"))) | (one.isin("cat", "head", "tail") & (two != ""))
+    test = test | ((one == "find") & ~F.rlike(c, F.lit(r"\s-(exec|delete)(\s|$)")))
+    for w, seconds in DISCOVERABLE_WITH.items():
+        test = test | ((one == w) & two.isin(seconds))
+    return test
+
+
 def adoption(commands: DataFrame, own: Column, label: Column) -> DataFrame:
     """One row a label of commands that could have been run otherwise, and one with the totals."""
     x = commands.select(own.alias("own"), label.alias("label"))
@@ -131,13 +169,13 @@ def missed(commands: DataFrame, own: Column, label: Column, top: int = 10) -> Da
     return commands.where(~own & label.isNotNull()).groupBy(label.alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(top)
 
 
-#: Signs of failure in an output, and the classes tried in this order.
-SIGNALS = r"(?i)(error|failed|failure|fatal|not found|no such|denied|cannot|invalid|unknown|exception)"
-CLASSES = [("not_found", r"(?i)(not found|no such)"), ("permission", r"(?i)(denied|permission)"), ("syntax", r"(?i)(syntax|unexpected|parse)"), ("argument", r"(?i)(invalid|unknown|unrecognized|usage)"), ("failure", r"(?i)(fail|error|fatal|exception|cannot)")]
+#: Signs of failure in an output, and the classes tried in this order (fixed values).
+SIGNALS = r"(?i)(error|not found|no such file|unknown flag|unexpected argument|permission denied|command not found|cannot find|fatal:|failed to|unrecognized option)"
+CLASSES = [("Unknown flag", r"(?i)(unknown flag|unexpected argument|unrecognized option)"), ("Command not found", r"(?i)command not found"), ("Wrong path", r"(?i)(no such file|not found|cannot find)"), ("Permission denied", r"(?i)permission denied"), ("Syntax error", r"(?i)(syntax error|parse error)")]
 
 
 def error_class(text: Column) -> Column:
-    out = F.lit("other")
+    out = F.lit("Other error")
     for name, pattern in reversed(CLASSES):
         out = F.when(F.rlike(text, F.lit(pattern)), F.lit(name)).otherwise(out)
     return out
@@ -174,6 +212,26 @@ def corrections(runs: DataFrame) -> DataFrame:
     return x.select("class", "n", "e.wrong", "e.right")
 
 
+def nested_commands(lines: DataFrame) -> DataFrame:
+    """command, ts of shell calls in nested session JSON lines(value): assistant messages, and progress messages of subagents.
+
+    Commands are trimmed, those of 500 bytes or more are left out; only a numeric timestamp counts (0 otherwise).
+    """
+    block = "struct<type:string,name:string,input:struct<command:string>>"
+    inner = f"struct<content:array<{block}>>"
+    x = lines.select(F.from_json("value", f"type string, timestamp string, message {inner}, data struct<message:struct<message:{inner}>>").alias("m"))
+    content = F.when(F.col("m.type") == "assistant", F.col("m.message.content")).when(F.col("m.type") == "progress", F.col("m.data.message.message.content"))
+    x = x.select(F.coalesce(F.try_to_number("m.timestamp", F.lit("9999999999999")).cast("long"), F.lit(0).cast("long")).alias("ts"), F.explode(content).alias("b"))
+    x = x.where("b.type = 'tool_use' and b.name = 'Bash'").select(F.trim("b.input.command").alias("command"), "ts")
+    return x.where((F.col("command") != "") & (F.octet_length("command") < 500))
+
+
+def missed_savings_estimate(commands: DataFrame) -> DataFrame:
+    """key, n, bytes: commands that could be served otherwise, with the output they are taken to have."""
+    x = commands.where(discoverable(F.col("command"))).select(first_command(F.col("command")).alias("c"), output_estimate(F.col("command")).alias("b"))
+    return x.groupBy(_word(F.col("c"), 0).alias("key")).agg(F.count("*").alias("n"), F.sum("b").alias("bytes"))
+
+
 def shell_history(lines: DataFrame) -> DataFrame:
     """command of shell history lines(value): blanks and comments left out, the time prefix of the extended form stripped."""
     x = lines.select(F.regexp_replace(F.trim("value"), r"^: \d+:\d+;", "").alias("command"))

@@ -152,6 +152,33 @@ def hit_preview(spark, d):
     return Y.preview(_lines(spark, d), hits)
 
 
+_ROLE = f"CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^(import |from \\S+ import|use |using |require[ (]|#include|package |namespace |extern crate|export \\* from|mod \\w+;)') THEN 'import' WHEN {_HIT} THEN 'definition' ELSE 'code' END"
+
+
+@query(f"SELECT role, count(*) AS n FROM (SELECT {_ROLE} AS role FROM {_L}) GROUP BY role")
+def line_roles(spark, d):
+    return Y.line_roles(_corpus(spark, d), RULES).groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, line_no, CASE WHEN {_ROLE} = 'definition' THEN rtrim(regexp_replace(rtrim(line), '\\{{+$', '')) ELSE line END AS line FROM {_L} WHERE {_ROLE} IN ('import', 'definition')")
+def read_signatures(spark, d):
+    return Y.read_signatures(_corpus(spark, d), RULES)
+
+
+@query(f"""WITH f AS (SELECT doc_id, arg_min(signature, line_no) AS sig FROM {SYM} GROUP BY doc_id),
+x AS (SELECT source AS dir, source || '/' || doc_id || '.' || lang AS path, sig FROM documents LEFT JOIN f USING (doc_id)),
+y AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY sig IS NULL, path) AS r, count(*) OVER (PARTITION BY dir) AS n FROM x)
+SELECT dir, n, coalesce(string_agg(CASE WHEN n > 10 THEN sig ELSE concat_ws(': ', path, sig) END, '; ' ORDER BY r) FILTER (r <= CASE WHEN n > 10 THEN 8 ELSE 10 END), '') AS summary FROM y GROUP BY dir, n""")
+def context_pack(spark, d):
+    return Y.context_pack(T.corpus(spark, d), RULES)
+
+
+@query(f"SELECT doc_id, line_no, regexp_extract(line, '^def (\\w+)', 1) AS name FROM (SELECT doc_id, line_no, regexp_replace(line, '^The ', 'def ', 'g') AS line FROM {LINES}) WHERE regexp_matches(line, '^def [A-Za-z0-9_]')")
+def symbol_names(spark, d):
+    x = _lines(spark, d).withColumn("line", F.regexp_replace("line", "^The ", "def ")).where(F.rlike("line", F.lit("^def [A-Za-z0-9_]")))
+    return x.select("doc_id", "line_no", Y.symbol_name(F.col("line")).alias("name"))
+
+
 # ---- compression ----
 
 _T = "trim(line)"

@@ -85,9 +85,9 @@ def history_recent(spark, d):
 
 
 # the first word of a turn decides which command it stands for
-_WORDS = ["ig", "cat", "grep", "ls", "make", "find"]
-_CMD = "(SELECT conv_id, turn, ['ig', 'cat', 'grep', 'ls', 'make', 'find'][(conv_id % 6) + 1] || ' x' || (turn % 3) AS command, text FROM conversations)"
-_LABEL = "CASE split_part(command, ' ', 1) WHEN 'cat' THEN 'read' WHEN 'grep' THEN 'search' WHEN 'ls' THEN 'ls' WHEN 'find' THEN 'files' END"
+_WORDS = ["own", "cat", "grep", "ls", "make", "find"]
+_CMD = "(SELECT conv_id, turn, ['own', 'cat', 'grep', 'ls', 'make', 'find'][(conv_id % 6) + 1] || ' x' || (turn % 3) AS command, text FROM conversations)"
+_LABEL = "CASE split_part(command, ' ', 1) WHEN 'cat' THEN 'read' WHEN 'grep' THEN 'search' WHEN 'find' THEN 'files' END"
 
 
 def _commands(spark, d):
@@ -99,17 +99,17 @@ def _commands(spark, d):
 
 
 @query(f"""SELECT total, own, missed, round(CASE WHEN own + missed > 0 THEN own * 100.0::DOUBLE / (own + missed) ELSE 100 END, 6) AS adoption FROM (
-  SELECT count(*) AS total, count(*) FILTER (command LIKE 'ig %') AS own, count(*) FILTER (NOT command LIKE 'ig %' AND {_LABEL} IS NOT NULL) AS missed FROM {_CMD})""")
+  SELECT count(*) AS total, count(*) FILTER (command LIKE 'own %') AS own, count(*) FILTER (NOT command LIKE 'own %' AND {_LABEL} IS NOT NULL) AS missed FROM {_CMD})""")
 def session_adoption(spark, d):
-    return U.adoption(_commands(spark, d), F.col("command").startswith("ig "), U.missed_label(F.col("command")))
+    return U.adoption(_commands(spark, d), F.col("command").startswith("own "), U.missed_label(F.col("command")))
 
 
-@query(f"SELECT {_LABEL} AS label, count(*) AS n FROM {_CMD} WHERE NOT command LIKE 'ig %' AND {_LABEL} IS NOT NULL GROUP BY 1 ORDER BY n DESC, label LIMIT 10")
+@query(f"SELECT {_LABEL} AS label, count(*) AS n FROM {_CMD} WHERE NOT command LIKE 'own %' AND {_LABEL} IS NOT NULL GROUP BY 1 ORDER BY n DESC, label LIMIT 10")
 def missed_savings(spark, d):
-    return U.missed(_commands(spark, d), F.col("command").startswith("ig "), U.missed_label(F.col("command")))
+    return U.missed(_commands(spark, d), F.col("command").startswith("own "), U.missed_label(F.col("command")))
 
 
-_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in U.CLASSES) + " ELSE 'other' END"
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in U.CLASSES) + " ELSE 'Other error' END"
 
 
 @query(f"SELECT conv_id, turn, {_CLASS} AS class FROM conversations")
@@ -128,7 +128,7 @@ def corrections(spark, d):
     return U.corrections(runs)
 
 
-@query("""SELECT a.conv_id AS session, a.turn AS seq, 0 AS n, 'run ' || a.turn AS command, coalesce(u.turn % 2 = 1 OR regexp_matches(u.text, '(?i)(error|failed|failure|fatal|not found|no such|denied|cannot|invalid|unknown|exception)'), false) AS failed, coalesce(u.text, '') AS output
+@query("""SELECT a.conv_id AS session, a.turn AS seq, 0 AS n, 'run ' || a.turn AS command, coalesce(u.turn % 2 = 1 OR regexp_matches(u.text, '(?i)(error|not found|no such file|unknown flag|unexpected argument|permission denied|command not found|cannot find|fatal:|failed to|unrecognized option)'), false) AS failed, coalesce(u.text, '') AS output
 FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn + 1 AND u.role = 'user' WHERE a.role = 'assistant'""")
 def tool_result_join(spark, d):
     """Each assistant turn calls a tool; the user turn after it, if any, holds the result. The turns pass through session JSON."""
@@ -138,3 +138,18 @@ def tool_result_join(spark, d):
     value = F.when(F.col("role") == "assistant", F.to_json(F.struct("role", F.array(call).alias("content")))).otherwise(F.to_json(F.struct("role", F.array(result).alias("content"))))
     lines = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), value.alias("value"))
     return U.executions(U.session_blocks(lines))
+
+
+@query(f"""SELECT key, count(*) AS n, sum(b)::BIGINT AS bytes FROM (SELECT split_part(command, ' ', 1) AS key, CASE split_part(command, ' ', 1) WHEN 'cat' THEN 2000 WHEN 'grep' THEN 3000 WHEN 'ls' THEN 300 WHEN 'find' THEN 500 END AS b FROM {_CMD}) WHERE key IN ('cat', 'grep', 'ls', 'find') GROUP BY key""")
+def missed_estimate(spark, d):
+    return U.missed_savings_estimate(_commands(spark, d))
+
+
+@query("SELECT conv_id AS ts, 'run ' || turn AS command FROM conversations WHERE role = 'assistant' UNION ALL SELECT 0, 'sub ' || turn FROM conversations WHERE role = 'user'")
+def nested_session_commands(spark, d):
+    """Assistant turns as messages with a numeric time, user turns as progress messages with a textual one."""
+    c = T.read(spark, d, "conversations")
+    call = lambda word: F.struct(F.lit("tool_use").alias("type"), F.lit("Bash").alias("name"), F.struct(F.concat(F.lit(f" {word} "), F.col("turn").cast("string")).alias("command")).alias("input"))
+    a = F.to_json(F.struct(F.lit("assistant").alias("type"), F.col("conv_id").alias("timestamp"), F.struct(F.array(call("run")).alias("content")).alias("message")))
+    p = F.to_json(F.struct(F.lit("progress").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.struct(F.struct(F.struct(F.array(call("sub")).alias("content")).alias("message")).alias("message")).alias("data")))
+    return U.nested_commands(c.select(F.when(F.col("role") == "assistant", a).when(F.col("role") == "user", p).otherwise(F.lit("not json")).alias("value")))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Directory names left out of a walk by default (fixed values).
+#: Directory names left out of a walk by default (fixed values), besides the folder of an index.
 DEFAULT_EXCLUDES = [
-    ".git", "node_modules", "target", "dist", "build", ".next", ".nuxt", ".cache", "__pycache__", ".venv", "venv", "vendor",
-    ".idea", ".vscode", "coverage", ".turbo", ".parcel-cache", ".gradle", ".terraform", "bower_components",
+    "node_modules", "target", "dist", "build", ".next", ".nuxt", "__pycache__", ".venv", "venv", "vendor", ".git", ".hg", ".svn",
+    "coverage", ".cache", ".turbo", ".output", ".vercel", "tmp", ".temp", ".gradle", ".idea", ".vscode", ".terraform", ".pants.d",
+    "bazel-out", ".mypy_cache", ".ruff_cache", ".pytest_cache", ".tox", ".eggs", "__pypackages__", ".hypothesis",
+    ".ipynb_checkpoints", "htmlcov", "bower_components", ".dart_tool", ".pub-cache", ".cargo", "Pods", ".lodestrata",
 ]
-#: Extensions that a type name stands for (fixed values).
+#: Extensions that a type name stands for; any other name stands for itself (fixed values).
 TYPE_ALIASES = {
     "rs": ["rs"], "rust": ["rs"], "ts": ["ts", "tsx"], "typescript": ["ts", "tsx"], "js": ["js", "jsx", "mjs", "cjs"],
-    "javascript": ["js", "jsx", "mjs", "cjs"], "py": ["py", "pyi"], "python": ["py", "pyi"], "go": ["go"], "rb": ["rb"],
-    "ruby": ["rb"], "c": ["c", "h"], "cpp": ["cpp", "cc", "cxx", "hpp", "hxx"], "yaml": ["yaml", "yml"], "yml": ["yaml", "yml"],
-    "md": ["md", "markdown"], "markdown": ["md", "markdown"], "kt": ["kt", "kts"], "kotlin": ["kt", "kts"],
+    "javascript": ["js", "jsx", "mjs", "cjs"], "py": ["py", "pyi"], "python": ["py", "pyi"], "ruby": ["rb"], "c": ["c", "h"],
+    "cpp": ["cpp", "cxx", "cc", "hpp", "hxx"], "cxx": ["cpp", "cxx", "cc", "hpp", "hxx"], "html": ["html", "htm"],
+    "yaml": ["yaml", "yml"], "yml": ["yaml", "yml"], "md": ["md", "markdown"], "markdown": ["md", "markdown"], "sh": ["sh", "bash"],
+    "bash": ["sh", "bash"], "kt": ["kt", "kts"], "kotlin": ["kt", "kts"],
 }
+#: Folders too wide to be walked without an index.
+DANGEROUS_ROOTS = ["/", "/home", "/root", "/usr", "/etc", "/var", "/opt", "/tmp", "/Users"]
 MAX_FILE_SIZE = 1_048_576
 SNIFF_BYTES = 8192
 
@@ -31,6 +36,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text", "lang", "source")
 
 
+def check_root(folder: str, indexed: bool = False) -> str:
+    """The folder, or ValueError for a system or home folder that has no index."""
+    plain = folder.rstrip("/") or "/"
+    if not indexed and (plain in DANGEROUS_ROOTS or plain.count("/") == 2 and plain.startswith(("/home/", "/Users/"))):
+        raise ValueError(f"{plain} is too wide to walk without an index")
+    return plain
+
+
 def walk(spark: SparkSession, folder: str, excludes: list[str] | None = None, max_size: int = MAX_FILE_SIZE) -> DataFrame:
     """path, text, size, mtime of the files under a folder: default excludes, size limit and binary sniff applied; sorted by path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
@@ -84,3 +97,16 @@ def spread(df: DataFrame) -> DataFrame:
     """Deals rows to every core when the input has fewer splits than cores (one small file); larger inputs stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def session_files(spark: SparkSession, folder: str, since: str) -> DataFrame:
+    """session, seq, value: the lines of the *.jsonl files under a folder that changed at or after a time (ISO)."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("modifiedAfter", since).text(folder)
+    x = lines.select(F.col("_metadata.file_path").alias("session"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    return x.select("session", F.row_number().over(Window.partitionBy("session").orderBy("at", "n")).alias("seq"), "value")
+
+
+def tail_lines(lines: DataFrame, most_bytes: int = 64 * 1024) -> DataFrame:
+    """session, seq, value: the lines that lie wholly in the last bytes of each session."""
+    w = Window.partitionBy("session").orderBy(F.desc("seq"))
+    return lines.withColumn("b", F.sum(F.octet_length("value") + 1).over(w)).where(F.col("b") <= most_bytes).drop("b")
