@@ -239,3 +239,14 @@ def top_grams(frequencies: DataFrame, k: int = 20) -> DataFrame:
     """The k commonest grams and their rank."""
     top = frequencies.orderBy(F.desc("df"), "gram").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("df"), "gram")))
+
+
+def resolve_stats(corpus: DataFrame, posting: DataFrame, pattern: str) -> DataFrame:
+    """One row: how many postings the grams of a pattern have, documents after the intersection, after the match, and rejects."""
+    p = plan(pattern)
+    wanted = sorted({g for a in p.alternatives or () for g in a})
+    raw = posting.where(F.col("gram").isin(wanted)).agg(F.count("*").alias("raw"), F.count_distinct("gram").alias("leaves"))
+    found = candidates(posting, p)
+    hits = corpus.join(found, "doc_id", "left_semi").select(S.hit(F.col("text"), S.SearchOptions(pattern)).alias("m"))
+    n = hits.agg(F.count("*").alias("after_intersection"), F.count_if("m").alias("matched"))
+    return raw.crossJoin(n).withColumn("rejected", F.col("after_intersection") - F.col("matched"))  # one row each

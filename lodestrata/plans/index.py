@@ -112,3 +112,17 @@ def changed_files(spark, d):
 @query()
 def sparse_grams(spark, d):
     return I.sparse_grams(_items(spark, d))
+
+
+@query("""WITH g AS (SELECT DISTINCT doc_id, gram FROM {0} WHERE gram IN ('ero', 'ron', 'onn')), c AS (SELECT doc_id FROM g GROUP BY doc_id HAVING bool_or(gram = 'ero') AND bool_or(gram = 'onn'))
+SELECT (SELECT count(*) FROM g WHERE gram <> 'ron') AS raw, (SELECT count(DISTINCT gram) FROM g WHERE gram <> 'ron') AS leaves, count(*) AS after_intersection, count(*) FILTER (contains(text, 'eronn')) AS matched, count(*) FILTER (NOT contains(text, 'eronn')) AS rejected
+FROM documents JOIN c USING (doc_id)""".replace("{0}", DOCS))
+def resolve_stats(spark, d):
+    return I.resolve_stats(T.corpus(spark, d), I.postings(_docs(spark, d)), "eronn")
+
+
+@query(f"SELECT doc_id, {PATH} AS path, len(regexp_extract_all(text, 'anont'))::BIGINT AS match_count FROM documents WHERE contains(text, 'anont')")
+def api_search(spark, d):
+    from .. import api
+
+    return api.search(T.corpus(spark, d), "anont", "count", postings=I.postings(_docs(spark, d)))

@@ -189,3 +189,18 @@ def session_hold(spark, d):
 @query("SELECT event_type, string_agg(user_id::VARCHAR, ',' ORDER BY r DESC) AS items FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, user_id) AS r FROM (SELECT event_type, user_id, max(ts) AS ts FROM events GROUP BY ALL)) WHERE r <= 20 GROUP BY event_type")
 def hot_files(spark, d):
     return W.hot_files(T.read(spark, d, "events"), "event_type", "user_id")
+
+
+@query("SELECT user_id AS key, max(ts) AS last FROM events GROUP BY user_id HAVING sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) <= 0 AND max(ts) < (SELECT max(ts) FROM events) - INTERVAL 300 SECOND")
+def idle_prune(spark, d):
+    e = T.read(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "begin").when(F.col("event_type") == "purchase", "end").otherwise("change")
+    now = e.agg(F.max("ts").alias("now"))
+    x = e.select(F.col("user_id").alias("key"), "ts", kind.alias("kind"))
+    return W.idle(x, F.lit(now.first()[0]))
+
+
+@query("SELECT page_id, regexp_matches(lower(split_part(url, '/', -1)), '^(4033\\.html|index\\.html)$') AS main FROM pages")
+def page_names(spark, d):
+    name = F.lower(F.element_at(F.split("url", "/"), -1))
+    return T.read(spark, d, "pages").select("page_id", name.isin("4033.html", "index.html").alias("main"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,9 @@ def check_root(folder: str, indexed: bool = False) -> str:
 
 
 def walk(spark: SparkSession, folder: str, excludes: list[str] | None = None, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """path, text, size, mtime of the files under a folder: default excludes, size limit and binary sniff applied; sorted by path."""
+    """path (below the folder), text, size, mtime of its files: default excludes, size limit and binary sniff applied; sorted by path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    raw = raw.withColumn("path", F.element_at(F.split("path", re.escape(folder.rstrip("/")) + "/", 2), -1))
     parts = F.split("path", "/")
     names = F.array(*[F.lit(x) for x in (DEFAULT_EXCLUDES if excludes is None else excludes)])
     kept = raw.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), names) & size_within(F.col("length"), max_size))

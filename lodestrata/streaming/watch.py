@@ -120,3 +120,10 @@ def merge_batches(stream: DataFrame, folder: str, checkpoint: str, key: str):
         latest.withColumn("generation", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/delta/generation={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def idle(events: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+    """key, last: keys to drop: without an event for so long, and not inside a session (more begins than ends)."""
+    open_ = F.sum(F.when(F.col("kind") == "begin", 1).when(F.col("kind") == "end", -1).otherwise(0))
+    x = events.groupBy("key").agg(F.max("ts").alias("last"), open_.alias("open"))
+    return x.where((F.col("open") <= 0) & (F.col("last") < now - F.expr(f"INTERVAL {seconds} SECONDS"))).select("key", "last")
