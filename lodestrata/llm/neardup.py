@@ -31,7 +31,7 @@ from .common import chunks, durable, hash_words, lower_az, mix, parts, small_bat
 from .components import connected_components
 
 TREES, DEPTH = 32, 5
-BLOCK = 128
+BLOCK = 512
 FILTER_BITS = 1 << 22
 
 
