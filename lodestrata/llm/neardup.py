@@ -92,43 +92,49 @@ def _near_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows of pairs(a, b) with 100 * intersection >= percent * union of the full sets.
+def shingle_table(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id, s: the full shingle sets (sorted 64-bit hashes) of the documents whose id is in ids(id).
 
-    A bitmap of fixed size keeps texts that are in no pair out of the shuffle (some may pass; the join drops them).
+    A bitmap of fixed size keeps other texts out of the shuffle (some may pass; the join drops them).
     """
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    bits = nodes.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("p")).distinct()
+    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("p")).distinct()
     cells = bits.groupBy(F.bitmap_bucket_number("p").alias("c")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    # one row a cell of 32,768 bits: at most 129 rows of 4 KB
-    cell_rows = F.broadcast(cells)
     p = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     byte = F.floor(F.bitmap_bit_position(p) / 8).cast("int")
     bit = F.pmod(F.bitmap_bit_position(p), F.lit(8)).cast("int")
-    found = docs.select("doc_id", "text").withColumn("c", F.bitmap_bucket_number(p)).join(cell_rows, "c")
+    # cells: one row for each 32,768 bits, at most 129 rows of 4 KB
+    found = docs.select("doc_id", "text").withColumn("c", F.bitmap_bucket_number(p)).join(F.broadcast(cells), "c")
     hit = F.conv(F.hex(F.substring("m", byte + 1, F.lit(1))), 16, 10).cast("int")
     found = found.where(F.pmod(F.floor(hit / F.pow(F.lit(2), bit)), F.lit(2)) == 1).select("doc_id", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            found = [x.tobytes() for a, b in chunks(texts) for x in shingle_sets(texts[a:b], k)]
-            yield pd.DataFrame({"id": batch["doc_id"], "s": found})
+            yield pd.DataFrame({"id": batch["doc_id"], "s": [x.tobytes() for a, b in chunks(texts) for x in shingle_sets(texts[a:b], k)]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table_ = durable(found.mapInPandas(sets, f"id {kind}, s binary").dropDuplicates(["id"]))
+    return durable(found.mapInPandas(sets, f"id {kind}, s binary").dropDuplicates(["id"]))
+
+
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    """100 * intersection >= percent * union of two full sets."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of pairs(a, b) whose full sets are similar."""
+    sets = shingle_table(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, k)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(x, y, percent) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    left = table_.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = table_.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     return durable(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(check, f"a {kind}, b {kind}"))
 
 
@@ -161,8 +167,13 @@ def neighbour_pairs(regions: DataFrame, percent: int, region_rows: int) -> DataF
     return durable(best_a.union(best_b).distinct())
 
 
-def pairs_across(regions: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, trees: int, depth: int) -> DataFrame:
-    """Pairs of different components that share a region and whose signatures may reach the threshold."""
+def links_across(regions: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, trees: int, depth: int) -> DataFrame:
+    """Links (a, b) between different components that share a region: all of them, confirmed on the full sets.
+
+    Rows of a region are dealt to blocks, and every two blocks of it meet in one task. Signatures come first: a pair whose
+    signatures can't reach the threshold is out. Only rows with a pair left get their full sets, and meet in the same blocks again;
+    pairs themselves are never sent anywhere, only links are.
+    """
     kind = nodes.schema["id"].dataType.simpleString()
     r = regions.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = r.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
@@ -170,48 +181,71 @@ def pairs_across(regions: DataFrame, roots: DataFrame, nodes: DataFrame, percent
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     r = r.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    r = r.select("tree", "region", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "n", "root", "sig")
-    n_parts = max(parts(nodes.sparkSession), 1)
-    r = r.repartition(n_parts, "region", "i", "j").sortWithinPartitions("region", "i", "j", "id")
+    names = ["tree", "region", "i", "j", "mine", "id", "n", "root", "sig"]
+    r = r.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).select(names)
     t = percent / 100
     least = t - 4.5 * (t * (1 - t) / (trees * depth)) ** 0.5
 
-    def block(g: pd.DataFrame) -> pd.DataFrame | None:
-        ids, n, root, mine, tree = (g[c].to_numpy() for c in ("id", "n", "root", "mine", "tree"))
+    def near(g: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """A row and the later rows that may be similar to it."""
+        n, root, mine, tree = (g[c].to_numpy() for c in ("n", "root", "mine", "tree"))
         s = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g), -1)
         cross = g["i"].iat[0] != g["j"].iat[0]
-        out = []
         for x in range(len(g) - 1):
             y = slice(x + 1, None)
             ok = (root[y] != root[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)
             if cross:
                 ok &= mine[y] != mine[x]
             at = np.flatnonzero(ok) + x + 1
-            if not len(at):
-                continue
-            same = s[at] == s[x]
-            # a pair is told in the first tree where it shares a region
-            first = same.reshape(len(at), trees, depth).all(axis=2).argmax(axis=1) == tree[x]
-            at = at[(same.mean(axis=1) >= least) & first]
             if len(at):
-                out.append(pd.DataFrame({"a": np.minimum(ids[x], ids[at]), "b": np.maximum(ids[x], ids[at])}))
-        return pd.concat(out) if out else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            key = batch[["region", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            starts = [0, *cuts]
-            for a, b in zip(starts, cuts, strict=False):
-                if (p := block(batch.iloc[a:b])) is not None:
-                    yield p
-            held = batch.iloc[starts[-1] :]
-        if held is not None and (p := block(held)) is not None:
-            yield p
-
-    return durable(r.mapInPandas(run, f"a {kind}, b {kind}").distinct())
+                same = s[at] == s[x]
+                # a pair is looked at in the first tree where it shares a region
+                first = same.reshape(len(at), trees, depth).all(axis=2).argmax(axis=1) == tree[x]
+                at = at[(same.mean(axis=1) >= least) & first]
+                if len(at):
+                    yield x, at
+
+    def members(g: pd.DataFrame) -> pd.DataFrame:
+        wanted = np.zeros(len(g), bool)
+        for x, at in near(g):
+            wanted[x] = True
+            wanted[at] = True
+        return g[wanted]
+
+    def links(g: pd.DataFrame) -> pd.DataFrame:
+        ids, s = g["id"].to_numpy(), g["s"].tolist()
+        out = []
+        for x, at in near(g):
+            for y in at.tolist():
+                if similar(s[x], s[y], percent):
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    def together(rows: DataFrame, work, schema: str) -> DataFrame:
+        """work on the rows of each (region, i, j), which come one after another; a group is at most two blocks."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            for batch in batches:
+                key = batch[["region", "i", "j"]].to_numpy()
+                cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    part = batch.iloc[a:b]
+                    if held and tuple(held[0][["region", "i", "j"]].iloc[0]) != tuple(key[a]):
+                        yield work(pd.concat(held, ignore_index=True))
+                        held = []
+                    if len(part):
+                        held.append(part)
+            if held:
+                yield work(pd.concat(held, ignore_index=True))
+
+        dealt = rows.repartition(max(parts(rows.sparkSession), 1), "region", "i", "j").sortWithinPartitions("region", "i", "j", "id")
+        return dealt.mapInPandas(run, schema)
+
+    kinds = {f.name: f.dataType.simpleString() for f in r.schema}
+    found = durable(together(r, members, ", ".join(f"{c} {kinds[c]}" for c in names)))
+    sets = shingle_table(found.select("id").distinct(), docs, k)
+    return durable(together(found.join(sets, "id"), links, f"a {kind}, b {kind}").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, region_rows: int = 4096) -> DataFrame:
@@ -227,7 +261,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     regions = forest(nodes, trees, depth)
     links = confirm(neighbour_pairs(regions, percent, region_rows), docs, k, percent)
     roots = connected_components(links)
-    more = confirm(pairs_across(regions, roots, nodes, percent, trees, depth), docs, k, percent)
+    more = links_across(regions, roots, nodes, docs, k, percent, trees, depth)
     if not more.isEmpty():
         # the first components stand for their links
         roots = connected_components(more.union(roots.select("node", "root")))
