@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import to_workers
+
 # White space that str.split() takes as a separator beyond [\x20\x09-\x0D].
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,7 +121,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds: Arrow batches of at most so many rows (Spark's default is 10,000)."""
+    """Bounds what a Python worker holds: Arrow batches of at most so many rows (Spark's default is 10,000). Sees to the workers' code."""
+    to_workers(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
