@@ -102,6 +102,46 @@ BUILT_IN = [
     FilterSpec("php-tests", r"^(vendor/bin/)?(phpunit|pest)", True, keep_lines=r"(FAIL|Tests:|Error|OK)", max_lines=60, on_empty="All tests passed"),
     FilterSpec("e2e-tests", r"^(npx )?(playwright|cypress)", True, keep_lines=r"(✘|failed|passed|Error|Timeout)", max_lines=60, on_empty="All tests passed"),
     FilterSpec("monorepo", r"^(npx )?(nx|turbo|lerna) ", True, keep_lines=r"(?i)(error|fail|success|tasks?:|cached)", max_lines=60, on_empty="Tasks ok"),
+    FilterSpec("cargo-audit", r"^cargo (audit|deny)", True, keep_lines=r"(?i)(^crate|^version|^title|^id:|vulnerab|warning|error)", max_lines=60, on_empty="No advisories"),
+    FilterSpec("go-modules", r"^go (mod|get)", True, drop_lines=r"^go: (downloading|extracting|finding)", max_lines=40, on_empty="Modules ok"),
+    FilterSpec("jvm-tests", r"^(mvn|gradle|\./gradlew|\./mvnw) .*(test|verify)", True, keep_lines=r"(Tests run|FAIL|ERROR|BUILD|tests completed)", max_lines=60, on_empty="All tests passed"),
+    FilterSpec("swift", r"^swift (build|test)", True, keep_lines=r"(error:|warning:|Compiling failed|passed|failed|Build complete)", max_lines=60, on_empty="Build ok"),
+    FilterSpec("elixir", r"^mix ", True, keep_lines=r"(?i)(error|warning|\d+ tests?|failures?|compiled)", max_lines=60, on_empty="Mix ok"),
+    FilterSpec("bun", r"^bun (test|run|install)", True, keep_lines=r"(?i)(fail|error|pass|installed|\d+ tests?)", max_lines=60, on_empty="Bun ok"),
+    FilterSpec("web-builds", r"^(npx )?(next|vite|webpack|rollup|esbuild|astro) ?(build)?", True, keep_lines=r"(?i)(error|warn|fail|built in|compiled|bundle|kB)", truncate_at=160, max_lines=60, on_empty="Build ok"),
+    FilterSpec("schema-tools", r"^(npx )?(prisma|drizzle-kit|alembic|flyway)", True, keep_lines=r"(?i)(error|migrat|generated|applied|warn|sync)", max_lines=40),
+    FilterSpec("scripts", r"^(npm|pnpm|yarn) (run|exec|start)", True, drop_lines=r"^(> |npm (notice|warn))", truncate_at=200, max_lines=80),
+    FilterSpec("package-lists", r"^(pnpm|npm|pip|uv pip|cargo|brew) (list|ls|freeze|tree|outdated)", True, truncate_at=120, max_lines=60),
+    FilterSpec("uv", r"^uv (sync|lock|run|add|remove)", True, drop_lines=r"^\s*(Downloading|Downloaded|Building|Built|Prepared)", max_lines=40, on_empty="Up to date"),
+    FilterSpec("poetry", r"^poetry (lock|run|show)", True, truncate_at=160, max_lines=60),
+    FilterSpec("composer", r"^composer ", True, keep_lines=r"(?i)(installing|updating|error|warning|nothing|problem)", max_lines=40, on_empty="Nothing to do"),
+    FilterSpec("boards", r"^(pio|platformio|arduino-cli) ", True, keep_lines=r"(?i)(error|warning|success|failed|ram:|flash:)", max_lines=40),
+    FilterSpec("yaml-markdown", r"^(yamllint|markdownlint|hadolint|actionlint|vale)", True, keep_lines=r"(:\d+|error|warning)", truncate_at=200, max_lines=60, on_empty="No lint errors"),
+    FilterSpec("hooks", r"^(pre-commit|trunk|lefthook|husky)", True, keep_lines=r"(?i)(failed|error|fixed|passed|issues?)", max_lines=60, on_empty="Hooks ok"),
+    FilterSpec("rubocop", r"^(bundle exec )?rubocop", True, keep_lines=r"(:\d+:\d+:|offenses?|Inspecting)", truncate_at=200, max_lines=60, on_empty="No offenses"),
+    FilterSpec("helm", r"^helm (list|status|install|upgrade|lint|diff|template)", True, truncate_at=160, max_lines=60),
+    FilterSpec("cluster-apply", r"^kubectl (apply|delete|rollout|scale)", True, keep_lines=r"(?i)(created|configured|unchanged|deleted|error|success|waiting)", max_lines=40),
+    FilterSpec("cluster-describe", r"^kubectl describe", True, drop_lines=r"^\s*(Annotations|Tolerations|QoS Class|Node-Selectors):", truncate_at=160, max_lines=80),
+    FilterSpec("cluster-events", r"^kubectl (get events|events|top)", True, dedup_consecutive=True, truncate_at=160, tail=40),
+    FilterSpec("compose", r"^docker(-| )compose (up|down|build|pull)", True, drop_lines=r"(Pulling|Waiting|Downloading|Extracting|Verifying)", max_lines=40),
+    FilterSpec("plan-checks", r"^(terraform|tofu) (init|validate|fmt|providers)", True, keep_lines=r"(?i)(error|warning|success|initialized|installed)", max_lines=30, on_empty="Valid"),
+    FilterSpec("stash-worktree", r"^git (stash|worktree|remote|tag|branch)", True, truncate_at=120, max_lines=40),
+    FilterSpec("workflow-runs", r"^gh (workflow|run) ", True, keep_lines=r"(?i)(completed|failure|success|in_progress|queued|X |✓)", truncate_at=160, max_lines=40),
+    FilterSpec("cloud-logs", r"^(aws logs|gcloud logging|az monitor)", True, dedup_consecutive=True, truncate_at=200, tail=40),
+    FilterSpec("cloud-storage", r"^(aws s3|gsutil|gcloud storage|az storage)", True, drop_lines=r"(Completed \d|MiB/s|KiB/s)", tail=30),
+    FilterSpec("cloud-stacks", r"^(aws cloudformation|sam|cdk|serverless)", True, keep_lines=r"(?i)(_COMPLETE|_FAILED|ROLLBACK|error|output)", truncate_at=160, max_lines=60),
+    FilterSpec("differences", r"^(diff|git diff --stat|delta)", True, truncate_at=200, max_lines=120),
+    FilterSpec("counts", r"^(wc|nproc|uptime|free)", True, max_lines=20),
+    FilterSpec("environment", r"^(env|printenv|set)$", True, replace=[(r"(?i)^([A-Z0-9_]*(KEY|SECRET|TOKEN|PASS)[A-Z0-9_]*=).*", "$1****")], max_lines=60),
+    FilterSpec("network", r"^(netstat|ss|ip|ifconfig|dig|nslookup|traceroute)\b", True, truncate_at=160, max_lines=40),
+    FilterSpec("typos", r"^(typos|codespell|cspell)", True, keep_lines=r"(-->|==>|:\d+|Unknown word)", max_lines=60, on_empty="No typos"),
+    FilterSpec("security", r"^(trivy|grype|snyk|bandit|semgrep|gitleaks)", True, keep_lines=r"(?i)(critical|high|medium|issue|finding|vulnerab|leak|total)", truncate_at=200, max_lines=60, on_empty="No findings"),
+    FilterSpec("coverage", r"^(coverage|nyc|c8|lcov|tarpaulin)", True, keep_lines=r"(?i)(total|all files|\d+(\.\d+)?%)", max_lines=60),
+    FilterSpec("benchmarks", r"^(hyperfine|criterion|cargo bench|wrk|ab) ?", True, keep_lines=r"(?i)(mean|range|time:|req/sec|latency|faster|slower)", max_lines=40),
+    FilterSpec("documents", r"^(mdbook|mkdocs|sphinx-build|typedoc|javadoc)", True, keep_lines=r"(?i)(error|warning|built|success)", max_lines=40, on_empty="Built"),
+    FilterSpec("archives", r"^(tar|zip|unzip|7z) ", True, head=20),
+    FilterSpec("migrations", r"^(rails|rake|bin/rails) db:", True, keep_lines=r"(?i)(migrat|error|==|rolled)", max_lines=40, on_empty="Up to date"),
+    FilterSpec("notebooks", r"^(jupyter|papermill|quarto) ", True, keep_lines=r"(?i)(error|executing|exception|output)", max_lines=40),
 ]
 
 

@@ -29,6 +29,11 @@ def gram_df(spark, d):
     return I.document_frequency(_docs(spark, d))
 
 
+@query(f"SELECT DISTINCT doc_id, gram FROM {DOCS}")
+def gram_postings(spark, d):
+    return I.postings(_docs(spark, d)).select("doc_id", "gram")
+
+
 @query(f"""SELECT gram, doc_id, bit_or(1::BIGINT << (pos % 8)) AS loc_mask, bit_or(CASE WHEN nx = '' THEN 0 ELSE 1::BIGINT << ((unicode(nx) * 31) % 8) END)::BIGINT AS next_mask,
   bit_or(1::BIGINT << least(pos, 31)) AS zone_mask FROM {SMALL} GROUP BY ALL""")
 def gram_masks(spark, d):

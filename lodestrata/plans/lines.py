@@ -24,15 +24,15 @@ def _window(first: int, last: int) -> str:
     return f"SELECT doc_id, line_no, CASE WHEN {inside} THEN line ELSE '… (' || (total - {first + last}) || ' lines omitted)' END AS line FROM {NUM} WHERE {inside} OR seq = {first + 1}"
 
 
-# first words make runs: the lines themselves rarely repeat one after another
-WORDS = f"(SELECT doc_id, line_no, CASE WHEN length(line) > 60 THEN 'long' ELSE left(line, 1) END AS line FROM {LINES})"
+# lines rarely repeat one after another; whether they are long does
+WORDS = f"(SELECT doc_id, line_no, CASE WHEN length(line) > 60 THEN 'long' ELSE 'short' END AS line FROM {LINES})"
 
 
 @query(f"""SELECT doc_id, min(line_no)::INT AS line_no, CASE WHEN count(*) > 1 THEN first(line) || '  (×' || count(*) || ')' ELSE first(line) END AS line FROM (
   SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (
     SELECT *, CASE WHEN lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) IS NOT DISTINCT FROM line THEN 0 ELSE 1 END AS new FROM {WORDS})) GROUP BY doc_id, run""")
 def dedup_consecutive(spark, d):
-    x = _lines(spark, d).withColumn("line", F.when(F.char_length("line") > 60, "long").otherwise(F.left("line", F.lit(1))))
+    x = _lines(spark, d).withColumn("line", F.when(F.char_length("line") > 60, "long").otherwise("short"))
     return L.dedup_consecutive(x)
 
 

@@ -91,9 +91,10 @@ def elide_and_slug(spark, d):
     return T.read(spark, d, "pages").select("page_id", X.elide_path(F.col("url")).alias("short"), X.slug(F.col("url")).alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN length(s) > 60 THEN left(s, 39) || '…' || right(s, 20) ELSE s END AS short FROM (SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '^\\s+', '') AS s FROM documents)")
+@query("SELECT doc_id, n, CASE WHEN length(s) > 60 THEN left(s, 39) || '…' || right(s, 20) ELSE s END AS short FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS n, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+', '') AS s FROM documents)")
 def truncate_middle(spark, d):
-    return T.read(spark, d, "documents").select("doc_id", X.truncate_middle(F.substring_index("text", "\n", 1), 60).alias("short"))
+    lines = T.read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
+    return lines.select("doc_id", (F.col("p") + 1).alias("n"), X.truncate_middle(F.col("line"), 60).alias("short"))
 
 
 _STATUS = "(SELECT CASE doc_id % 5 WHEN 0 THEN ' M' WHEN 1 THEN 'A ' WHEN 2 THEN ' D' WHEN 3 THEN '??' ELSE 'R ' END AS c, 'f' || lpad(doc_id::VARCHAR, 6, '0') AS p FROM documents)"

@@ -220,15 +220,17 @@ def line_entropy(spark, d):
     return C.line_entropy(turns)
 
 
-_KEYED = f"(SELECT doc_id, line_no, line, w AS score, left(line, 5) AS key FROM (SELECT *, {_W} AS w FROM {_CODE}))"
+_KEY = r"""regexp_replace(regexp_replace(regexp_replace(line, '"([^"\\]|\\.)*"?|''([^''\\]|\\.)*''?', '*', 'g'), '->[0-9A-Za-z_]*', '->*', 'g'), '\.[A-Za-z][0-9A-Za-z_]*', '.*', 'g')"""
+# words in quotes make patterns of prose
+_QUOTED = f"(SELECT doc_id, line_no, regexp_replace(line, '[^ ]{{2,}}', '\"q\"', 'g') AS line FROM {_CODE})"
 
 
 @query(f"""SELECT doc_id, line_no, CASE WHEN n >= 3 THEN rtrim(line) || ' (x' || n || ')' ELSE line END AS line, CASE WHEN n >= 3 THEN score * n ELSE score END AS score FROM (
   SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS n, row_number() OVER (PARTITION BY doc_id, key ORDER BY line_no) AS r FROM (
-    SELECT doc_id, line_no, left(line, 3) AS line, score, left(line, 3) AS key FROM {_KEYED} WHERE NOT contains(left(line, 3), '.') AND NOT contains(left(line, 3), ''''))) WHERE n < 3 OR r = 1""")
+    SELECT doc_id, line_no, line, {_W} AS score, {_KEY} AS key FROM {_QUOTED})) WHERE n < 3 OR r = 1""")
 def pattern_dedup(spark, d):
-    x = _scored(spark, d).withColumn("line", F.left("line", F.lit(3))).where(~F.contains("line", F.lit(".")) & ~F.contains("line", F.lit("'")))
-    return C.pattern_dedup(x)
+    x = _code(spark, d).withColumn("line", F.regexp_replace("line", "[^ ]{2,}", '"q"'))
+    return C.pattern_dedup(x.withColumn("score", C.line_weight(F.col("line"))))
 
 
 @query(f"""SELECT doc_id, line_no, line FROM (SELECT *, sum(size) OVER (PARTITION BY doc_id) AS total, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY score >= .95, score, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

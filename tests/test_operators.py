@@ -140,3 +140,11 @@ def test_window_stream_equals_batch(spark, tmp_path):
 def test_holds(spark):
     e = spark.createDataFrame([("k", 1, 1, "begin", None), ("k", 2, 2, "change", "p"), ("k", 3, 3, "change", "p"), ("k", 4, 4, "end", None), ("k", 5, 5, "change", "q"), ("k", 6, 6, "begin", None), ("k", 7, 7, "change", "r")], "key string, ts int, seq int, kind string, path string")
     assert rows(W.held(e), "path") == [("k", "p", 4), ("k", "q", 5), ("k", "r", None)]
+
+
+def test_built_in_filters():
+    names = [f.name for f in FI.BUILT_IN]
+    assert len(names) == len(set(names)) >= 70
+    r = FI.Registry()
+    found = {c: r.find(c).name for c in ("cargo audit", "uv sync", "kubectl apply -f x", "aws s3 cp a b", "env", "terraform init", "git fetch")}
+    assert found["cargo audit"] == "cargo-audit" and found["uv sync"] == "uv" and found["git fetch"] == "git-sync" and found["env"] == "environment"
