@@ -59,8 +59,11 @@ def status_groups(lines: DataFrame, shown: int = 3, most: int = 5) -> DataFrame:
     name = F.lit("other")
     for c, label in STATUS.items():
         name = F.when(code == c, F.lit(label)).otherwise(name)
-    x = lines.select(name.alias("status"), F.substring("line", 4, 1 << 20).alias("path")).withColumn("r", F.row_number().over(Window.partitionBy("status").orderBy("path")))
-    x = x.groupBy("status").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") <= most, F.col("path")))).alias("p"))
+    x = lines.select(name.alias("status"), F.substring("line", 4, 1 << 20).alias("path"))
+    # a filter on the row number lets each task drop all but its first rows before the exchange
+    first = x.withColumn("r", F.row_number().over(Window.partitionBy("status").orderBy("path"))).where(F.col("r") <= most)
+    p = first.groupBy("status").agg(F.sort_array(F.collect_list("path")).alias("p"))
+    x = x.groupBy("status").agg(F.count("*").alias("n")).join(p, "status")
     cut = F.concat(F.array_join(F.slice("p", 1, shown), ", "), F.lit(" + "), (F.col("n") - shown).cast("string"), F.lit(" more"))
     return x.select("status", "n", F.when((F.col("status") == "untracked") & (F.col("n") > most), cut).otherwise(F.array_join("p", ", ")).alias("names"))
 

@@ -130,9 +130,11 @@ def tree(paths: DataFrame, depth: int = 3) -> DataFrame:
 def dir_aggregate(paths: DataFrame, top: int = 8) -> DataFrame:
     """dir, n, names: files under each first folder, its first names in order."""
     s = _segments(F.col("path"))
-    x = paths.select(F.element_at(s, 1).alias("dir"), F.element_at(s, -1).alias("name")).withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy("name")))
-    first = F.when(F.col("r") <= top, F.col("name"))
-    return x.groupBy("dir").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(first)), ",").alias("names"))
+    x = paths.select(F.element_at(s, 1).alias("dir"), F.element_at(s, -1).alias("name"))
+    # a filter on the row number lets each task drop all but its first rows before the exchange
+    first = x.withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy("name"))).where(F.col("r") <= top)
+    names = first.groupBy("dir").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    return x.groupBy("dir").agg(F.count("*").alias("n")).join(names, "dir", "left")
 
 
 def stacks(paths: DataFrame, markers: dict[str, str], depth: int = 3) -> DataFrame:
@@ -233,8 +235,10 @@ def context_pack(corpus: DataFrame, rules: dict[str, str] | None = None, many: i
     s = symbols(keep.select("doc_id", "lang", "text"), rules)
     first = s.groupBy("doc_id").agg(F.min_by("signature", "line_no").alias("signature"))
     x = keep.select("doc_id", "path", F.element_at(_segments(F.col("path")), 1).alias("dir")).join(first, "doc_id", "left")
+    n = x.groupBy("dir").agg(F.count("*").alias("n"))
     r = F.row_number().over(Window.partitionBy("dir").orderBy(F.col("signature").isNull(), "path"))
-    x = x.withColumn("r", r).withColumn("n", F.count("*").over(Window.partitionBy("dir")))
+    # a filter on the row number lets each task drop all but its first rows before the exchange
+    top = x.withColumn("r", r).where(F.col("r") <= max(many, shown)).join(n, "dir").where(F.col("r") <= F.when(F.col("n") > many, shown).otherwise(many))
     item = F.when(F.col("n") > many, F.col("signature")).otherwise(F.concat_ws(": ", "path", "signature"))
-    top = F.when(F.col("r") <= F.when(F.col("n") > many, shown).otherwise(many), F.struct("r", item.alias("t")))
-    return x.groupBy("dir").agg(F.max("n").alias("n"), F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(top)), lambda v: v["t"].isNotNull()), lambda v: v["t"]), "; ").alias("summary"))
+    found = top.where(item.isNotNull()).groupBy("dir").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", item.alias("t")))), lambda v: v["t"]), "; ").alias("summary"))
+    return n.join(found, "dir", "left").select("dir", "n", F.coalesce("summary", F.lit("")).alias("summary"))
