@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regexes import to_java
+from ..sources.tables import spread
 
 
 def split_lines(docs: DataFrame, keep_final: bool = True) -> DataFrame:
@@ -14,7 +15,7 @@ def split_lines(docs: DataFrame, keep_final: bool = True) -> DataFrame:
     keep_final False: the lines() flavour, which has no empty line after a final line end and strips a carriage return.
     """
     rest = [c for c in docs.columns if c != "text"]
-    out = docs.select(*rest, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"), F.size(F.split("text", "\n", -1)).alias("of"))
+    out = spread(docs).select(*rest, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"), F.size(F.split("text", "\n", -1)).alias("of"))
     out = out.withColumn("line_no", F.col("pos") + 1)
     if not keep_final:
         out = out.where((F.col("line_no") < F.col("of")) | (F.col("line") != "")).withColumn("line", F.regexp_replace("line", "\r$", ""))

@@ -22,6 +22,7 @@ def test_java_meaning(spark):
     df = spark.createDataFrame(rows, "t string")
     hit = lambda p, **k: [r[0] for r in df.where(F.rlike("t", F.lit(to_java(p, **k)))).collect()]
     assert hit(r"\ba") == ["éa", "a\n"]  # word bounds are ASCII
+    assert hit(r"\ba\b") == ["éa", "a\n"] and hit(r"\bA\b|x\b") == ["x\ry", "A"] and hit(r"\b(?:a|\W)\b") == ["éa", "a\n", "x\ry"]
     assert hit("a$") == ["éa"]  # not before a final line end
     assert hit("x.y") == ["x\ry"]  # only \n ends a line
     assert hit("^a$", ignore_case=True) == ["A"]
