@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread, table
+from .common import small_batches, spread, table, tidy
 
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?/])[^>]*>)")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
@@ -245,7 +245,8 @@ def train(pages: DataFrame, most_pages: int = 1000, most_blocks: int = 100) -> n
                         rows.append((features(b), float(e > 0)))
             yield pd.DataFrame(rows, columns=["x", "y"])
 
-    found = pages.select("html").mapInPandas(run, "x array<double>, y double").orderBy("y", "x").collect()
+    found = pages.select("html").mapInPandas(tidy(run), "x array<double>, y double").collect()
+    found.sort(key=lambda r: (r[1], r[0]))
     return fit(np.array([r[0] for r in found]).reshape(-1, N_FEATURES), np.array([r[1] for r in found]))
 
 
@@ -350,7 +351,7 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             out["text"] = [main_text(p, w) for p in batch["html"]]
             yield out
 
-    return spread(pages.select("page_id", "url", "html")).mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return spread(pages.select("page_id", "url", "html")).mapInPandas(tidy(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def op10_min_cut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
