@@ -97,6 +97,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lookup(left: DataFrame, key: str, table: DataFrame, by: str, salts: int = 16) -> DataFrame:
+    """left JOIN table ON key (one short row a key in table), a frequent key's rows dealt to `salts` tasks by the column `by`.
+
+    The table is sent `salts` times, which is cheap for pairs of ids and needs no pass to find out which keys are frequent.
+    """
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    b = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [key, "_salt"]).drop("_salt")
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, unique: Column) -> DataFrame:
     """left LEFT JOIN right ON key without a task that holds all rows of one key.
 
@@ -127,6 +137,27 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def tidy(run):
+    """run, a generator over a task's batches, after which the worker gives memory that it no longer uses back to the system: workers
+    live on from task to task and stage to stage."""
+
+    def tidied(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
 def carry(docs: DataFrame, make) -> DataFrame:
     """docs with all columns as they are, but rows left out or texts replaced. make() gives, once a task, a function from a batch's
     texts to (keep or None, texts or None)."""
@@ -144,7 +175,7 @@ def carry(docs: DataFrame, make) -> DataFrame:
                 batch = batch.set_column(at, field, pa.array(texts, type=field.type))
             yield batch if keep is None else batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def chunks(texts: list, most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:

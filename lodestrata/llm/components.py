@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, lookup
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,8 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round, every node points to the neighbour of least priority (a hash, so that chains of rising ids shrink as fast as any)
     or to itself, pointers are followed once more, and links are redrawn between what they point to. Rounds go on until no link is
-    left; each at least halves the nodes of a component, about. Frequent nodes meet partial aggregation in the groupBy, and rows
-    of a frequent node in a join are split by the adaptive skew join.
+    left; each at least halves the nodes of a component, about. Frequent nodes meet partial aggregation in the groupBy, and their
+    rows are salted in joins, so that no task holds all of them.
     """
     kind = links.schema["a"].dataType.simpleString()
     edges = durable(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -26,17 +26,17 @@ def connected_components(links: DataFrame) -> DataFrame:
         own = F.struct(mine.alias("h"), F.col("a").alias("v"))
         hop = least.select(F.col("a").alias("node"), F.least(own, F.col("m"))["v"].alias("to"))
         second = hop.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-        hop = durable(hop.join(second, "to").select("node", F.col("to2").alias("to")))
+        hop = durable(lookup(hop, "to", second, "node").select("node", F.col("to2").alias("to")))
         maps.append(hop)
-        ja = hop.select(F.col("node").alias("a"), F.col("to").alias("ta"))
-        jb = hop.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        moved = edges.join(ja, "a").join(jb, "b").where("ta <> tb")
+        moved = lookup(edges, "a", hop.select(F.col("node").alias("a"), F.col("to").alias("ta")), "b")
+        moved = lookup(moved, "b", hop.select(F.col("node").alias("b"), F.col("to").alias("tb")), "a").where("ta <> tb")
         edges = durable(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     if not maps:
         return links.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
     out = maps[-1]
     for m in reversed(maps[:-1]):
-        nxt = out.select(F.col("node").alias("to"), F.col("to").alias("end"))
-        out = m.join(nxt, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+        # a node that no later round moved is where it was
+        ends = out.select(F.col("node").alias("to"), F.col("to").alias("end")).unionByName(m.select("to").distinct().join(out.select(F.col("node").alias("to")), "to", "left_anti").withColumn("end", F.col("to")))
+        out = durable(lookup(m, "to", ends, "node").select("node", F.col("end").alias("to")))
     least = out.groupBy("to").agg(F.min("node").alias("root"))
-    return durable(out.join(least, "to").select("node", "root"))
+    return durable(lookup(out, "to", least, "node").select("node", "root"))

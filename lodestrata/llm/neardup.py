@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, durable, hash_words, lower_az, mix, parts, small_batches, spread, spread_join, table, window_hashes, words
+from .common import chunks, durable, hash_words, lower_az, mix, parts, small_batches, spread, spread_join, table, tidy, window_hashes, words
 from .components import connected_components
 
 TREES, DEPTH = 32, 5
-BLOCK = 512
+BLOCK = 320
 FILTER_BITS = 1 << 22
 
 
@@ -69,7 +69,7 @@ def sketch(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
             yield out
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_key string, sig binary"
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInPandas(tidy(run), schema)
 
 
 def shingle_sets(texts: list, k: int) -> Iterator[np.ndarray]:
@@ -113,7 +113,7 @@ def shingle_table(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"id": batch["doc_id"], "s": [x.tobytes() for a, b in chunks(texts) for x in shingle_sets(texts[a:b], k)]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return durable(found.mapInPandas(sets, f"id {kind}, s binary").dropDuplicates(["id"]))
+    return durable(found.mapInPandas(tidy(sets), f"id {kind}, s binary").dropDuplicates(["id"]))
 
 
 def similar(x: bytes, y: bytes, percent: int) -> bool:
@@ -135,7 +135,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     kind = docs.schema["doc_id"].dataType.simpleString()
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return durable(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(check, f"a {kind}, b {kind}"))
+    return durable(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(tidy(check), f"a {kind}, b {kind}"))
 
 
 def forest(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -240,7 +240,7 @@ def links_across(regions: DataFrame, roots: DataFrame, nodes: DataFrame, docs: D
                 yield work(pd.concat(held, ignore_index=True))
 
         dealt = rows.repartition(max(parts(rows.sparkSession), 1), "region", "i", "j").sortWithinPartitions("region", "i", "j", "id")
-        return dealt.mapInPandas(run, schema)
+        return dealt.mapInPandas(tidy(run), schema)
 
     kinds = {f.name: f.dataType.simpleString() for f in r.schema}
     found = durable(together(r, members, ", ".join(f"{c} {kinds[c]}" for c in names)))
