@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carry, chunks, hash_words, small_batches, spread, table, window_hashes, words
+from .common import carry, chunks, hash_words, small_batches, spread, table, tidy, window_hashes, words
 
 K, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 26, 9
 _DROPPED = b".,;:!?\"'()[]"
@@ -161,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: f
                 found = [(ids[d], *rest) for d, *rest in _matches(index, batch["text"])]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"])
 
-        part = spread(docs.select("doc_id", "text")).mapInPandas(run, schema)
+        part = spread(docs.select("doc_id", "text")).mapInPandas(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carry, chunks, mix, small_batches, spread, table
+from .common import carry, chunks, mix, small_batches, spread, table, tidy
 
 #: First code points of script ranges, and their names (Unicode blocks; fixed values).
 SCRIPTS = [
@@ -131,7 +131,7 @@ def train(docs: DataFrame, most_rows: int = 40_000, buckets: int = BUCKETS) -> M
             yield pd.DataFrame({"lang": lang, "script": "", "bucket": at.astype(np.int32), "n": own[at].astype(np.int64)})
             yield pd.DataFrame([(lang, s, 0, c) for s, c in sorted(scripts[lang].items())], columns=["lang", "script", "bucket", "n"])
 
-    found = spread(known).mapInPandas(run, "lang string, script string, bucket int, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n"))
+    found = spread(known).mapInPandas(tidy(run), "lang string, script string, bucket int, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n"))
     # at most `buckets` rows a language, one row of arrays each
     rows = found.groupBy("lang", "script").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": spans})
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int,letters:int>>"
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInPandas(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:

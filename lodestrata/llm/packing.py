@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, spread, table
+from .common import durable, small_batches, spread, table, tidy
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -71,7 +71,7 @@ def tokenize_pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary: s
                     rows.append((doc_id, i, s, n, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if keep_ids else [])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInPandas(tidy(run), schema)
 
 
 def best_fit(lengths: list[int], max_tokens: int, max_docs: int, max_cost: int, weights: tuple[float, float, float]) -> list[int]:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carry, durable, hash_words, lower_az, mix, small_batches, spread, table
+from .common import carry, durable, hash_words, lower_az, mix, small_batches, spread, table, tidy
 
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA, SUPPORT, WINDOW, BANDS = 0.9, 4, 8, 8
@@ -167,7 +167,7 @@ def _mentions(docs: DataFrame, window: int) -> DataFrame:
                     rows += [(who, t, key, None) for who, t in _contexts(text, spans, window)]
             yield pd.DataFrame(rows, columns=["entity", "term", "text", "bands"])
 
-    return spread(docs.select("text")).mapInPandas(run, "entity string, term string, text long, bands array<long>")
+    return spread(docs.select("text")).mapInPandas(tidy(run), "entity string, term string, text long, bands array<long>")
 
 
 def _families(mentions: DataFrame, support: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _term_families(docs: DataFrame, terms: frozenset[str]) -> DataFrame:
                     rows |= {(t, family) for t in found}
             yield pd.DataFrame(sorted(rows), columns=["term", "family"])
 
-    return spread(docs.select("text")).mapInPandas(run, "term string, family long").distinct()
+    return spread(docs.select("text")).mapInPandas(tidy(run), "term string, family long").distinct()
 
 
 def disclosive_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, window: int = WINDOW, block_terms: int = 200_000) -> DataFrame:
@@ -263,7 +263,7 @@ def _find(docs: DataFrame, terms: frozenset[str], base: bool) -> DataFrame:
             found = [[{"start": s, "kind": k, "end": e} for s, k, e in spans_of(t, terms, base)] for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "found": found})
 
-    return spread(docs).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found {_SPAN}")
+    return spread(docs).mapInPandas(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found {_SPAN}")
 
 
 def find_spans(docs: DataFrame, block_terms: int = 200_000, **limits) -> DataFrame:

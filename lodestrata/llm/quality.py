@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, durable, hash_words, small_batches, spread, table, window_hashes, words
+from .common import chunks, durable, hash_words, small_batches, spread, table, tidy, window_hashes, words
 
 BUCKETS = 1 << 16
 SYMBOLS = "#*$%&|<>"
@@ -115,7 +115,7 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         at = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "raw": raw[at], "target": trusted[at]})
 
-    found = docs.select("text", "target").mapInPandas(run, "bucket int, raw long, target long")
+    found = docs.select("text", "target").mapInPandas(tidy(run), "bucket int, raw long, target long")
     return found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -143,7 +143,7 @@ def base_and_score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", score double")
+    return spread(docs.select("doc_id", "text")).mapInPandas(tidy(run), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", score double")
 
 
 def fit_threshold(scored: DataFrame, good: DataFrame, bad: DataFrame, most_lost: float, default: float, slack: float = 0.02, bins: int = 4000) -> float:
