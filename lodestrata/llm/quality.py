@@ -1,13 +1,13 @@
 """Quality rules: base counts and a hashed n-gram likelihood ratio (operator 9).
 
-Words and word pairs of every document are hashed to `buckets` buckets. Two multinomials over the buckets are counted, one from all
+Words and word pairs of every document are hashed to buckets. Two multinomials over the buckets are counted, one from all
 documents (raw) and one from the documents labelled as trusted (target). A document's score is the sum of log p_target / p_raw over
 its n-grams, divided by their number. Every document is kept or not by one fixed threshold: from a histogram of the labelled
 documents' scores, the lowest value that separates trusted from untrusted ones within 0.02 (of the difference of the two shares
 below it) as well as the best does, and no higher than the value that `most_lost` of the trusted ones lie below. Without labels of both kinds the threshold is `default_threshold`.
 
-Labels are the training rows of a classifier: beyond `most_labels` of each kind (documented bound; ids only are broadcast) a sample
-by hash of the id is used. The raw multinomial counts all documents.
+Both multinomials and the threshold's histogram count every document that they speak of: labels meet documents in shuffled joins on
+doc_id, and only sums by bucket and bin come to the driver. The number of buckets follows the input (buckets_of).
 
 Nulls and edges: a null text has no words and fails; null ids have no label; repeated rows count each; an empty table gives an
 empty result; labels for absent documents are ignored; extra columns are ignored.
@@ -86,11 +86,22 @@ def measure(texts: list, ratio: np.ndarray) -> list[tuple]:
     return rows
 
 
-def labelled(labels: DataFrame, value: int, most: int) -> DataFrame:
-    """doc_id of the documents with that quality; at most about `most`, by hash of the id."""
-    ids = labels.where((F.col("quality") == value) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    n = ids.count()
-    return ids if n <= most else ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+def labelled(labels: DataFrame, value: int) -> DataFrame:
+    """doc_id of all documents with that quality."""
+    return labels.where((F.col("quality") == value) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+def buckets_of(n_docs: int) -> int:
+    """A power of two, at least BUCKETS: one bucket for four documents at least, so that buckets don't fill up as the input grows."""
+    return max(BUCKETS, 1 << max(0, -(-n_docs // 4) - 1).bit_length())
+
+
+def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """text, target of every document; the few ids are hashed, the texts only dealt. Rows without an id stay where they are."""
+    docs, keyed = docs.select("doc_id", "text"), F.col("doc_id").isNotNull()
+    joined = docs.where(keyed).join(good.withColumn("target", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
+    joined = joined.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    return joined.union(docs.where(~keyed).select("text", F.lit(False).alias("target")))
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -122,9 +133,10 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def log_ratio(counts: DataFrame, buckets: int) -> np.ndarray:
     """log p_target / p_raw by bucket, each multinomial smoothed with the pseudo-count 1 a bucket. At most `buckets` rows come here."""
     raw, target = np.ones(buckets), np.ones(buckets)
-    for r in counts.collect():
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
+    rows = counts.toArrow()
+    at = rows["bucket"].to_numpy()
+    raw[at] += rows["raw"].to_numpy()
+    target[at] += rows["target"].to_numpy()
     return (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
 
 
@@ -164,12 +176,12 @@ def fit_threshold(scored: DataFrame, good: DataFrame, bad: DataFrame, most_lost:
     return lo + min(best, max(spare, 0)) * (hi - lo) / bins
 
 
-def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels: int = 100_000, most_lost: float = 0.005, default_threshold: float = -1.0) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, buckets: int | None = None, most_lost: float = 0.005, default_threshold: float = -1.0) -> DataFrame:
     """doc_id, base counts, score, threshold and kept of every document."""
     small_batches(docs.sparkSession)
-    good, bad = durable(labelled(labels, 1, most_labels)), durable(labelled(labels, 0, most_labels))
-    tagged = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")
-    ratio = log_ratio(bucket_counts(spread(tagged.withColumn("target", F.coalesce("target", F.lit(False)))), buckets), buckets)
+    good, bad = durable(labelled(labels, 1)), durable(labelled(labels, 0))
+    buckets = buckets or buckets_of(docs.count())
+    ratio = log_ratio(bucket_counts(marked(docs, good), buckets), buckets)
     scored = durable(base_and_score(docs, ratio))
     threshold = fit_threshold(scored, good, bad, most_lost, default_threshold)
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)

@@ -136,6 +136,23 @@ def test_quality_odd_rows(odd, none, spark):
     assert Q.quality(none, labels).count() == 0 and Q.quality(odd, labels.where("false")).count() == odd.count()
 
 
+def test_every_label_counts(spark):
+    """However many labels there are, each labelled document is in the target multinomial and the threshold."""
+    docs = spark.createDataFrame([(i, f"word{i} " * 30) for i in range(40)] + [(None, "word40 " * 30)], "doc_id long, text string")
+    many = spark.range(1_000, 401_000).selectExpr("id AS doc_id", "int(id % 2) AS quality", "0 AS toxic")
+    few = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    want = {r["doc_id"]: (r["score"], r["threshold"]) for r in Q.quality(docs, few).collect()}
+    got = {r["doc_id"]: (r["score"], r["threshold"]) for r in Q.quality(docs, few.union(many)).collect()}
+    assert got == want and len({t for _, t in got.values()}) == 1
+    good = Q.labelled(few.union(many), 1)
+    counts = Q.bucket_counts(Q.marked(docs, good), Q.BUCKETS).agg(F.sum("raw"), F.sum("target")).first()
+    assert tuple(counts) == (41 * 59, 20 * 59)
+
+
+def test_buckets_follow_the_input():
+    assert [Q.buckets_of(n) for n in (0, 4 << 16, (4 << 16) + 1, 15_000_000)] == [1 << 16, 1 << 16, 1 << 17, 1 << 22]
+
+
 # ---- HTML ----
 
 
