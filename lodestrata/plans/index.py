@@ -14,6 +14,8 @@ GRAMS = """(SELECT doc_id, substring(line, p, 3) AS gram, p - 1 AS pos, substrin
   SELECT doc_id, line, unnest(range(1, length(line) - 1)) AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {0}) WHERE length(line) >= 3))"""
 DOCS = GRAMS.format("documents")
 SMALL = GRAMS.format("(SELECT item_id AS doc_id, text FROM benchmark)")
+MASKS = """SELECT gram, doc_id, bit_or(1::BIGINT << (pos % 8)) AS loc_mask, bit_or(CASE WHEN nx = '' THEN 0 ELSE 1::BIGINT << ((unicode(nx) * 31) % 8) END)::BIGINT AS next_mask,
+  bit_or(1::BIGINT << least(pos, 31)) AS zone_mask FROM {0} GROUP BY ALL"""
 
 
 def _docs(spark, d):
@@ -34,12 +36,16 @@ def gram_postings(spark, d):
     return I.postings(_docs(spark, d)).select("doc_id", "gram")
 
 
-@query(f"""SELECT gram, doc_id, bit_or(1::BIGINT << (pos % 8)) AS loc_mask, bit_or(CASE WHEN nx = '' THEN 0 ELSE 1::BIGINT << ((unicode(nx) * 31) % 8) END)::BIGINT AS next_mask,
-  bit_or(1::BIGINT << least(pos, 31)) AS zone_mask FROM {SMALL} GROUP BY ALL""")
+@query(MASKS.format(SMALL))
 def gram_masks(spark, d):
     return I.postings(_items(spark, d))
 
 
+@query(MASKS.format(DOCS))
+def gram_masks_documents(spark, d):
+    return I.postings(_docs(spark, d))
+
+
 @query(f"SELECT count(*) AS postings, count(DISTINCT gram) AS grams, count(DISTINCT doc_id) AS documents FROM (SELECT DISTINCT gram, doc_id FROM {DOCS})")
 def index_stats(spark, d):
     return I.stats(I.postings(_docs(spark, d)))
@@ -116,7 +122,7 @@ def changed_files(spark, d):
 
 @query()
 def sparse_grams(spark, d):
-    return I.sparse_grams(_items(spark, d))
+    return I.sparse_grams(_docs(spark, d))
 
 
 @query("""WITH g AS (SELECT DISTINCT doc_id, gram FROM {0} WHERE gram IN ('ero', 'ron', 'onn')), c AS (SELECT doc_id FROM g GROUP BY doc_id HAVING bool_or(gram = 'ero') AND bool_or(gram = 'onn'))

@@ -1,4 +1,4 @@
-"""Token, co-occurrence and expansion queries; the texts are conversation turns."""
+"""Token, co-occurrence and expansion queries: over conversation turns, and as *_documents over the corpus."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cooccur as C
 from ..operators import search as S
 from ..sources import tables as T
-from .registry import query
+from .registry import ORACLES, query
 
 _STOP = ", ".join(f"'{w}'" for w in C.STOPWORDS)
 _TEXTS = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
@@ -57,3 +57,41 @@ def semantic_search(spark, d):
     """Documents that hold a word or one of its neighbours."""
     more = C.expansion(C.ppmi_neighbours(_turns(spark, d)), "ing")
     return S.counts(T.corpus(spark, d), S.SearchOptions("ing", word=True, expand=more)).select("doc_id", "match_count")
+
+
+# ---- the corpus ----
+
+
+def _docs(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", "text")
+
+
+def _over_documents(sql: str) -> str:
+    return sql.replace(_TEXTS, "(SELECT doc_id, text FROM documents)")
+
+
+@query(_over_documents(f"SELECT token, count(*) AS n FROM {_TOK} GROUP BY token"))
+def tokens_documents(spark, d):
+    return C.token_counts(_docs(spark, d))
+
+
+@query(_over_documents(f"SELECT a, b, n FROM {_PAIRS}"))
+def pair_counts_documents(spark, d):
+    return C.pair_counts(_docs(spark, d))
+
+
+@query(_over_documents(f"SELECT sum(n)::BIGINT AS pairs FROM {_PAIRS}"))
+def pair_total_documents(spark, d):
+    return C.total_pairs(_docs(spark, d))
+
+
+@query(_over_documents(_PPMI))
+def ppmi_neighbours_documents(spark, d):
+    return C.ppmi_neighbours(_docs(spark, d))
+
+
+@query(_over_documents(ORACLES["semantic_search"]))
+def semantic_search_documents(spark, d):
+    """Documents that hold a word or one of its neighbours in the corpus itself."""
+    more = C.expansion(C.ppmi_neighbours(_docs(spark, d)), "ing")
+    return S.counts(T.corpus(spark, d), S.SearchOptions("ing", word=True, expand=more)).select("doc_id", "match_count")

@@ -213,13 +213,21 @@ def relevance_boost(spark, d):
 _G = "(SELECT doc_id, line_no, substring(line, p, 3) AS gram FROM (SELECT doc_id, line_no, line, unnest(range(1, length(line) - 1)) AS p FROM (SELECT conv_id * 1000 + turn AS doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no, unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE length(line) >= 3))"
 
 
-@query(f"""WITH g AS (SELECT * FROM {_G}), df AS (SELECT gram, count(DISTINCT doc_id) AS df FROM g GROUP BY gram), e AS (SELECT doc_id, line_no, avg(ln((SELECT count(*) FROM conversations) / (df + 1))) AS e FROM g JOIN df USING (gram) GROUP BY ALL)
-SELECT doc_id, line_no, round(coalesce(e, 0.0::DOUBLE), 6) AS entropy FROM (SELECT conv_id * 1000 + turn AS doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line_no FROM conversations) LEFT JOIN e USING (doc_id, line_no)""")
+_ENTROPY = f"""WITH g AS (SELECT * FROM {_G}), df AS (SELECT gram, count(DISTINCT doc_id) AS df FROM g GROUP BY gram), e AS (SELECT doc_id, line_no, avg(ln((SELECT count(*) FROM conversations) / (df + 1))) AS e FROM g JOIN df USING (gram) GROUP BY ALL)
+SELECT doc_id, line_no, round(coalesce(e, 0.0::DOUBLE), 6) AS entropy FROM (SELECT conv_id * 1000 + turn AS doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line_no FROM conversations) LEFT JOIN e USING (doc_id, line_no)"""
+
+
+@query(_ENTROPY)
 def line_entropy(spark, d):
     turns = T.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     return C.line_entropy(turns)
 
 
+@query(_ENTROPY.replace("conv_id * 1000 + turn AS doc_id", "doc_id").replace("FROM conversations", "FROM documents"))
+def line_entropy_documents(spark, d):
+    return C.line_entropy(T.read(spark, d, "documents").select("doc_id", "text"))
+
+
 _KEY = r"""regexp_replace(regexp_replace(regexp_replace(line, '"([^"\\]|\\.)*"?|''([^''\\]|\\.)*''?', '*', 'g'), '->[0-9A-Za-z_]*', '->*', 'g'), '\.[A-Za-z][0-9A-Za-z_]*', '.*', 'g')"""
 # words in quotes make patterns of prose
 _QUOTED = f"(SELECT doc_id, line_no, regexp_replace(line, '[^ ]{{2,}}', '\"q\"', 'g') AS line FROM {_CODE})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import datetime
 import math
 
@@ -54,3 +55,32 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_corpus_queries_read_the_corpus(spark, tmp_path):
+    """Against brute force over a few documents; there are no other tables."""
+    texts = ["theFirst bridge_Of 37 planks\n\nold river stone", "river stone\nthe old bridge\nxy", "ab", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def weight(a, b):
+        h = ((ord(a) * 2654435761 + ord(b) * 40503) ^ 0x9E3779B9) & 0xFFFFFFFF
+        h = (h ^ (h >> 15)) * 2246822519 & 0xFFFFFFFF
+        return float(h ^ (h >> 13)) * (2 if a.islower() and b.isupper() or "_" in (a, b) else 1)
+
+    grams = set()
+    for d, t in enumerate(texts):
+        for line in t.split("\n"):
+            w = [weight(a, b) for a, b in zip(line, line[1:], strict=False)]
+            grams |= {(d, line[j : i + 2]) for i in range(len(w)) for j in range(i) if i - j + 2 <= 16 and all(x < min(w[j], w[i]) for x in w[j + 1 : i])}
+    assert sorted(map(tuple, QUERIES["sparse_grams"](spark, str(tmp_path)).select("doc_id", "gram").collect())) == sorted(grams)
+
+    tokens = [[["first", "bridge", "planks"], ["old", "river", "stone"]], [["river", "stone"], ["old", "bridge"], ["xy"]], [["ab"]]]
+    pairs = collections.Counter()
+    for lines in tokens:
+        at = [(k, t) for k, line in enumerate(lines) for t in line]
+        pairs.update(tuple(sorted((t, u))) for i, (k, t) in enumerate(at) for m, u in at[:i] if t != u and k - m <= 5)
+    got = {(r["a"], r["b"]): r["n"] for r in QUERIES["pair_counts_documents"](spark, str(tmp_path)).collect()}
+    assert got == pairs
+    assert QUERIES["pair_total_documents"](spark, str(tmp_path)).first()["pairs"] == pairs.total()
+    assert {r["token"]: r["n"] for r in QUERIES["tokens_documents"](spark, str(tmp_path)).collect()} == collections.Counter(t for x in tokens for line in x for t in line)
+    assert QUERIES["line_entropy_documents"](spark, str(tmp_path)).count() == sum(t.count("\n") + 1 for t in texts)
