@@ -31,10 +31,12 @@ from .common import small_batches, spread, table, tidy
 
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?/])[^>]*>)")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 _PIECE = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
+#: These run to the end of the page when they are not closed; any other tag of RAW is then passed over by itself.
+TO_THE_END = frozenset("script style".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select button title head audio video map".split())
 BLOCK = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption article main section nav header footer aside form fieldset blockquote pre figure figcaption address hr details summary dialog center".split()
@@ -50,6 +52,8 @@ AGAINST_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget related recommended footer masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal subscribe newsletter signup login share sharing social form search copyright legal".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
+#: In one class or id with a comment word: the page has comments or not, which says nothing of the text below (has-comments).
+STATE_WORDS = frozenset("has with no without open closed enabled disabled layout site".split())
 WRAPPER_WORDS = frozenset("has with no without layout page wrapper wrap container site".split())
 
 
@@ -59,6 +63,7 @@ class Node:
     number: int
     words: frozenset
     hidden: bool
+    comments: bool
 
 
 @dataclass
@@ -71,15 +76,17 @@ class Block:
 
 
 def _node(tag: str, attributes: str, number: int) -> Node:
-    marks, hidden = set(), False
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for name, value in _MARK.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                hidden = True
-            else:
-                marks.update(w.lower() for w in _PIECE.findall(_CAMEL.sub(" ", value)))
-    return Node(tag, number, frozenset(marks), hidden)
+    marks, hidden, comments = set(), False, False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            hidden = True
+        elif name in ("class", "id", "role"):
+            for one in value.split():
+                found = {w.lower() for w in _PIECE.findall(_CAMEL.sub(" ", one))}
+                comments = comments or bool(found & COMMENT_WORDS) and not found & STATE_WORDS
+                marks |= found
+    return Node(tag, number, frozenset(marks), hidden, comments)
 
 
 def read_blocks(page: str | None) -> list[Block]:
@@ -89,6 +96,7 @@ def read_blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[Node] = []
     text: list[str] = []
+    unclosed: set[str] = set()
     linked, in_link, number, at = 0, 0, 0, 0
 
     def flush() -> None:
@@ -140,10 +148,13 @@ def read_blocks(page: str | None) -> list[Block]:
         closing, tag = m.group(1), m.group(2).lower()
         if tag in RAW:
             if not closing and not m.group(3).endswith("/"):
-                end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-                if end is None and tag == "head":
-                    continue
-                at = len(page) if end is None else end.end()
+                end = None if tag in unclosed else re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+                if end is not None:
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -177,9 +188,9 @@ def path_evidence(block: Block) -> float:
             root = i
     if root < 0:
         for i, n in enumerate(path):
-            if n.tag not in ("html", "body") and n.words & ROOT_WORDS and not n.words & (AGAINST_WORDS | COMMENT_WORDS):
+            if n.tag not in ("html", "body") and n.words & ROOT_WORDS and not n.words & AGAINST_WORDS and not n.comments:
                 root = i
-    if any(n.words & COMMENT_WORDS for n in path if n.tag not in ("html", "body")):
+    if any(n.comments for n in path if n.tag not in ("html", "body")):
         return -8.0
     for n in path[root + 1 :]:
         if n.tag in AGAINST_TAGS or n.tag == "header" and root < 0:

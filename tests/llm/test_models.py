@@ -187,6 +187,22 @@ def test_page():
         H.main_text(bad, H.PRIOR)
 
 
+def test_marks_that_hide_nothing():
+    """Words in other attributes' values, tags left open, and classes that say whether there are comments leave the text alone."""
+    text = "This is a long paragraph of running text, that says something, and ends."
+    for start in ('<article style="overflow:hidden">', '<article data-hidden="false">', '<article title="A hidden valley">', '<article class="x hidden-xs">', "<article data-id=5 aria-hidden=false>", "<article title='a class=\"comments\"'>"):
+        assert H.main_text(f"<body>{start}<p>{text}</p></article>", H.PRIOR) == text, start
+    for start in ("<article hidden>", "<article hidden=''>", '<article data-x="1" HIDDEN>', '<article aria-hidden="true">', '<article class="comment-list">', '<article id="comments-wrapper">'):
+        assert H.main_text(f"<body>{start}<p>{text}</p></article>", H.PRIOR) == "", start
+    for tag in sorted(H.RAW - H.TO_THE_END):
+        assert H.main_text(f"<body><article><{tag}><p>{text}</p></article>", H.PRIOR) == text, tag
+    assert H.main_text(f"<article><p>{text}</p><script><p>{text}</p>", H.PRIOR) == text
+    for word in ("has-comments", "no-comments", "hasComments", "post with-comments"):
+        for page in (f'<div class="{word}"><article><p>{text}</p></article></div>', f'<div class="content {word}"><p>{text}</p></div>'):
+            assert H.main_text(page, H.PRIOR) == text, page
+    assert len(H.read_blocks("<button>" * 200_000 + "x")) == 1
+
+
 def test_articles_of_the_test_pages(spark):
     import html
 
