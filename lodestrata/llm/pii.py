@@ -8,11 +8,13 @@ N all documents, a term is disclosive when
     PMI(c; t) = log(n_ct N / (n_c n_t))  >=  alpha * IC(c) = alpha * log(N / n_c)    and    n_ct >= support,
 
 that is, when knowing the term yields at least the share alpha of the entity's information content. A family is a text with its near
-copies (by MinHash bands of the word sets among an entity's texts; by the least word hash for n_t, where counting too many only raises
-the bar): a text that is copied does not make each of its words disclosive.
+copies: among the texts that hold the entity by MinHash bands of the word sets, the same families for n_c, n_ct and n_t; the other
+texts that hold the term, which only n_t counts, by the least word hash. A text that is copied does not make each of its words
+disclosive. Every word outside identifiers is a candidate term, short ones, common ones and numbers too: the threshold alone decides.
 Disclosive terms are generalised wherever they stand.
 
-Candidate terms and disclosive terms go to the executors in blocks of `block_terms`, one pass over the documents for each.
+Candidate terms and disclosive terms go to the executors in blocks of `block_terms`, one pass over the documents for each. A task stops
+listing a common term once it alone has seen it in more families than any entity's threshold allows.
 
 Nulls and edges: a null text counts as empty; a null doc_id stays null; repeated rows get equal results; an empty table gives an
 empty result; extra columns are kept by sanitise() and ignored by the rest. All scans are linear in the text, runs of one
@@ -29,11 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carry, durable, hash_words, lower_az, mix, small_batches, spread, table, tidy
+from .common import carry, durable, hash_words, lower_az, mix, small_batches, spread, table, tidy, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA, SUPPORT, WINDOW, BANDS = 0.9, 4, 8, 8
-MIN_TERM = 4
 _STRIP = ".,;:!?\"'()[]<>"
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -114,27 +115,42 @@ def entity(kind: int, value: str) -> str:
 
 
 def term_of(word: str) -> str:
-    t = lower_az(word.strip(_STRIP))
-    return t if len(t) >= MIN_TERM and not _DIGIT.search(t) else ""
+    """The term a word stands for: the same rule where terms are found, counted and generalised."""
+    return lower_az(word.strip(_STRIP))
 
 
 def _family(tokens: set[str]) -> int:
     return int(hash_words(sorted(tokens)).min().astype(np.int64)) if tokens else 0
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tuple[str, str]]:
-    """(entity, term) for the terms within so many words of an identifier, identifiers themselves left out."""
+def _tokens(text: str) -> set[str]:
+    return set(words(lower_az(text)))
+
+
+def _text_key(tokens: set[str]) -> int:
+    return int(np.bitwise_xor.reduce(mix(hash_words(sorted(tokens)))).astype(np.int64)) if tokens else 0
+
+
+def _layout(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
+    """The words' bounds, which of them hold a part of an identifier, and the first and last word (exclusive) of each identifier."""
     runs = [(m.start(), m.end()) for m in _RUN.finditer(text)]
     starts = np.array([a for a, _ in runs])
     taken = np.zeros(len(runs), bool)
     where = []
-    for s, kind, e in spans:
+    for s, _, e in spans:
         a = max(0, int(np.searchsorted(starts, s, side="right")) - 1)
         b = int(np.searchsorted(starts, e, side="left"))
         taken[a:b] = True
-        where.append((a, b, entity(kind, text[s:e])))
+        where.append((a, b))
+    return runs, taken, where
+
+
+def _contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tuple[str, str]]:
+    """(entity, term) for the terms within so many words of an identifier, identifiers themselves left out."""
+    runs, taken, where = _layout(text, spans)
     out = set()
-    for a, b, who in where:
+    for (a, b), (s, kind, e) in zip(where, spans, strict=True):
+        who = entity(kind, text[s:e])
         for i in (*range(max(0, a - window), a), *range(b, min(len(runs), b + window))):
             if not taken[i] and (t := term_of(text[slice(*runs[i])])):
                 out.add((who, t))
@@ -160,8 +176,8 @@ def _mentions(docs: DataFrame, window: int) -> DataFrame:
             for text in batch["text"]:
                 spans = find_base(text)
                 if spans:
-                    tokens = set(lower_az(text).split())
-                    key = int(np.bitwise_xor.reduce(mix(hash_words(sorted(tokens)))).astype(np.int64))
+                    tokens = _tokens(text)
+                    key = _text_key(tokens)
                     bands = _bands(tokens)
                     rows += [(who, None, key, bands) for who in {entity(k, text[s:e]) for s, k, e in spans}]
                     rows += [(who, t, key, None) for who, t in _contexts(text, spans, window)]
@@ -187,55 +203,86 @@ def _families(mentions: DataFrame, support: int) -> DataFrame:
     return labels
 
 
-def _blocks(terms: DataFrame, size: int) -> Iterator[frozenset[str]]:
-    """The rows of terms(term), on the driver at most about size at a time."""
+def _in_blocks(terms: DataFrame, size: int) -> Iterator[list]:
+    """The rows of terms (one a term), on the driver at most about size at a time."""
     passes = max(1, -(-terms.count() // size))
     for b in range(passes):
-        yield frozenset(r[0] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == b).collect())
+        yield terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == b).collect()
+
+
+def _blocks(terms: DataFrame, size: int) -> Iterator[frozenset[str]]:
+    return (frozenset(r[0] for r in rows) for rows in _in_blocks(terms, size))
+
 
+def _term_texts(docs: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """term, text, family: the texts that hold each of the given terms outside identifiers, and the texts' least word hashes.
 
-def _term_families(docs: DataFrame, terms: frozenset[str]) -> DataFrame:
-    """term, family: in which families each of the given terms occurs."""
+    A task lists no more of a term once it has it with more than limits[term] families.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_ = set(limits)
+        seen: dict[str, set[int]] = {}
         for batch in batches:
             rows = set()
             for text in batch["text"]:
-                if not text:
+                if not text or not open_:
                     continue
-                tokens = set(lower_az(text).split())
-                found = {t for w in tokens if (t := w.strip(_STRIP)) in terms}
+                tokens = _tokens(text)
+                found = {t for w in tokens if (t := w.strip(_STRIP)) in open_}
+                if found and (spans := find_base(text)):
+                    runs, taken, _ = _layout(text, spans)
+                    found &= {term_of(text[a:b]) for (a, b), inside in zip(runs, taken, strict=True) if not inside}
                 if found:
-                    family = _family(tokens)
-                    rows |= {(t, family) for t in found}
-            yield pd.DataFrame(sorted(rows), columns=["term", "family"])
-
-    return spread(docs.select("text")).mapInPandas(tidy(run), "term string, family long").distinct()
+                    key, family = _text_key(tokens), _family(tokens)
+                    for t in found:
+                        rows.add((t, key, family))
+                        seen.setdefault(t, set()).add(family)
+                        if len(seen[t]) > limits[t]:
+                            open_.discard(t)
+                            del seen[t]
+            yield pd.DataFrame(sorted(rows), columns=["term", "text", "family"])
+
+    return spread(docs.select("text")).mapInPandas(tidy(run), "term string, text long, family long").distinct()
+
+
+def _term_counts(joint: DataFrame, families: DataFrame, texts: DataFrame) -> DataFrame:
+    """entity, term, n_t: the entity's families that hold the term, and families by least word hash of the other texts that hold it."""
+    total = texts.groupBy("term", "family").agg(F.count("*").alias("n"))
+    of_term = total.groupBy("term").agg(F.count("*").alias("all"))
+    own = families.withColumnRenamed("family", "own").join(texts, "text").join(joint.select("entity", "term"), ["entity", "term"], "left_semi")
+    own = durable(own)
+    mine = own.groupBy("entity", "term").agg(F.count_distinct("own").alias("mine"))
+    # families by hash that have no text without the entity
+    inside = own.groupBy("entity", "term", "family").agg(F.count("*").alias("k")).join(total, ["term", "family"]).where("k = n")
+    inside = inside.groupBy("entity", "term").agg(F.count("*").alias("inside"))
+    pairs = joint.select("entity", "term").join(of_term, "term").join(mine, ["entity", "term"], "left").join(inside, ["entity", "term"], "left")
+    n_t = F.col("all") - F.coalesce("inside", F.lit(0)) + F.coalesce("mine", F.lit(0))
+    return pairs.select("entity", "term", n_t.alias("n_t"))
 
 
 def disclosive_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, window: int = WINDOW, block_terms: int = 200_000) -> DataFrame:
     """term, disclosure: terms over the threshold for some entity, with their largest PMI as a share of its information content."""
     small_batches(docs.sparkSession)
     mentions = durable(_mentions(docs, window))
-    n = max(2, docs.count())
+    n = float(max(2, docs.count()))
     families = _families(mentions, support)
-    of_entity = families.groupBy("entity").agg(F.count_distinct("family").alias("n_c"))
+    of_entity = families.groupBy("entity").agg(F.count_distinct("family").alias("n_c"), F.count("*").alias("n_texts"))
     terms = mentions.where("term is not null").select("entity", "term", "text").distinct()
     joint = terms.join(families, ["entity", "text"]).select("entity", "term", "family").distinct()
     joint = joint.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
     joint = durable(joint.join(of_entity, "entity"))
-    seen = None
-    for block in _blocks(joint.select("term").distinct(), block_terms):
-        part = _term_families(docs, block) if block else None
-        seen = part if seen is None else seen.union(part)
-    if seen is None:
+    # the most families of a term that leave it over the threshold, and those that the entity's own texts can take off
+    most = F.ceil(F.col("n_ct") * F.pow(n / F.col("n_c"), F.lit(1 - alpha))) + F.col("n_texts") + 1
+    texts = None
+    for block in _in_blocks(joint.groupBy("term").agg(F.max(most).alias("most")), block_terms):
+        part = durable(_term_texts(docs, {r["term"]: r["most"] for r in block})) if block else None
+        texts = part if texts is None else texts if part is None else texts.union(part)
+    if texts is None:
         return docs.sparkSession.createDataFrame([], "term string, disclosure double")
-    of_term = seen.groupBy("term").agg(F.count("*").alias("n_t"))
-    # a term's joint count never exceeds its own, whatever the word rules of the two counts
-    n_t = F.greatest("n_t", "n_ct")
-    ic = F.log(F.lit(float(n)) / F.col("n_c"))
-    share = F.when(ic > 0, F.log(F.col("n_ct") * float(n) / (F.col("n_c") * n_t)) / ic).otherwise(F.lit(0.0))
-    scored = joint.join(of_term, "term").groupBy("term").agg(F.max(share).alias("disclosure"))
+    ic = F.log(n / F.col("n_c"))
+    share = F.when(ic > 0, F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / ic).otherwise(F.lit(0.0))
+    scored = joint.join(_term_counts(joint, families, texts), ["entity", "term"]).groupBy("term").agg(F.max(share).alias("disclosure"))
     return durable(scored.where(F.col("disclosure") >= alpha))
 
 
@@ -246,7 +293,7 @@ def spans_of(text: str | None, terms: frozenset[str], base: bool = True) -> list
     """(start, kind index, end): direct identifiers (if base) and the given terms outside them, by start and kind."""
     direct = find_base(text)
     spans = list(direct) if base else []
-    if terms and text and any(w.strip(_STRIP) in terms for w in set(lower_az(text).split())):
+    if terms and text and any(w.strip(_STRIP) in terms for w in _tokens(text)):
         for m in _RUN.finditer(text):
             word = m.group()
             if term_of(word) in terms:

@@ -80,6 +80,28 @@ def test_disclosive_terms(spark):
     assert all(clean[i] == t for i, t in enumerate(rows) if "@" not in t and "Falconer" not in t)
 
 
+def test_every_word_can_disclose(spark):
+    """Short names, numbers and names with digits; a thousand near copies count once for the term as for the entity; common words don't."""
+    rng = random.Random(11)
+    word = lambda: "w" + "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    rows = []
+    for name, mail in (("Bob", "b@x.example.com"), ("emp4471", "e@x.example.com"), ("王伟", "w@x.example.com"), ("4711", "n@x.example.com")):
+        rows += [" ".join([*some(20), "to", "the", name, mail, *some(20)]) for _ in range(6)]
+    rows += [" ".join([*some(20), "Copper", "c@x.example.com", *some(20)]) for _ in range(5)]
+    copied = [*some(20), "copper", "c@x.example.com", *some(20)]
+    for _ in range(400):
+        w = list(copied)
+        for i in rng.sample([*range(20), *range(22, 42)], 3):
+            w[i] = word()
+        rows.append(" ".join(w))
+    rows += [" ".join(["to", "the", *some(30)]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["term"] for r in P.disclosive_terms(df).collect()} == {"bob", "emp4471", "王伟", "4711", "copper"}
+    assert P.spans_of("x\xa0bob, bob\x85 (Bob)", frozenset(["bob"])) == [(13, 4, 16)]
+    assert P._tokens("x\xa0bob, (Bob)") == {"x\xa0bob,", "(bob)"}
+
+
 def test_pii_odd_rows(odd, none):
     got = P.find_spans(odd).collect()
     assert len(got) == odd.count() and all(r["found"] == [] for r in got)
