@@ -161,12 +161,52 @@ def token_estimate(text: Column) -> Column:
 
 
 def cosine_topk(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
-    """vec_id, score: the k vectors of highest dot product with one query vector (vectors have unit length). query: one row, q."""
+    """vec_id, score: the k vectors of highest dot product with one query vector (vectors have unit length). query: one row, q; for
+    more of them see nearest()."""
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    x = vectors.crossJoin(F.broadcast(query.limit(1)))  # one row
+    x = vectors.crossJoin(F.broadcast(query))  # one row
     return x.select("vec_id", F.round(dot, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """query_id, vec_id, score, rank: for every query vector the k vectors of highest dot product. queries: query_id, q.
+
+    Queries go to the executors in blocks of about `block`, one pass over the vectors for each; a task keeps k rows a query. Null
+    vectors have no score and are left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    queries = queries.where("q IS NOT NULL")
+    passes = max(1, -(-queries.count() // block))
+
+    def scan(rows: list) -> DataFrame:
+        ids, q = np.array([r["query_id"] for r in rows], np.int64), np.array([r["q"] for r in rows], np.float64)
+
+        def run(batches):
+            best, names = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+            for batch in batches if len(ids) else ():
+                for at in range(0, len(batch), 512):
+                    part = batch.iloc[at : at + 512]
+                    dots = q @ np.array(part["embedding"].tolist(), np.float64).T
+                    dots = np.copysign(np.floor(np.abs(dots) * 1e6 + 0.5) / 1e6, dots) + 0.0
+                    best = np.hstack([best, dots])
+                    names = np.hstack([names, np.broadcast_to(part["vec_id"].to_numpy(np.int64), dots.shape)])
+                    first = np.lexsort((names, -best), axis=1)[:, :k]
+                    best, names = np.take_along_axis(best, first, 1), np.take_along_axis(names, first, 1)
+            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": names.ravel(), "score": best.ravel()})
+
+        return vectors.where("embedding IS NOT NULL").select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
+
+    found = None
+    for b in range(passes):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b).select("query_id", "q").collect()
+        if rows or found is None and b == passes - 1:
+            found = scan(rows) if found is None else found.union(scan(rows))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def preview(lines: DataFrame, hits: DataFrame, most: int = 8, width: int = 160) -> DataFrame:
     """doc_id, start_line, line_no, line: the first lines of each hit(doc_id, start_line, end_line), cut to a width."""
     want = hits.select("doc_id", "start_line", F.explode(F.sequence("start_line", F.least(F.col("end_line"), F.col("start_line") + most - 1))).alias("line_no"))

@@ -145,6 +145,14 @@ def cosine_topk(spark, d):
     return Y.cosine_topk(v, v.where("vec_id = 3").select(F.col("embedding").alias("q")))
 
 
+@query("""SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+def cosine_topk_all(spark, d):
+    """Every vector whose id is divisible by 100 is a query against all vectors."""
+    v = T.read(spark, d, "embeddings")
+    return Y.nearest(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+
+
 @query(f"""WITH h AS (SELECT doc_id, (s + 1)::INT AS a, least(s + 6, len(l))::INT AS b FROM {_CH} WHERE contains(array_to_string(l[s + 1:s + 6], chr(10)), 'hrea'))
 SELECT h.doc_id, a AS start_line, line_no, left(line, 160) AS line FROM h JOIN {LINES} l ON l.doc_id = h.doc_id AND line_no BETWEEN a AND least(b, a + 7)""")
 def hit_preview(spark, d):

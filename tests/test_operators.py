@@ -148,3 +148,17 @@ def test_built_in_filters():
     r = FI.Registry()
     found = {c: r.find(c).name for c in ("cargo audit", "uv sync", "kubectl apply -f x", "aws s3 cp a b", "env", "terraform init", "git fetch")}
     assert found["cargo audit"] == "cargo-audit" and found["uv sync"] == "uv" and found["git fetch"] == "git-sync" and found["env"] == "environment"
+
+
+def test_nearest_of_every_query(spark):
+    """In one block or many, against brute force; equal scores go by id, rows without a vector are left out."""
+    from lodestrata.operators.symbols import nearest
+
+    vectors = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(700)] + [(700, None)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    queries = df.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(q, v, r) for q, e in vectors[:700:100] for r, (_, v) in enumerate(sorted((-dot(e, x), i) for i, x in vectors[:700])[:10], 1)}
+    for block in (2048, 2):
+        assert {(r["query_id"], r["vec_id"], r["rank"]) for r in nearest(df, queries, block=block).collect()} == want
+    assert nearest(df, queries.where("false")).count() == 0 and nearest(df.where("false"), queries).count() == 0
