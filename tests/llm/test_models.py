@@ -213,6 +213,56 @@ def test_articles_of_the_test_pages(spark):
         assert r["got"] == "\n".join(x for x in parts if x)
 
 
+LONG = "This is a long paragraph of running text, that says something, and ends."
+PAGE_OF = "<body><nav><a href=x>Home</a></nav>%s<footer>&copy; x</footer></body>"
+AD = "Buy this now, please, it is a very good thing to have."
+REPLY = "Great article, I liked it very much, thanks."
+
+
+@pytest.mark.parametrize(
+    ("middle", "want"),
+    [
+        (f'<article><p>{LONG}</p><p class="share-price related-work">The share price rose.</p><p>{LONG}</p></article>', [LONG, "The share price rose.", LONG]),
+        (f'<article><div class="share-price related-work"><p>The share price rose.</p></div><p>{LONG}</p></article>', ["The share price rose.", LONG]),
+        (f"<article><p>{LONG}</p><math><mi>x</mi><mo>=</mo><mn>1</mn></math><p>{LONG} <math><mi>y</mi></math> ok.</p></article>", [LONG, "x=1", f"{LONG} y ok."]),
+        (f"<article><p>{LONG}</p><p>Press the <button>OK</button> key.</p></article>", [LONG, "Press the OK key."]),
+        (f"<article><p>{LONG}</p><p>No.</p><table><tr><td>1<td>2</table><ul><li>One<li>Two</ul></article>", [LONG, "No.", "1", "2", "One", "Two"]),
+        (f"<article><p>{LONG}</p><p>{LONG}</p></article><div><p>{REPLY}</p><p>I did not like it at all.</p></div>", [LONG, LONG]),
+        (f"<main><article><h1>T</h1><p>{LONG}</p></article><section><h2>Comments</h2><div><p>{REPLY}</p></div></section></main>", ["T", LONG]),
+        (f"<article><h1>T</h1><p>{LONG}</p><section><h3>3 Comments</h3><div><b>Jo</b><p>{REPLY}</p></div></section></article>", ["T", LONG]),
+        (f"<article><h1>T</h1><p>{LONG}</p><section><article><p>{REPLY}</p></article></section></article>", ["T", LONG]),
+        (f'<article><p>{LONG}</p><div class="ad">{AD}</div><p>{LONG}</p><div class="ad-box"><p>{AD}</p></div></article>', [LONG, LONG]),
+        (f'<article><p>{LONG}</p><aside><p>{LONG}</p></aside><ul class="related"><li><a href=a>One</a><li><a href=b>Two</a></ul></article>', [LONG]),
+        (f'<div class="cookie-notice"><p>We use cookies, to show adverts.</p></div><div id="content"><h1>Title here</h1><p>{LONG}</p></div><div class="sidebar"><p>Some teaser text, here.</p></div>', ["Title here", LONG]),
+    ],
+)
+def test_the_cut_weighs_marks(middle, want):
+    assert H.main_text(PAGE_OF % middle, H.PRIOR).split("\n") == want
+
+
+def test_the_cut_changes_labels():
+    """Short blocks among text are content although their own odds say no; a lone sentence among links is not although they say yes."""
+    short = PAGE_OF % f"<div><h1>T</h1><p>{LONG}</p><h2>A</h2><p>{LONG}</p><ul><li>b<li>c</ul><p>{LONG}</p></div>"
+    lone = "<body><div>" + "<p><a href=x>Some other page</a></p>" * 3 + "<p>Do see more.</p>" + "<p><a href=x>Some other page</a></p>" * 3 + f"</div><div><p>{LONG}</p><p>{LONG}</p></div>"
+    for page, sign in ((short, False), (lone, True)):
+        blocks = H.read_blocks(page)
+        odds, labels = H.odds(blocks, H.PRIOR), H.label_blocks(blocks, H.PRIOR)
+        changed = [b.text for b, o, keep in zip(blocks, odds, labels, strict=True) if (o > 0) != keep]
+        assert changed and all((o > 0) == sign for b, o, keep in zip(blocks, odds, labels, strict=True) if (o > 0) != keep), (changed, odds, labels)
+
+
+def test_reading_is_linear():
+    import time
+
+    for page in ("<div>", "<div>x<p>", "<section><article><div>x</section>", '<p title="x>text</p>', '<a x="1>="', "<p x='>text", "<ul><li>", "</p>", "<svg>"):
+        seconds = []
+        for n in (4000, 32000):
+            t = time.process_time()
+            H.read_blocks(page * n)
+            seconds.append(time.process_time() - t)
+        assert seconds[1] < max(0.2, 24 * seconds[0]), (page, seconds)
+
+
 def test_html_odd_rows(spark):
     schema = "page_id long, url string, html string, text string, doc_id long"
     pages = spark.createDataFrame([(1, "u", None, "x", 1), (1, "u", None, "x", 1), (None, None, "", None, None), (2, "v", PAGE, "", 2)], schema)
