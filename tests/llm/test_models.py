@@ -283,8 +283,15 @@ def test_decontamination(spark):
         if i % 4 == 0:
             item, text = items[rng.randrange(60)]
             passage = text.split()
-            if i % 8 == 0 and len(passage) > 30:
-                passage[rng.randrange(len(passage))] = word()
+            n = len(passage)
+            if i % 8 == 0 and n > 30:
+                passage[rng.randrange(n)] = word()
+            elif i % 24 == 4 and n > 30:
+                del passage[rng.randrange(n)]
+            elif i % 24 == 12 and n > 30:
+                passage.insert(rng.randrange(n), word())
+            elif i % 24 == 20 and n > 40:
+                passage = passage[n // 2 :] + passage[: n // 2]
             at = rng.randint(0, len(w))
             w[at:at] = " ".join(passage).upper().replace(" ", ". ", 1).split()
             want.add((i, item))
@@ -299,11 +306,13 @@ def test_decontamination(spark):
         k = min(5, len(m))
         grams = lambda w: collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
         mine = grams(m)
+        if not mine.keys() & grams(d).keys():
+            return 0.0
         return max((mine & grams(d[s : s + len(m)])).total() / mine.total() for s in range(max(1, len(d) - len(m) + 1)))
 
+    brute = {(d, i): s for d, t in docs for i, x in items if (s := plain(t, x)) >= 0.8}
     for block in (5000, 20):
         got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.contaminated(df, bench, block_items=block).collect()}
-        brute = {(d, i): s for d, t in docs for i, x in items if (s := plain(t, x)) >= 0.8}
         assert got.keys() == brute.keys() and want <= got.keys()
         assert all(abs(got[k] - brute[k]) < 1e-9 for k in got)
     kept = {r["doc_id"] for r in D.decontaminate(df, bench).collect()}
@@ -320,14 +329,59 @@ def test_decontamination_odd_rows(odd, none, spark):
 
 
 def test_fingerprints_within_the_radius_are_found():
+    """Multi-index blocks return every pair within the radius, and few others are looked at."""
     rng = np.random.default_rng(3)
-    c = D.SizeClass(10, 5, D.RADIUS, D.BLOCKS)
-    c.shingles = [rng.integers(0, 2**63, size=6, dtype=np.uint64) for _ in range(200)]
-    c.seal()
-    prints = c.prints.copy()
-    for i in range(200):
-        for b in rng.choice(64, size=int(rng.integers(0, D.RADIUS + 1)), replace=False):
-            prints[i] ^= np.uint64(1) << np.uint64(b)
-    w, i, d = c.candidates(prints)
-    want = np.bitwise_count(prints[:, None] ^ c.prints[None, :]) <= D.RADIUS
-    assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True))
+    stored = rng.integers(0, 2**63, size=500, dtype=np.uint64)
+    asked = stored.copy()
+    for i in range(500):
+        for b in rng.choice(64, size=int(rng.integers(0, D.RADIUS + 2)), replace=False):
+            asked[i] ^= np.uint64(1) << np.uint64(b)
+    tables = D.HammingTables(stored, D.RADIUS)
+    w, i, d = tables.within(asked)
+    want = np.bitwise_count(asked[:, None] ^ stored[None, :])
+    assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(want <= D.RADIUS)), strict=True))
+    assert (d == want[w, i]).all()
+    unrelated = rng.integers(0, 2**63, size=2000, dtype=np.uint64)
+    passed = sum(int((np.searchsorted(v, own, "right") - np.searchsorted(v, own, "left")).sum()) for (lo, mask), (v, _) in zip(tables.blocks, tables.tables, strict=True) for own in [(unrelated >> lo) & mask])
+    assert passed < 2000 * 500 * 2e-4
+
+
+def test_recall_of_the_fingerprints():
+    """Edited items: of all pairs that brute force over every window finds, none is missed; swapped halves and edits of each kind."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    items = [[word() for _ in range(rng.randint(20, 80))] for _ in range(150)]
+    index = D.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    missed = found = 0
+    for i, item in enumerate(items):
+        for kind in range(5):
+            w = list(item)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(w))
+                if kind == 0:
+                    w[at] = word()
+                elif kind == 1:
+                    del w[at]
+                elif kind == 2:
+                    w.insert(at, word())
+                elif kind == 3:
+                    w = w[at:] + w[:at]
+                else:
+                    w[at:at] = [word(), word()]
+            text = [word() for _ in range(rng.randrange(50))] + w + [word() for _ in range(rng.randrange(50))]
+            grams = lambda x: collections.Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4))
+            mine = grams(item)
+            truth = max((mine & grams(text[s : s + len(item)])).total() / mine.total() for s in range(max(1, len(text) - len(item) + 1)))
+            h = D.hash_words(text)
+            got = {x[1]: x[4] for x in index.matches(h, np.array([len(h)]))}
+            if truth >= D.THRESHOLD:
+                found += 1
+                missed += i not in got or abs(got[i] - truth) > 1e-9
+            assert truth >= D.THRESHOLD or i not in got
+    assert found > 250 and missed == 0
+
+
+def test_equal_items_answer_each(spark):
+    bench = spark.createDataFrame([(i, "one two three four five six seven") for i in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven eight"), (2, "none")], "doc_id long, text string")
+    assert sorted(r["item_id"] for r in D.contaminated(docs, bench, block_items=1).collect()) == list(range(50))
