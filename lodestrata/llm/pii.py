@@ -1,20 +1,23 @@
 """Personal data and what gives it away (operator 2).
 
 Direct identifiers (e-mail addresses, IPv4 addresses, payment cards, international phone numbers) are found by fixed patterns.
-Each distinct value is a protected entity. Terms that disclose an entity are then found from co-occurrence over the corpus: with
-n_c, n_t, n_ct the numbers of text families that hold the entity, the term, and the term within `window` words of the entity, and
-N all documents, a term is disclosive when
+Each distinct value is a protected entity. Terms that disclose an entity are then found from co-occurrence over the corpus. All four
+numbers count the same thing, families of near copies: N families in all, n_c whose text holds the entity, n_t the term, and n_ct the
+term within `window` words of the entity. A term is disclosive when
 
     PMI(c; t) = log(n_ct N / (n_c n_t))  >=  alpha * IC(c) = alpha * log(N / n_c)    and    n_ct >= support,
 
-that is, when knowing the term yields at least the share alpha of the entity's information content. A family is a text with its near
-copies: among the texts that hold the entity by MinHash bands of the word sets, the same families for n_c, n_ct and n_t; the other
-texts that hold the term, which only n_t counts, by the least word hash. A text that is copied does not make each of its words
-disclosive. Every word outside identifiers is a candidate term, short ones, common ones and numbers too: the threshold alone decides.
-Disclosive terms are generalised wherever they stand.
+that is, when knowing the term yields at least the share alpha of the entity's information content. So a text that is copied does
+not make each of its words disclosive. Every word outside identifiers is a candidate term, short ones, common ones and numbers too:
+the threshold alone decides. Disclosive terms are generalised wherever they stand.
 
-Candidate terms and disclosive terms go to the executors in blocks of `block_terms`, one pass over the documents for each. A task stops
-listing a common term once it alone has seen it in more families than any entity's threshold allows.
+A family is a connected component of links between texts whose sets of word pairs are similar: texts that share a band of their
+MinHash signatures (8 bands of 3 coordinates) are compared with the least text of the band, and linked when a third of all
+coordinates agree. One text, the least by its hash, stands for the family in every count; equal texts are one text.
+
+n_t takes a second pass over the documents. A term that stands near entities in more families already than any entity's threshold
+allows can't be disclosive and is left out of it (most common words); the others go to the executors in blocks of `block_terms`,
+one pass for each, and so do disclosive terms.
 
 Nulls and edges: a null text counts as empty; a null doc_id stays null; repeated rows get equal results; an empty table gives an
 empty result; extra columns are kept by sanitise() and ignored by the rest. All scans are linear in the text, runs of one
@@ -31,10 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carry, durable, hash_words, lower_az, mix, small_batches, spread, table, tidy, words
+from .common import carry, durable, lookup, lower_az, small_batches, spread, table, tidy, words
+from .components import connected_components
+from .neardup import _coefficients, shingle_sets, signature
 
 KINDS = ("email", "ip", "card", "phone", "term")
-ALPHA, SUPPORT, WINDOW, BANDS = 0.9, 4, 8, 8
+ALPHA, SUPPORT, WINDOW = 0.9, 4, 8
+BANDS, BAND, AGREE = 8, 3, 8
 _STRIP = ".,;:!?\"'()[]<>"
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -119,18 +125,10 @@ def term_of(word: str) -> str:
     return lower_az(word.strip(_STRIP))
 
 
-def _family(tokens: set[str]) -> int:
-    return int(hash_words(sorted(tokens)).min().astype(np.int64)) if tokens else 0
-
-
 def _tokens(text: str) -> set[str]:
     return set(words(lower_az(text)))
 
 
-def _text_key(tokens: set[str]) -> int:
-    return int(np.bitwise_xor.reduce(mix(hash_words(sorted(tokens)))).astype(np.int64)) if tokens else 0
-
-
 def _layout(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
     """The words' bounds, which of them hold a part of an identifier, and the first and last word (exclusive) of each identifier."""
     runs = [(m.start(), m.end()) for m in _RUN.finditer(text)]
@@ -157,132 +155,101 @@ def _contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> set[
     return out
 
 
-def _bands(tokens: set[str]) -> list[int]:
-    """Keys that texts with similar word sets share: MinHash coordinates, three at a time."""
-    x = (hash_words(sorted(tokens)) >> np.uint64(32)).astype(np.uint32)
-    i = np.arange(1, 3 * BANDS + 1, dtype=np.uint64)
-    flips, factors = (mix(i) >> np.uint64(32)).astype(np.uint32), (mix(~i) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    least = np.array([((x ^ f) * g).min() for f, g in zip(flips, factors, strict=True)], dtype=np.uint64)
-    keys = mix(mix(mix(least[::3] + np.arange(BANDS, dtype=np.uint64)) + least[1::3]) + least[2::3])
-    return keys.astype(np.int64).tolist()
+_KEY = "xxhash64(coalesce(text, ''))"
 
 
-def _mentions(docs: DataFrame, window: int) -> DataFrame:
-    """entity, term (null for the entity itself), text (a hash of the whole text), bands (with the entity only)."""
+def _sketches(docs: DataFrame, window: int) -> DataFrame:
+    """key (a hash of the text), sig (MinHash of its word pairs), found (entities, each once with a null term, and their terms)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flips, factors = _coefficients(BANDS * BAND)
         for batch in batches:
-            rows = []
+            sigs, found = [], []
             for text in batch["text"]:
+                pairs = next(shingle_sets([text], 2))
+                sigs.append(signature(pairs, flips, factors) if len(pairs) else None)
                 spans = find_base(text)
-                if spans:
-                    tokens = _tokens(text)
-                    key = _text_key(tokens)
-                    bands = _bands(tokens)
-                    rows += [(who, None, key, bands) for who in {entity(k, text[s:e]) for s, k, e in spans}]
-                    rows += [(who, t, key, None) for who, t in _contexts(text, spans, window)]
-            yield pd.DataFrame(rows, columns=["entity", "term", "text", "bands"])
-
-    return spread(docs.select("text")).mapInPandas(tidy(run), "entity string, term string, text long, bands array<long>")
-
-
-def _families(mentions: DataFrame, support: int) -> DataFrame:
-    """entity, text, family: the texts of each entity, near copies under one family.
-
-    Texts that share a band take the least label among them, in three rounds, so that nearly all near copies of a text end up with
-    one label, however many there are. Entities in fewer than `support` texts can't support a term and are left out.
-    """
-    texts = mentions.where("term is null").groupBy("entity", "text").agg(F.first("bands").alias("bands"))
-    enough = texts.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("entity")
-    rows = durable(texts.join(enough, "entity", "left_semi").select("entity", "text", F.explode("bands").alias("band")))
-    labels = rows.select("entity", "text").distinct().withColumn("family", F.col("text"))
-    for _ in range(3):
-        here = rows.join(labels, ["entity", "text"])
-        least = here.groupBy("entity", "band").agg(F.min("family").alias("least"))
-        labels = durable(rows.join(least, ["entity", "band"]).groupBy("entity", "text").agg(F.min("least").alias("family")))
-    return labels
+                rows = [{"entity": who, "term": None} for who in sorted({entity(k, text[s:e]) for s, k, e in spans})]
+                found.append(rows + [{"entity": who, "term": t} for who, t in sorted(_contexts(text, spans, window))] if spans else [])
+            yield pd.DataFrame({"key": batch["key"], "sig": sigs, "found": found})
+
+    return spread(docs.select("text", F.expr(_KEY).alias("key"))).mapInPandas(tidy(run), "key long, sig binary, found array<struct<entity:string,term:string>>")
+
+
+def _copies(sketches: DataFrame) -> DataFrame:
+    """key of every text for whose family another text stands."""
+    texts = durable(sketches.groupBy("key").agg(F.first("sig").alias("sig")).where("sig is not null"))
+    band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", 2 * BAND * i + 1, 2 * BAND))
+    rows = texts.select("key", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("band"))
+    least = rows.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    pairs = lookup(rows, "band", least, "key").where("key <> least").select("key", "least").distinct()
+    pairs = lookup(pairs, "key", texts, "least").withColumnRenamed("sig", "own")
+    pairs = lookup(pairs, "least", texts.withColumnRenamed("key", "least"), "key")
+    coordinate = lambda c, i: F.substring(c, 2 * i + 1, 2)
+    agree = sum((coordinate("own", i) == coordinate("sig", i)).cast("int") for i in range(BANDS * BAND))
+    links = pairs.where(agree >= AGREE).select(F.col("key").alias("a"), F.col("least").alias("b"))
+    return connected_components(links).where("node <> root").select(F.col("node").alias("key"))
 
 
 def _in_blocks(terms: DataFrame, size: int) -> Iterator[list]:
-    """The rows of terms (one a term), on the driver at most about size at a time."""
-    passes = max(1, -(-terms.count() // size))
+    """The rows of terms (one a term), on the driver at most about size at a time; no empty blocks."""
+    passes = -(-terms.count() // size)
     for b in range(passes):
-        yield terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == b).collect()
-
+        if rows := terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == b).collect():
+            yield rows
 
-def _blocks(terms: DataFrame, size: int) -> Iterator[frozenset[str]]:
-    return (frozenset(r[0] for r in rows) for rows in _in_blocks(terms, size))
 
+def _blocks(terms: DataFrame, size: int) -> list[frozenset[str]]:
+    """The terms in sets of about size; one empty set where there are none."""
+    return [frozenset(r[0] for r in rows) for rows in _in_blocks(terms, size)] or [frozenset()]
 
-def _term_texts(docs: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """term, text, family: the texts that hold each of the given terms outside identifiers, and the texts' least word hashes.
 
-    A task lists no more of a term once it has it with more than limits[term] families.
-    """
+def _holders(docs: DataFrame, terms: frozenset[str]) -> DataFrame:
+    """key, terms: the given terms that each text holds outside identifiers, texts that hold none left out; equal texts once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_ = set(limits)
-        seen: dict[str, set[int]] = {}
         for batch in batches:
-            rows = set()
-            for text in batch["text"]:
-                if not text or not open_:
-                    continue
-                tokens = _tokens(text)
-                found = {t for w in tokens if (t := w.strip(_STRIP)) in open_}
+            keys, held = [], []
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                found = {t for w in _tokens(text) if (t := w.strip(_STRIP)) in terms} if text else set()
                 if found and (spans := find_base(text)):
                     runs, taken, _ = _layout(text, spans)
                     found &= {term_of(text[a:b]) for (a, b), inside in zip(runs, taken, strict=True) if not inside}
                 if found:
-                    key, family = _text_key(tokens), _family(tokens)
-                    for t in found:
-                        rows.add((t, key, family))
-                        seen.setdefault(t, set()).add(family)
-                        if len(seen[t]) > limits[t]:
-                            open_.discard(t)
-                            del seen[t]
-            yield pd.DataFrame(sorted(rows), columns=["term", "text", "family"])
-
-    return spread(docs.select("text")).mapInPandas(tidy(run), "term string, text long, family long").distinct()
-
-
-def _term_counts(joint: DataFrame, families: DataFrame, texts: DataFrame) -> DataFrame:
-    """entity, term, n_t: the entity's families that hold the term, and families by least word hash of the other texts that hold it."""
-    total = texts.groupBy("term", "family").agg(F.count("*").alias("n"))
-    of_term = total.groupBy("term").agg(F.count("*").alias("all"))
-    own = families.withColumnRenamed("family", "own").join(texts, "text").join(joint.select("entity", "term"), ["entity", "term"], "left_semi")
-    own = durable(own)
-    mine = own.groupBy("entity", "term").agg(F.count_distinct("own").alias("mine"))
-    # families by hash that have no text without the entity
-    inside = own.groupBy("entity", "term", "family").agg(F.count("*").alias("k")).join(total, ["term", "family"]).where("k = n")
-    inside = inside.groupBy("entity", "term").agg(F.count("*").alias("inside"))
-    pairs = joint.select("entity", "term").join(of_term, "term").join(mine, ["entity", "term"], "left").join(inside, ["entity", "term"], "left")
-    n_t = F.col("all") - F.coalesce("inside", F.lit(0)) + F.coalesce("mine", F.lit(0))
-    return pairs.select("entity", "term", n_t.alias("n_t"))
+                    keys.append(key)
+                    held.append(sorted(found))
+            yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "terms": pd.Series(held, dtype=object)})
+
+    rows = spread(docs.select("text", F.expr(_KEY).alias("key"))).mapInPandas(tidy(run), "key long, terms array<string>")
+    return rows.groupBy("key").agg(F.first("terms").alias("terms"))
 
 
 def disclosive_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, window: int = WINDOW, block_terms: int = 200_000) -> DataFrame:
     """term, disclosure: terms over the threshold for some entity, with their largest PMI as a share of its information content."""
     small_batches(docs.sparkSession)
-    mentions = durable(_mentions(docs, window))
-    n = float(max(2, docs.count()))
-    families = _families(mentions, support)
-    of_entity = families.groupBy("entity").agg(F.count_distinct("family").alias("n_c"), F.count("*").alias("n_texts"))
-    terms = mentions.where("term is not null").select("entity", "term", "text").distinct()
-    joint = terms.join(families, ["entity", "text"]).select("entity", "term", "family").distinct()
-    joint = joint.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    joint = durable(joint.join(of_entity, "entity"))
-    # the most families of a term that leave it over the threshold, and those that the entity's own texts can take off
-    most = F.ceil(F.col("n_ct") * F.pow(n / F.col("n_c"), F.lit(1 - alpha))) + F.col("n_texts") + 1
-    texts = None
-    for block in _in_blocks(joint.groupBy("term").agg(F.max(most).alias("most")), block_terms):
-        part = durable(_term_texts(docs, {r["term"]: r["most"] for r in block})) if block else None
-        texts = part if texts is None else texts if part is None else texts.union(part)
-    if texts is None:
+    sketches = durable(_sketches(docs, window))
+    copies = _copies(sketches)
+    n = float(sketches.select("key").distinct().count() - copies.count())
+    found = sketches.where(F.size("found") > 0).select("key", F.explode("found").alias("f")).select("key", "f.entity", "f.term").distinct()
+    found = durable(found.join(copies, "key", "left_anti"))
+    of_entity = found.where("term is null").groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
+    joint = found.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
+    joint = lookup(joint, "entity", of_entity, "term")
+    # the most families of a term that leave it over the threshold, and those known of before documents are read again
+    most = joint.groupBy("term").agg(F.max(F.col("n_ct") * F.pow(n / F.col("n_c"), F.lit(1 - alpha))).alias("most"))
+    near = found.where("term is not null").select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("near"))
+    terms = durable(most.join(near, "term").where("near <= most + 1e-6").select("term"))
+    joint = durable(joint.join(terms, "term", "left_semi"))
+    n_t = None
+    for block in _in_blocks(terms, block_terms):
+        held = _holders(docs, frozenset(r[0] for r in block)).join(copies, "key", "left_anti").select(F.explode("terms").alias("term"))
+        part = held.groupBy("term").agg(F.count("*").alias("n_t"))
+        n_t = part if n_t is None else n_t.union(part)
+    if n_t is None:
         return docs.sparkSession.createDataFrame([], "term string, disclosure double")
     ic = F.log(n / F.col("n_c"))
     share = F.when(ic > 0, F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / ic).otherwise(F.lit(0.0))
-    scored = joint.join(_term_counts(joint, families, texts), ["entity", "term"]).groupBy("term").agg(F.max(share).alias("disclosure"))
+    scored = lookup(joint, "term", n_t, "entity").groupBy("term").agg(F.max(share).alias("disclosure"))
     return durable(scored.where(F.col("disclosure") >= alpha))
 
 
@@ -304,26 +271,21 @@ def spans_of(text: str | None, terms: frozenset[str], base: bool = True) -> list
     return sorted(spans)
 
 
-def _find(docs: DataFrame, terms: frozenset[str], base: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [[{"start": s, "kind": k, "end": e} for s, k, e in spans_of(t, terms, base)] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": found})
-
-    return spread(docs).mapInPandas(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found {_SPAN}")
-
-
 def find_spans(docs: DataFrame, block_terms: int = 200_000, **limits) -> DataFrame:
     """doc_id, found: the spans (start, kind index, end) of identifiers and disclosive terms of every text, by start and kind."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    blocks = _blocks(disclosive_terms(docs, block_terms=block_terms, **limits).select("term"), block_terms)
-    out = _find(docs, next(blocks), base=True)
-    for block in blocks:
-        # only beyond block_terms disclosive terms: each further block is a pass of its own
-        more = _find(docs, block, base=False).select("doc_id", F.col("found").alias("more")).dropDuplicates(["doc_id"])
-        out = out.join(more, "doc_id", "left").withColumn("found", F.array_sort(F.concat("found", F.coalesce("more", F.array())))).drop("more")
-    return out
+    out = spread(docs.select("doc_id", "text")).withColumn("found", F.array().cast(_SPAN))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, found {_SPAN}"
+    for i, block in enumerate(_blocks(disclosive_terms(docs.select("text"), block_terms=block_terms, **limits).select("term"), block_terms)):
+        # only beyond block_terms disclosive terms: a row goes through one step a block, its spans with it
+
+        def run(batches: Iterator[pd.DataFrame], block: frozenset[str] = block, base: bool = i == 0) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [sorted([*((x["start"], x["kind"], x["end"]) for x in old), *spans_of(t, block, base)]) for t, old in zip(batch["text"], batch["found"], strict=True)]
+                yield batch.assign(found=[[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in found])
+
+        out = out.mapInPandas(tidy(run), schema)
+    return out.select("doc_id", "found")
 
 
 def redact(text: str | None, spans: list) -> str | None:

@@ -102,6 +102,75 @@ def test_every_word_can_disclose(spark):
     assert P._tokens("x\xa0bob, (Bob)") == {"x\xa0bob,", "(bob)"}
 
 
+def test_disclosure_is_the_formula(spark):
+    """Every disclosive term and its share, against counts over all (entity, term) pairs."""
+    import math
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(260):
+        w = rng.choices(vocabulary[40:], k=40)
+        for _ in range(rng.randint(0, 3)):
+            e = rng.randrange(6)
+            at = rng.randrange(len(w))
+            w[at:at] = [*rng.sample(vocabulary[e * 6 : e * 6 + 6], rng.randint(1, 3)), f"p{e}@x.example.com"]
+        rows.append(" ".join(w))
+    rows += rows[:40]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    texts = sorted(set(rows))
+    assert P._copies(P._sketches(df, 8)).count() == 0
+    holds, near, has = {}, {}, {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j, x in enumerate(w):
+            if "@" in x:
+                has.setdefault(x, set()).add(i)
+                for y in w[max(0, j - 8) : j] + w[j + 1 : j + 9]:
+                    if "@" not in y:
+                        near.setdefault((x, y), set()).add(i)
+            else:
+                holds.setdefault(x, set()).add(i)
+    want, n = {}, len(texts)
+    for alpha in (0.9, 0.3):
+        want = {}
+        for (e, t), both in near.items():
+            if len(both) >= 4:
+                share = math.log(len(both) * n / (len(has[e]) * len(holds[t]))) / math.log(n / len(has[e]))
+                if share >= alpha:
+                    want[t] = max(share, want.get(t, 0))
+        got = {r["term"]: r["disclosure"] for r in P.disclosive_terms(df, alpha=alpha).collect()}
+        assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in got)
+    assert len(want) > 5
+
+
+def test_families(spark):
+    """Near copies form one family each, unrelated texts none, however many there are."""
+    rng = random.Random(12)
+    rows, family = [], []
+    for f in range(120):
+        base = [f"v{rng.randrange(400)}" for _ in range(60)]
+        for _ in range(rng.choice([1, 1, 1, 2, 30])):
+            w = list(base)
+            for at in rng.sample(range(60), 2):
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(w))
+            family.append(f)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    copies = P._copies(P._sketches(df, 8)).count()
+    assert len(rows) - 120 - 3 <= copies <= len(rows) - 120
+
+
+def test_repeated_and_null_ids_keep_their_spans(spark):
+    rows = [" ".join([f"a{i}", "b", "Falconer", "x@y.org", f"c{i}", *[f"z{i}{j}" for j in range(30)]]) for i in range(6)]
+    rows += [" ".join(f"q{i}{j}" for j in range(30)) for i in range(60)]
+    more = [(7, "Falconer here"), (7, "here stands Falconer"), (None, "and Falconer"), (None, None)]
+    df = spark.createDataFrame([*((100 + i, t) for i, t in enumerate(rows)), *more], "doc_id long, text string")
+    for block in (200_000, 1):
+        got = sorted((r["doc_id"] or 0, [(x["start"], x["kind"]) for x in r["found"]]) for r in P.find_spans(df, block_terms=block, alpha=0.7).collect() if (r["doc_id"] or 0) < 100)
+        assert got == [(0, []), (0, [(4, 4)]), (7, [(0, 4)]), (7, [(12, 4)])], got
+
+
 def test_pii_odd_rows(odd, none):
     got = P.find_spans(odd).collect()
     assert len(got) == odd.count() and all(r["found"] == [] for r in got)
