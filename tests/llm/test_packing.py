@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestrata.llm.packing import assign_sequences, best_fit, cut, encoder, pack_documents, tokenize_pieces
+from lodestrata.llm.packing import MAX_DOCS, MAX_TOKENS, WEIGHTS, assign_sequences, best_fit, cut, encoder, pack_documents, tokenize_pieces
 
 
 def reference():
@@ -26,6 +26,33 @@ def test_ids_are_the_tokenizer_librarys():
         assert encode(text).tolist() == e.ids, repr(text)
 
 
+def test_ids_of_the_test_tables(spark):
+    """Every whole text of sf0.01."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    encode = encoder(None)
+    for text, e in zip(texts, reference().encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == e.ids
+
+
+def test_no_group_holds_a_repeated_id(spark):
+    """Rows without an id, or with one id, are dealt as evenly as others."""
+    pieces = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(500).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    out = assign_sequences(pieces, group_rows=1000)
+    groups = out.groupBy((F.col("sequence_id") % 20).alias("g")).count().collect()
+    assert len(groups) == 20 and max(r["count"] for r in groups) < 1300
+    assert out.select("sequence_id").distinct().count() <= 5000 + 20
+
+
+def test_production_capacities_bind():
+    """Many short pieces: the document capacity holds in every sequence."""
+    rng = random.Random(9)
+    n = sorted((rng.randint(1, 60) for _ in range(3000)), reverse=True)
+    counts: dict = {}
+    for b in best_fit(n, MAX_TOKENS, MAX_DOCS, MAX_TOKENS**2, WEIGHTS):
+        counts[b] = counts.get(b, 0) + 1
+    assert max(counts.values()) == MAX_DOCS
+
+
 def test_round_trip(odd, none):
     """The pieces of a document, put together again by sequence and offset, are its ids."""
     out = pack_documents(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), max_tokens=64).collect()
