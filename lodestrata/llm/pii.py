@@ -181,10 +181,15 @@ def _copies(sketches: DataFrame) -> DataFrame:
     texts = durable(sketches.groupBy("key").agg(F.first("sig").alias("sig")).where("sig is not null"))
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", 2 * BAND * i + 1, 2 * BAND))
     rows = texts.select("key", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("band"))
-    least = rows.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    pairs = lookup(rows, "band", least, "key").where("key <> least").select("key", "least").distinct()
-    pairs = lookup(pairs, "key", texts, "least").withColumnRenamed("sig", "own")
-    pairs = lookup(pairs, "least", texts.withColumnRenamed("key", "least"), "key")
+    least = durable(rows.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    # at most 1000 bands hold a thousandth of all rows; their rows meet the least text without a shuffle
+    often = max(2, texts.count() * BANDS // 1000)
+    hot, cold = least.where(F.col("n") >= often).drop("n"), least.where(F.col("n") < often).drop("n")
+    pairs = rows.join(F.broadcast(hot), "band").unionByName(rows.join(F.broadcast(hot.select("band")), "band", "left_anti").join(cold, "band"))
+    pairs = durable(pairs.where("key <> least").select("key", "least").distinct())
+    # a text has at most a pair a band, but many texts may have the same least one
+    stand = texts.join(pairs.select(F.col("least").alias("key")).distinct(), "key").withColumnRenamed("key", "least")
+    pairs = lookup(pairs.join(texts.withColumnRenamed("sig", "own"), "key"), "least", stand, "key")
     coordinate = lambda c, i: F.substring(c, 2 * i + 1, 2)
     agree = sum((coordinate("own", i) == coordinate("sig", i)).cast("int") for i in range(BANDS * BAND))
     links = pairs.where(agree >= AGREE).select(F.col("key").alias("a"), F.col("least").alias("b"))
