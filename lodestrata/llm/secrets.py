@@ -9,7 +9,9 @@ fewer hold, that is long and random enough and no placeholder, is live-looking.
 Spans the method adds (kind `owned`): tokens outside the base spans that are live-looking and either are the value of a base
 finding somewhere in the corpus, or are of 24 letters and digits or more, of both cases, with four digits and high entropy.
 
-Positions come from the pieces between the matches: a match starts where the lengths of all pieces and matches before it end.
+Positions come from the pieces between the matches: a match starts where the lengths of all pieces and matches before it end. Their
+running totals are taken in blocks, and spans and verdicts are looked up by binary search, so a text of very many matches is no
+square work.
 
 Nulls and edges: a null text counts as empty; a null owner is one more owner; rows with a null doc_id get base spans only; repeated
 rows get equal results and count as one repository; an empty table gives an empty result; extra columns are ignored.
@@ -32,37 +34,76 @@ KINDS = ("assign", "access", "hex", "owned")
 MANY_OWNERS = 3
 
 
+def _running(values: Column) -> Column:
+    """Running totals of a short array: every step copies what there is."""
+    zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        return F.struct((acc["sum"] + v).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + v)).alias("out"))
+
+    return F.aggregate(values, zero, step, lambda acc: acc["out"])
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_totals(values: Column) -> Column:
+    """Running totals of an array of ints, in blocks of its length's square root, so that long arrays are no square work."""
+
+    def blocks(v: Column, width: Column) -> Column:
+        last = F.ceil(F.size(v) / width).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: _running(F.slice(v, i * width + 1, width)))
+
+    def joined(inner: Column) -> Column:
+        sums = _running(F.transform(inner, lambda x: F.get(x, F.size(x) - 1)))
+        return F.flatten(F.zip_with(inner, sums, lambda x, end: let(end - F.get(x, F.size(x) - 1), lambda before: F.transform(x, lambda v: v + before))))
+
+    total = lambda v: F.when(F.size(v) > 0, let(let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda w: blocks(v, w)), joined)).otherwise(F.array().cast("array<int>"))
+    return let(values, total)
+
+
+def _count_before(spans: Column, before) -> Column:
+    """How many of the first elements of a sorted array are `before`: a binary search."""
+    take = lambda at, step: F.when((at + step <= F.size(spans)) & before(F.get(spans, at + step - 1)), at + step).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(26, -1, -1)]), F.lit(0), take)
+
+
+_ONE = "struct<start:int,kind:int,end:int,value:string>"
+
+
 def _found(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
     """start, kind, end, value of every match, leftmost and non-overlapping, in code points."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    named = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else whole
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(whole, named, lambda m, v: F.struct(F.char_length(m).alias("n"), v.alias("v")))
-    steps = F.zip_with(steps, F.slice(gaps, F.lit(1), F.size(whole)), lambda s, g: F.struct(s["n"].alias("n"), s["v"].alias("v"), F.char_length(g).alias("g")))
-    one = "struct<start:int,kind:int,end:int,value:string>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("out"))
+    item = lambda end, s: F.struct((end - s["n"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), s["v"].alias("value"))
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["g"]
-        end = start + s["n"]
-        item = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), s["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def spans(whole: Column) -> Column:
+        named = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else whole
+        ends = running_totals(F.zip_with(whole, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)), lambda m, g: F.char_length(m) + F.char_length(g)))
+        sizes = F.zip_with(whole, named, lambda m, v: F.struct(F.char_length(m).alias("n"), v.alias("v")))
+        return F.zip_with(ends, sizes, item)
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(steps, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{one}>"))
+    return F.when(F.rlike(text, F.lit(pattern)), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(F.array().cast(f"array<{_ONE}>"))
 
 
 def candidates(docs: DataFrame, owner: str | None) -> DataFrame:
     """doc_id, owner, base and tokens: the spans of the fixed patterns, and other candidate tokens."""
     rows = docs.select("doc_id", (F.col(owner).cast("string") if owner else F.lit(None).cast("string")).alias("owner"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     assign = F.filter(_found(F.col("text"), ASSIGN, 0, 2), lambda x: F.char_length(x["value"]) >= 6)
-    base = F.array_sort(F.concat(assign, _found(F.col("text"), ACCESS, 1), _found(F.col("text"), HEX, 2)))
+    kinds = [assign, _found(F.col("text"), ACCESS, 1), _found(F.col("text"), HEX, 2)]
     tokens = F.filter(_found(F.col("text"), TOKEN, 3), lambda x: F.rlike(x["value"], F.lit("[0-9]")) & F.rlike(x["value"], F.lit("[A-Za-z]")))
     bare = lambda x: F.regexp_replace(x["value"], r"^[./=+-]+|[./=-]+$", "")
     lead = lambda x: F.char_length(x["value"]) - F.char_length(F.regexp_replace(x["value"], r"^[./=+-]+", ""))
     tokens = F.transform(tokens, lambda x: F.struct((x["start"] + lead(x)).alias("start"), x["kind"].alias("kind"), (x["start"] + lead(x) + F.char_length(bare(x))).alias("end"), bare(x).alias("value")))
-    out = rows.select("doc_id", "owner", base.alias("base"), tokens.alias("all"))
-    free = F.filter("all", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (F.char_length(t["value"]) >= 12))
-    return out.select("doc_id", "owner", "base", free.alias("tokens"))
+    out = rows.select("doc_id", "owner", *[k.alias(f"k{i}") for i, k in enumerate(kinds)], tokens.alias("all"))
+
+    def touched(t: Column, spans: str) -> Column:
+        # matches of one kind don't overlap, so the last one that starts before the token's end reaches furthest
+        last = F.get(F.col(spans), _count_before(F.col(spans), lambda x: x["start"] < t["end"]) - 1)
+        return F.coalesce((F.size(spans) > 0) & (last["end"] > t["start"]), F.lit(False))
+
+    free = F.filter("all", lambda t: (F.char_length(t["value"]) >= 12) & ~touched(t, "k0") & ~touched(t, "k1") & ~touched(t, "k2"))
+    return out.select("doc_id", "owner", F.array_sort(F.concat("k0", "k1", "k2")).alias("base"), free.alias("tokens"))
 
 
 def _hash(value: Column) -> Column:
@@ -80,7 +121,7 @@ def entropy(value: Column) -> Column:
 def ownership(found: DataFrame, many_owners: int = MANY_OWNERS) -> DataFrame:
     """h, value facts, owners, repositories and verdict (example, live or weak) of every candidate value."""
     one = lambda name, credential: F.transform(name, lambda x: F.struct(x["value"].alias("value"), F.lit(credential).alias("credential")))
-    each = found.select("doc_id", "owner", F.explode(F.array_distinct(F.concat(one("base", True), one("tokens", False)))).alias("c"))
+    each = found.select("doc_id", "owner", F.explode(F.concat(one("base", True), one("tokens", False))).alias("c"))
     each = each.select("doc_id", F.coalesce("owner", F.lit("")).alias("owner"), _hash(F.col("c.value")).alias("h"), "c.value", "c.credential")
     by_owner = each.groupBy("h", "owner").agg(F.count_distinct("doc_id").alias("repositories"), F.max("credential").alias("credential"), F.min("value").alias("value"))
     by_value = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.max("credential").alias("credential"), F.min("value").alias("value"))
@@ -97,13 +138,18 @@ def scan_secrets(docs: DataFrame, owner: str | None = "source", many_owners: int
     values = durable(ownership(found, many_owners))
     one = lambda name: F.transform(name, lambda x: _hash(x["value"]))
     wanted = found.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.concat(one("base"), one("tokens")))).alias("h")).distinct()
-    frequent = F.lit(max(2, found.count() // 1000))
     facts = values.select("h", "verdict", "flag", "repositories")
-    # a text has few values: at most a share of 1 / 1000 of the texts times the values of a text are frequent
+    # the repositories of all values are the rows of wanted, so at most 1000 values are frequent
+    frequent = max(2, (values.agg(F.sum("repositories")).first()[0] or 0) // 1000)
     answered = spread_join(wanted, facts.drop("repositories"), "h", facts.where(F.col("repositories") >= frequent).drop("repositories"), F.col("doc_id").cast("string"))
-    by_doc = answered.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("h", F.struct("verdict", "flag")))).alias("facts"))
+    by_doc = answered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("h", "verdict", "flag"))).alias("facts"))
     out = found.join(by_doc, "doc_id", "left")
-    fact = lambda x: F.element_at("facts", _hash(x["value"]))
+
+    def fact(x: Column) -> Column:
+        # hashes are sorted; what stands before the first that is not less is the one, if it is there
+        own = lambda h: let(F.get(F.col("facts"), _count_before(F.col("facts"), lambda f: f["h"] <= h) - 1), lambda f: F.when(f["h"] == h, f))
+        return let(_hash(x["value"]), own)
+
     judged = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.coalesce(fact(x)["verdict"], F.lit("weak")).alias("verdict")))
     owned = F.transform(F.filter("tokens", lambda x: F.coalesce(fact(x)["flag"], F.lit(False))), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit("live").alias("verdict")))
     return out.select("doc_id", judged.alias("base"), owned.alias("owned"))

@@ -2,8 +2,10 @@
 
 Rows are ordered by (hash of the text, doc_id), so equal texts lie side by side. Candidate key boundaries (probes) split the key
 range; one aggregation counts the exact bytes below every probe over all partitions; only the intervals that hold a wanted
-splitter are probed again, ever more finely, until each splitter's error is within the tolerance. Then rows are exchanged once,
-straight to their slice of a shard. A group of equal texts larger than a shard is split by doc_id, so no key is too large.
+splitter are probed again, ever more finely, until each splitter's error is within the tolerance. Probes are prefixes of the key, so a
+round is one filter on the prefixes still open and one count by the prefixes below them, the same plan in every round. Then rows are
+exchanged once, straight to their slice of a shard (a binary search in one array of boundaries). A group of equal texts larger than
+the tolerance is split by doc_id, so no key is too large.
 
 What comes to the driver is one row a probe: at most 2^bits a wanted splitter a round, whatever the input.
 
@@ -13,6 +15,7 @@ can only go to one side of a splitter together; an empty table gives an empty re
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,90 +40,107 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _below(k0: int, k1: int) -> Column:
-    """True for keys less than (k0, k1)."""
-    return (F.col("k0") < F.lit(k0)) | ((F.col("k0") == F.lit(k0)) & (F.col("k1") < F.lit(k1)))
+def _count(keys: DataFrame, group: list[Column]) -> list:
+    return keys.groupBy(*[g.alias(f"p{i}") for i, g in enumerate(group)]).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
 
 
-def _probe_counts(keys: DataFrame, intervals: list[tuple], bits: int) -> dict[tuple[int, int], list]:
-    """For each interval (level, value): exact bytes and rows by sub-interval.
-
-    Level 0..: 'prefix' of k0 with so many bits fixed, or of k1 within one k0.
-    """
+def _children(rows: list) -> dict:
+    """parent -> its probed intervals (prefix, bytes, rows) in key order."""
     out: dict = {}
-    for part in ("k0", "k1"):
-        mine = [x for x in intervals if x[0] == part]
-        if not mine:
-            continue
-        rows = None
-        for _, fixed, lo, width in mine:
-            step = max(0, width - bits)
-            col = F.col(part)
-            inside = col.between(lo, lo + (1 << width) - 1)
-            if part == "k1":
-                inside = inside & (F.col("k0") == F.lit(fixed))
-            one = F.struct(F.lit(fixed).cast("long").alias("f"), F.lit(lo).cast("long").alias("lo"), F.shiftrightunsigned(col - F.lit(lo), step).alias("i"))
-            rows = F.when(inside, one) if rows is None else rows.when(inside, one)
-        found = keys.select(rows.alias("b"), "size").where("b is not null").groupBy("b.f", "b.lo", "b.i").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
-        for r in found.collect():
-            out.setdefault((part, r["f"], r["lo"]), []).append((r["i"], r["s"], r["n"]))
-    return out
-
-
-def find_splitters(keys: DataFrame, targets: list[int], tolerance: int, bits: int = 10) -> list[tuple[int, int, int, int]]:
+    for parent, prefix, size, n in rows:
+        out.setdefault(parent, []).append((prefix, size, n))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def find_splitters(keys: DataFrame, targets: list[int], tolerance: int, bits: int = 12) -> list[tuple[int, int, int, int]]:
     """For each wanted number of bytes (ascending): (k0, k1, bytes below, rows below) of the boundary chosen.
 
-    A splitter is settled when the sub-interval holding its target has at most tolerance bytes, or one key; the nearer end is taken.
+    A splitter is settled when the interval holding its target has at most tolerance bytes, or one key; the nearer end is taken.
     """
     low, high = keys.agg(F.min("k1"), F.max("k1")).first()
     if low is None:
         return []
-    id_width = max(1, (high - low).bit_length())
-    top = -(1 << 63)
-    # the whole range of k0 is wider than a signed difference can be, so it is probed as halves
-    start = {("k0", 0, top): (63, 0, 0), ("k0", 0, 0): (63, None, None)}
-    first = keys.agg(F.sum(F.when(F.col("k0") < 0, F.col("size")).otherwise(0)), F.sum(F.when(F.col("k0") < 0, 1).otherwise(0))).first()
-    start["k0", 0, 0] = (63, first[0], first[1])
-    place, done = {}, {}
-    for t in targets:
-        where = ("k0", 0, top) if t < first[0] else ("k0", 0, 0)
-        place[t] = (where, *start[where])
+    # prefixes of k0 are of its 64 signed bits, those of k1 of its distance from the least one where a long can hold that
+    base, wide = (low, max(1, (high - low).bit_length())) if (high - low).bit_length() < 63 else (0, 64)
+    place = {t: (None, 0, 0) for t in targets}  # parent, bytes and rows below it
+    done: dict[int, tuple] = {}
+    deep: dict[int, tuple] = {}  # targets inside one k0
+    last_key = ((1 << 63) - 1, high + 1)
+
+    def settle(t: int, found: list, below: tuple, start, end) -> tuple | None:
+        """The interval that holds the target, as (prefix, bytes below, rows below), or None where it is settled."""
+        size, rows = below
+        for i, (prefix, s, n) in enumerate(found):
+            if size + s > t or i == len(found) - 1:
+                break
+            size, rows = size + s, rows + n
+        if n > 1 and s > tolerance:
+            return prefix, size, rows
+        after = t - size > size + s - t
+        done[t] = (*(end(prefix) if after else start(prefix)), *((size + s, rows + n) if after else (size, rows)))
+        return None
+
+    used = 0
     while place:
-        asked = {(part, fixed, lo, width) for (part, fixed, lo), width, _, _ in place.values()}
-        counts = _probe_counts(keys, sorted(asked), bits)
+        step = min(bits, 64 - used)
+        rest = 64 - used - step
+        prefix = lambda n: F.shiftright("k0", n)
+        inside = keys if used == 0 else keys.where(prefix(64 - used).isin(sorted({p for p, _, _ in place.values()})))
+        children = _children([(None if used == 0 else r["p0"] >> step, *r) for r in _count(inside, [prefix(rest)])])
+        used += step
         nxt = {}
-        for t, (where, width, bytes_below, rows_below) in place.items():
-            part, fixed, lo = where
-            step = max(0, width - bits)
-            last = None
-            for i, s, n in sorted(counts.get(where, [])):
-                last = (i, s, n, bytes_below, rows_below)
-                if bytes_below + s > t:
-                    break
-                bytes_below, rows_below = bytes_below + s, rows_below + n
-            if last is None:
-                done[t] = (*((lo, low) if part == "k0" else (fixed, lo)), bytes_below, rows_below)
-                continue
-            i, s, n, b0, r0 = last
-            at = lo + (i << step)
-            if n > 1 and s > tolerance and (part == "k0" or step > 0):
-                if step > 0:
-                    nxt[t] = ((part, fixed, at), step, b0, r0)
-                else:
-                    nxt[t] = (("k1", at, low), id_width, b0, r0)
-                continue
-            after = t - b0 > b0 + s - t
-            at += (1 << step) if after else 0
-            edge = (b0 + s, r0 + n) if after else (b0, r0)
-            if part == "k0":
-                done[t] = (min(at, (1 << 63) - 1), low if at < (1 << 63) else high + 1, *edge)
-            else:
-                done[t] = (fixed, at, *edge)
+        for t, (parent, size, rows) in place.items():
+            end = lambda p: (p + 1 << rest, low) if p + 1 << rest < 1 << 63 else last_key  # noqa: B023, E731
+            open_ = settle(t, children[parent], (size, rows), lambda p: (p << rest, low), end)  # noqa: B023
+            if open_:
+                (deep if used == 64 else nxt)[t] = open_
         place = nxt
+    # groups of equal texts above the tolerance: by doc_id
+    place2 = {t: (k0, None, size, rows) for t, (k0, size, rows) in deep.items()}
+    used = 0
+    while place2:
+        step = min(bits, wide - used)
+        rest = wide - used - step
+        prefix = lambda n: F.shiftright(F.col("k1") - F.lit(base), n) if n < 64 else F.lit(0).cast("long")
+        inside = keys.where(F.col("k0").isin(sorted({p[0] for p in place2.values()})))
+        if used:
+            name = lambda a, b: F.concat_ws(":", a, b)
+            inside = inside.where(name(F.col("k0").cast("string"), prefix(wide - used).cast("string")).isin(sorted({f"{p[0]}:{p[1]}" for p in place2.values()})))
+        children = _children([((r["p0"], None if used == 0 else r["p1"] >> step), r["p1"], r["s"], r["n"]) for r in _count(inside, [F.col("k0"), prefix(rest)])])
+        used += step
+        nxt2 = {}
+        for t, (k0, parent, size, rows) in place2.items():
+            start = lambda p: (k0, base + (p << rest))  # noqa: B023, E731
+            open_ = settle(t, children[k0, parent], (size, rows), start, lambda p: start(p + 1))  # noqa: B023
+            if open_ and used < wide:
+                nxt2[t] = (k0, *open_)
+            elif open_:
+                # rows of one id and text can't be parted
+                p, size, rows = open_
+                s, n = next((s, n) for q, s, n in children[k0, parent] if q == p)
+                after = t - size > size + s - t
+                done[t] = (*start(p + after), size + s * after, rows + n * after)
+        place2 = nxt2
     return [done[t] for t in targets]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, slices: int = 8, tolerance: float = 0.002, bits: int = 10) -> DataFrame:
+def _constant(values: list, kind: str) -> Column:
+    """A literal array, as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def piece_of(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the sorted boundaries are at or below the row's key: a binary search in one constant array."""
+    if not bounds:
+        return F.lit(0)
+    keys = _constant([{"a": a, "b": b} for a, b in bounds], "array<struct<a:bigint,b:bigint>>")
+    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+    row = F.struct(F.col("k0").alias("a"), F.col("k1").alias("b"))
+    up = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(keys, at + step - 1) <= row), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), up)
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, slices: int = 8, tolerance: float = 0.002, bits: int = 12) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard, in key order).
 
     Splitters are found for shards * slices equal pieces; every piece is one task of the exchange, and the exact row counts below
@@ -138,17 +158,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, slices: int = 8, toler
     for c in chosen:
         last = max(last, c) if c else last
         bounds.append(last)
-    # how many boundaries are at or below the key, by a balanced tree of comparisons
-    def count_below(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(_below(bounds[mid][0], bounds[mid][1]), count_below(a, mid)).otherwise(count_below(mid + 1, b))
-
     first_row = [0, *(x[3] for x in bounds)]
     shard_start = [first_row[p - p % slices] for p in range(pieces)]
-    base = F.element_at(F.array(*[F.lit(first_row[p] - shard_start[p]).cast("long") for p in range(pieces)]), F.col("piece") + 1)
-    dealt = keys.withColumn("piece", count_below(0, len(bounds))).repartitionById(pieces, F.col("piece"))
+    base = F.element_at(_constant([first_row[p] - shard_start[p] for p in range(pieces)], "array<bigint>"), F.col("piece") + 1)
+    dealt = keys.withColumn("piece", piece_of([x[:2] for x in bounds])).repartitionById(pieces, F.col("piece"))
     order = Window.partitionBy("piece").orderBy("k0", "k1", "size")
     return dealt.select(
         "doc_id",

@@ -200,6 +200,50 @@ def test_ownership(spark):
     assert out[102]["owned"] == [] and out[103]["owned"] == []
 
 
+def test_verdicts_are_the_counts(spark):
+    """Owners, repositories and verdicts of random values against plain counts; repeated rows are one repository."""
+    rng = random.Random(21)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    values = ["".join(rng.choice(alphabet) for _ in range(rng.randint(12, 30))) + "1a" for _ in range(40)]
+    rows = []
+    for i in range(300):
+        some = rng.choices(values, weights=[1 / (k + 1) for k in range(40)], k=rng.randint(0, 5))
+        rows.append((i, " ".join(f"token={v}" if rng.random() < 0.5 else f"see {v} ," for v in some), f"o{rng.randrange(6)}" if i % 10 else None))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    owners, repositories, credentials = {}, {}, set()
+    for d, t, o in set(rows):
+        for v in set(re.findall("[A-Za-z0-9]{12,}", t)):
+            owners.setdefault(v, set()).add(o or "")
+            repositories.setdefault(v, set()).add(d)
+        credentials |= set(re.findall("token=([A-Za-z0-9]+)", t))
+    found = S.ownership(S.candidates(df, "source")).collect()
+    assert sorted((r["owners"], r["repositories"]) for r in found) == sorted((len(owners[v]), len(repositories[v])) for v in owners)
+    entropy = lambda v: -sum(v.count(c) / len(v) * __import__("math").log2(v.count(c) / len(v)) for c in set(v))
+    verdict = {v: "example" if len(o) >= 3 else "live" if entropy(v) >= 3 and not re.search(S.PLACEHOLDER, v) else "weak" for v, o in owners.items()}
+    for r in S.scan_secrets(df).collect():
+        text = next(t for d, t, _ in rows if d == r["doc_id"])
+        for x in r["base"]:
+            assert x["verdict"] == verdict[re.search("[A-Za-z0-9]+$", text[x["start"] : x["end"]])[0]]
+        strong = lambda v: len(v) >= 24 and re.search("[A-Z]", v) and re.search("[a-z]", v) and sum(c.isdigit() for c in v) >= 4 and entropy(v) >= 3.5
+        want = [m.span() for m in re.finditer("(?<![A-Za-z0-9=])[A-Za-z0-9]{12,}", text) if verdict[m[0]] == "live" and (m[0] in credentials or strong(m[0]))]
+        assert [(x["start"], x["end"]) for x in r["owned"]] == want
+
+
+def test_a_text_of_very_many_secrets(spark):
+    import time
+
+    rng = random.Random(2)
+    one = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    texts = [" ".join(one() for _ in range(n)) + " token=" + one() + " Zx" + one() for n in (10, 20_000)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    start = time.time()
+    got = {r["doc_id"]: r for r in S.scan_secrets(df).collect()}
+    assert time.time() - start < 60
+    for i, t in enumerate(texts):
+        assert [(x["start"], x["kind"], x["end"]) for x in got[i]["base"]] == plain_secrets(t)
+
+
 def test_secret_odd_rows(odd, none):
     got = S.scan_secrets(odd).collect()
     assert len(got) == odd.count() and all(r["base"] == [] and r["owned"] == [] for r in got)
