@@ -1,18 +1,22 @@
 """Licence scan by a trained paragraph classifier (operator 5). DataFrame functions only on the executors.
 
-A paragraph is a line of a text. Its features are which word 1- and 2-grams it holds. Multinomial logistic regression with an L1
-penalty (so that the model is sparse) gives each licence family and `none` a probability. It is fitted on the driver from the
-templates below, varied (words dropped, cut, set in prose), against sentences that merely use the words and at most about
-`most_negatives` lines of the corpus (documented bound). A temperature fitted on variants left out of training calibrates the
-probabilities.
-
-A paragraph is reported when `none` has less than half of the probability. Its family is the likeliest one if that one's calibrated
-probability reaches `sure` and the paragraph holds `similar` or more of the word pairs of one of the family's templates (or the
-template holds so many of the paragraph's); otherwise the family is `unknown`.
-
-A paragraph without any anchor is `none`: anchors are the few words, rare in the corpus and counted towards some family, of which
-every training paragraph of a family holds at least one. That rule is part of the classifier; it lets plain prose pass at the cost
-of one expression over the text.
+A paragraph is a line, with the lines that go on from it: a line end is taken for wrapping where the line before it has 40 characters or
+more and doesn't end a sentence, and the next isn't blank. Its features are which word 1- and 2-grams it holds. Multinomial logistic
+regression with an L1 penalty (so that the model is sparse) gives each licence family, `unknown` and `none` a probability. It is fitted
+on the driver: families from the templates below, varied (words dropped, cut, set in prose); unknown from notices of made-up licences
+and from halves of two families' notices put together; none from sentences that merely use the words and at most about
+`most_negatives` whole paragraphs of the corpus, one a sampled document (documented bound; those like a template left out). A
+temperature calibrates the probabilities: it is fitted on fresh variants of notices, a third of them of templates that the model it is
+fitted for has not seen, as notices in a corpus are mostly known ones.
+
+A paragraph is reported when `none` is not its likeliest class. Its family is the likeliest class if that one's calibrated probability
+reaches `sure` and the paragraph holds `similar` or more of the word pairs of one of the family's templates (or the template holds so
+many of the paragraph's); otherwise the family is `unknown`.
+
+Every paragraph is scored, in its row: the model is a few constant arrays, addressed by a hash that is perfect on its n-grams. First a
+bound: the sum over a paragraph's words and word pairs of the most that each can lift any class over `none` (another n-gram in the same
+place can only raise it). Where even that can't make up for the head start of `none`, the paragraph is `none` without more; the
+others are scored exactly.
 
 Nulls and edges: null and empty texts have no paragraphs; rows that repeat a doc_id and text are answered once; null ids stay null;
 an empty table gives an empty result; extra columns are ignored.
@@ -20,6 +24,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -96,8 +101,21 @@ OTHER = [
     "A work of art, released under pressure, may not please.",
     "The restaurant has a licence to serve wine under local law.",
 ]
+# Notices of made-up licences (training of the unknown class); NAME is replaced by random words.
+UNKNOWN_NOTICES = [
+    "This software is licensed under the NAME License.",
+    "Licensed under the NAME Community License, Version 2; you may not use this file except in compliance with that license.",
+    "Use of this work is governed by the terms of the NAME Public Agreement.",
+    "You may copy and distribute this document under the licence of NAME, see the license for details.",
+    "SPDX-License-Identifier: LicenseRef-NAME",
+    "Permission to use, copy, modify and distribute this text is granted by NAME for any purpose without fee.",
+    "Released under the NAME Licence.",
+    "This file is subject to the terms and conditions defined in the NAME license, which is part of this package.",
+]
 _TOKEN = "[a-z0-9]+"
-NONE = "none"
+NONE, UNKNOWN = "none", "unknown"
+SLOTS = 1 << 16
+_WRAP = r"\n(?<=[^\n]{40}\n)(?<![.!?:]\n)(?=[^\n])"
 
 
 def py_tokens(line: str) -> list[str]:
@@ -110,84 +128,109 @@ def py_grams(tokens: list[str]) -> set[str]:
 
 @dataclass
 class Model:
-    classes: list[str]  # families, then none
+    classes: list[str]  # families, unknown, none
     vocabulary: list[str]
     weights: np.ndarray  # n-grams x classes
     bias: np.ndarray
     temperature: float
-    anchors: list[str]
+
+    @property
+    def head_start(self) -> float:
+        """How far `none` is ahead of every other class before any n-gram is read."""
+        return float(self.bias[-1] - self.bias[:-1].max())
+
+    @property
+    def lifts(self) -> np.ndarray:
+        """The most that each n-gram lifts any class over none; never less than 0."""
+        return np.maximum((self.weights[:, :-1] - self.weights[:, -1:]).max(axis=1), 0)
+
+
+def _variants(rng: np.random.Generator, family: str, tokens: list[str], prose: list[str], n: int) -> list[tuple[str, list[str]]]:
+    out = [(family, tokens)]
+    for i in range(n):
+        v = [w for w in tokens if rng.random() > 0.08] or tokens
+        if i % 3 == 1 and len(v) > 14:
+            v = v[: len(v) // 2] if i % 2 else v[len(v) // 2 :]
+        if i % 3 == 2:
+            p = py_tokens(prose[int(rng.integers(len(prose)))])[:20]
+            v = p[: len(p) // 2] + v + p[len(p) // 2 :]
+        out.append((family, v))
+    return out
 
 
-def _variants(rng: np.random.Generator, prose: list[str], n: int) -> list[tuple[str, list[str]]]:
+def _rows(rng: np.random.Generator, templates: dict[str, list[str]], prose: list[str], n: int) -> list[tuple[str, list[str]]]:
+    """(class, tokens) of the positive training rows of some templates."""
     out = []
-    for family, texts in TEMPLATES.items():
+    for family, texts in templates.items():
         for text in texts:
-            t = py_tokens(text)
-            out.append((family, t))
-            for i in range(n):
-                v = [w for w in t if rng.random() > 0.08] or t
-                if i % 3 == 1 and len(v) > 14:
-                    v = v[: len(v) // 2] if i % 2 else v[len(v) // 2 :]
-                if i % 3 == 2:
-                    p = py_tokens(prose[int(rng.integers(len(prose)))])[:20]
-                    v = p[: len(p) // 2] + v + p[len(p) // 2 :]
-                out.append((family, v))
+            out += _variants(rng, family, py_tokens(text), prose, n)
+    words = sorted({w for p in prose for w in py_tokens(p)}) or ["some"]
+    name = lambda: " ".join(words[int(rng.integers(len(words)))] for _ in range(int(rng.integers(1, 3))))
+    for text in UNKNOWN_NOTICES:
+        for _ in range(max(1, n // 2)):
+            out += _variants(rng, UNKNOWN, py_tokens(text.replace("NAME", name())), prose, 1)
+    families = sorted(f for f in templates if templates[f])
+    for i, f in enumerate(families):
+        a, b = py_tokens(templates[f][0]), py_tokens(templates[families[(i + 1) % len(families)]][0])
+        out.append((UNKNOWN, a[: len(a) // 2] + b[len(b) // 2 :]))
     return out
 
 
-def _anchors(rows: list[tuple[str, list[str]]], prose: list[set[str]], lifted: set[str], common: float = 0.01) -> list[str]:
-    """A small set of words that the model counts towards a family, rare in the corpus, of which every positive row holds one.
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
-    Greedy set cover; rows with no such word at all are left.
-    """
-    rare = {g for g in lifted if " " not in g and len(g) > 1 and sum(g in p for p in prose) <= common * len(prose)}
-    left = [set(t) & rare for family, t in rows if family != NONE]
-    left = [t for t in left if t]
-    out = []
-    while left:
-        counts: dict[str, int] = {}
-        for t in left:
-            for g in t:
-                counts[g] = counts.get(g, 0) + 1
-        best = min(counts, key=lambda g: (-counts[g], g))
-        out.append(best)
-        left = [t for t in left if best not in t]
-    return out
+
+def _regression(x: np.ndarray, y: np.ndarray, l1: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    weight = (y / np.maximum(y.sum(axis=0), 1)).sum(axis=1)[:, None].astype(np.float32) / y.shape[1]  # every class weighs the same
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    step = 8.0
+    for _ in range(steps):
+        g = weight * (_softmax(x @ w + b) - y)
+        w -= step * (x.T @ g)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        b -= step * g.sum(axis=0)
+    return w, b
+
+
+def py_similarity(tokens: list[str]) -> float:
+    """The largest share of word pairs that a paragraph has in common with a template."""
+    own, best = set(zip(tokens, tokens[1:], strict=False)), 0.0
+    for texts in TEMPLATES.values():
+        for t in texts:
+            p = py_tokens(t)
+            pairs = set(zip(p, p[1:], strict=False))
+            best = max(best, len(own & pairs) / max(1, min(len(own), len(pairs))))
+    return best
 
 
 def fit(negatives: list[str], l1: float = 2e-4, steps: int = 300, variants: int = 12, seed: int = 7) -> Model:
-    rng = np.random.default_rng(seed)
-    prose = sorted(x for x in set(negatives) if py_tokens(x)) or OTHER
-    classes = [*TEMPLATES, NONE]
-    rows = _variants(rng, prose, variants) + [(NONE, py_tokens(x)) for x in [*OTHER * 6, *prose]]
-    vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in py_grams(py_tokens(t))} | {g for t in OTHER for g in py_grams(py_tokens(t))})
+    prose = sorted(x for x in set(negatives) if (t := py_tokens(x)) and py_similarity(t) < 0.5) or OTHER
+    classes = [*TEMPLATES, UNKNOWN, NONE]
+    none = [(NONE, py_tokens(x)) for x in [*OTHER * 6, *prose]]
+    notices = [*(t for texts in TEMPLATES.values() for t in texts), *(t.replace("NAME", "") for t in UNKNOWN_NOTICES), *OTHER]
+    vocabulary = sorted({g for t in notices for g in py_grams(py_tokens(t))})
     at = {g: i for i, g in enumerate(vocabulary)}
-    x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    y = np.zeros((len(rows), len(classes)), np.float32)
-    for i, (family, t) in enumerate(rows):
-        x[i, [at[g] for g in py_grams(t) if g in at]] = 1
-        y[i, classes.index(family)] = 1
-    held = np.arange(len(rows)) % 5 == 4
-    balance = y / y.sum(axis=0)  # every class weighs the same
-    weight = (balance.sum(axis=1) / len(classes))[:, None].astype(np.float32)
-    w, b = np.zeros((len(vocabulary), len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    xt, yt, st = x[~held], y[~held], weight[~held]
-    step = 8.0
 
-    def softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+    def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.zeros((len(rows), len(vocabulary)), np.float32), np.zeros((len(rows), len(classes)), np.float32)
+        for i, (family, t) in enumerate(rows):
+            x[i, [at[g] for g in py_grams(t) if g in at]] = 1
+            y[i, classes.index(family)] = 1
+        return x, y
 
-    for _ in range(steps):
-        g = st * (softmax(xt @ w + b) - yt)
-        w -= step * (xt.T @ g)
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        b -= step * g.sum(axis=0)
-    z = x[held] @ w + b
-    temperature = float(min(np.linspace(0.25, 3, 23), key=lambda t: -(weight[held] * y[held] * np.log(softmax(z / t) + 1e-9)).sum()))
-    anchors = _anchors(rows, [set(py_tokens(x)) for x in prose], {g for i, g in enumerate(vocabulary) if (w[i, :-1] > w[i, -1]).any()})
+    # calibration: a family's second template is kept from the model whose probabilities are looked at
+    rng = np.random.default_rng(seed)
+    seen = {f: [*texts[:1], *texts[2:]] for f, texts in TEMPLATES.items()}
+    w, b = _regression(*matrix(_rows(rng, seen, prose, variants) + none[::2]), l1, steps)
+    fresh = [(f, t, 4 if i == 1 else 8 // max(1, len(texts) - 1)) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)]
+    x, y = matrix([*(r for f, t, n in fresh for r in _variants(rng, f, py_tokens(t), prose, n)[1:]), *none[1::2]])
+    weight = (y / np.maximum(y.sum(axis=0), 1)).sum(axis=1)[:, None]
+    z = x @ w + b
+    temperature = float(min(np.linspace(0.25, 4, 31), key=lambda t: -(weight * y * np.log(_softmax(z / t) + 1e-9)).sum()))
+    w, b = _regression(*matrix(_rows(np.random.default_rng(seed), TEMPLATES, prose, variants) + none), l1, steps)
     used = np.flatnonzero((w != 0).any(axis=1))
-    return Model(classes, [vocabulary[i] for i in used], w[used], b, temperature, anchors)
+    return Model(classes, [vocabulary[i] for i in used], w[used], b, temperature)
 
 
 def tokens_of(line: Column) -> Column:
@@ -200,53 +243,92 @@ def pairs_of(tokens: Column) -> Column:
     return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text in order, wrapped lines joined by a space."""
+    return F.split(F.regexp_replace(text, _WRAP, " "), "\n")
+
+
 def train(docs: DataFrame, most_negatives: int = 1000) -> Model:
-    """Negatives: the first lines of at most about so many documents, those that speak of rights or licences left out."""
+    """Negatives: a whole paragraph, by hash of the id, of each of at most about so many documents."""
     n = docs.select("doc_id").count()
     rows = docs if n <= most_negatives else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most_negatives / n))
-    first = F.substring_index(F.col("text"), "\n", 1)
-    lines = rows.where("text is not null").select(F.substring(first, 1, 400).alias("line"))
-    lines = lines.where(~F.rlike("line", F.lit("(?i)licen[sc]e|copyright|rights|permission|redistribut"))).collect()
-    return fit([r[0] for r in lines])
+    rows = rows.where("text is not null").select("doc_id", paragraphs(F.col("text")).alias("p"))
+    return fit([r[0] for r in rows.select(F.get("p", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.size("p")).cast("int"))).collect()])
+
+
+class Scorer:
+    """The model as expressions on a paragraph's tokens."""
+
+    def __init__(self, model: Model, spark: SparkSession):
+        self.model = model
+        grams = spark.createDataFrame([(g,) for g in model.vocabulary], "g string")
+        for seed in range(1000):
+            slot = lambda g, seed=seed: F.pmod(F.xxhash64(F.lit(seed), g), F.lit(SLOTS)).cast("int")
+            where = {r[0]: r[1] for r in grams.select("g", slot(F.col("g"))).collect()}
+            if len(set(where.values())) == len(model.vocabulary):
+                break
+        else:
+            raise ValueError("no perfect hash: too many n-grams")
+        self.slot = slot
+        lift, index = np.zeros(SLOTS), np.full(SLOTS, -1)
+        lifts = np.ceil(model.lifts * 1e6) / 1e6
+        for i, g in enumerate(model.vocabulary):
+            lift[where[g]], index[where[g]] = lifts[i], i
+        constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+        self.lift, self.index = constant(lift.tolist(), "double"), constant(index.tolist(), "int")
+        self.vocabulary = constant(model.vocabulary, "string")
+        self.weights = constant(model.weights.astype(float).tolist(), "array<double>")
+
+    def bound(self, tokens: Column) -> Column:
+        lift = lambda g: F.get(self.lift, self.slot(g))
+        zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("sum"))
+        add = lambda acc, t: F.struct(t.alias("last"), (acc["sum"] + lift(t) + lift(F.concat(acc["last"], F.lit(" "), t))).alias("sum"))
+        return F.aggregate(tokens, zero, add, lambda acc: acc["sum"])
+
+    def held(self, grams: Column) -> Column:
+        """The places in the vocabulary of the distinct n-grams that are in it."""
+        place = lambda g: F.get(self.index, self.slot(g))
+        known = F.filter(grams, lambda g: (place(g) >= 0) & (F.get(self.vocabulary, place(g)) == g))
+        return F.array_distinct(F.transform(known, place))
+
+    def scores(self, held: Column) -> Column:
+        """A number for each class."""
+        bias = F.array(*[F.lit(float(b)) for b in self.model.bias])
+        return F.aggregate(held, bias, lambda acc, i: F.zip_with(acc, F.get(self.weights, i), lambda a, w: a + w))
 
 
 def scan_licenses(docs: DataFrame, model: Model | None = None, sure: float = 0.5, similar: float = 0.6) -> DataFrame:
     """doc_id, para_no, family, probability, template_similarity, confirmed, paragraph of every paragraph reported."""
     spark = docs.sparkSession
     m = model or train(docs)
-    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(a.replace(" ", "[^a-z0-9]+") for a in m.anchors)) + r")(?![a-z0-9])"
-    hit = lambda c: F.rlike(c, F.lit(anchor))
-    paras = docs.where(hit(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_no", "line")).where(hit(F.col("line"))).distinct()
+    scorer, k = Scorer(m, spark), len(m.classes)
+    paras = docs.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("para_no", "line"))
+    paras = paras.where(scorer.bound(tokens_of(F.col("line"))) >= m.head_start - 1e-4)
     tokens = paras.withColumn("tokens", tokens_of(F.col("line")))
-    grams = tokens.select("doc_id", "para_no", "line", F.explode(F.array_distinct(F.concat("tokens", pairs_of(F.col("tokens"))))).alias("gram"))
-    k = len(m.classes)
-    # one row an n-gram of the templates
-    known = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(m.vocabulary, m.weights, strict=True)], "gram string, " + ", ".join(f"w{i} double" for i in range(k)))
-    sums = grams.join(F.broadcast(known), "gram").groupBy("doc_id", "para_no", "line").agg(*[F.sum(f"w{i}").alias(f"s{i}") for i in range(k)])
-    logit = [(F.col(f"s{i}") + float(m.bias[i])) / m.temperature for i in range(k)]
-    top = F.greatest(*logit)
-    sums = sums.withColumn("e", F.array(*[F.exp(z - top) for z in logit]))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    sums = sums.withColumn("p", F.transform("e", lambda x: x / total)).where(F.element_at("p", k) < 0.5)
+    scored = tokens.withColumn("z", scorer.scores(scorer.held(F.concat("tokens", pairs_of(F.col("tokens"))))))
+    scored = scored.where(F.element_at("z", k) < F.array_max(F.slice("z", 1, k - 1))).drop("tokens")
+    top = F.array_max("z")
+    scored = scored.withColumn("e", F.transform("z", lambda z: F.exp((z - top) / m.temperature)))
+    sums = scored.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).withColumn("p", F.transform("e", lambda x: x / F.col("total")))
     best = F.array_max(F.slice("p", 1, k - 1))
     out = sums.withColumn("probability", best).withColumn("likeliest", F.element_at(F.array(*map(F.lit, m.classes)), F.array_position("p", F.array_max(F.slice("p", 1, k - 1))).cast("int")))
     templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "likeliest string, template string")
     templates = templates.select("likeliest", F.array_distinct(pairs_of(tokens_of(F.col("template")))).alias("tp"))
     templates = templates.groupBy("likeliest").agg(F.collect_list("tp").alias("tps"))  # one row a family
     own = F.array_distinct(pairs_of(tokens_of(F.col("line"))))
-    out = out.join(F.broadcast(templates), "likeliest").withColumn("own", own)
+    out = out.join(F.broadcast(templates), "likeliest", "left").withColumn("own", own)
     share = F.transform("tps", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.greatest(F.least(F.size(t), F.size("own")), F.lit(1)))
     out = out.withColumn("template_similarity", F.coalesce(F.array_max(share), F.lit(0.0)))
-    confirmed = (F.col("probability") >= sure) & (F.col("template_similarity") >= similar)
+    confirmed = (F.col("likeliest") != UNKNOWN) & (F.col("probability") >= sure) & (F.col("template_similarity") >= similar)
     return out.select(
         "doc_id",
         "para_no",
-        F.when(confirmed, F.col("likeliest")).otherwise("unknown").alias("family"),
+        F.when(confirmed, F.col("likeliest")).otherwise(UNKNOWN).alias("family"),
         "probability",
         "template_similarity",
         confirmed.alias("confirmed"),
         F.col("line").alias("paragraph"),
-    )
+    ).distinct()
 
 
 def op5_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

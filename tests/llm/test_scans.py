@@ -266,16 +266,43 @@ def test_licence_classifier(spark):
 
 
 def test_licence_scores_are_the_models(spark):
-    """The probabilities that the joins give are those of the model, computed directly."""
+    """The probabilities that the constant arrays give are those of the model, computed directly; the bound drops none of them."""
     import numpy as np
 
     m = Z.fit(["a plain line of words"])
-    text = "You should have received a copy of the GNU General Public License along with this program."
-    r = Z.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), m).first()
-    grams = Z.py_grams(Z.py_tokens(text))
-    z = (m.bias + sum((m.weights[i] for i, g in enumerate(m.vocabulary) if g in grams), np.zeros(len(m.classes)))) / m.temperature
-    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-    assert abs(r["probability"] - p[:-1].max()) < 1e-6 and r["family"] == "gpl"
+    rng = random.Random(5)
+    words = sorted({w for t in [*Z.UNKNOWN_NOTICES, *(x for ts in Z.TEMPLATES.values() for x in ts)] for w in Z.py_tokens(t)}) + ["river", "stone", "walked"] * 30
+    texts = ["You should have received a copy of the GNU General Public License along with this program."]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    got = {r["doc_id"]: r for r in Z.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    assert got[0]["family"] == "gpl"
+    some = 0
+    for i, text in enumerate(texts):
+        grams = Z.py_grams(Z.py_tokens(text))
+        z = (m.bias + sum((m.weights[j] for j, g in enumerate(m.vocabulary) if g in grams), np.zeros(len(m.classes)))) / m.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if abs(p[-1] - p[:-1].max()) > 1e-6:
+            assert (i in got) == (p[:-1].max() > p[-1])
+            some += i in got
+            assert i not in got or abs(got[i]["probability"] - p[:-1].max()) < 1e-6
+    assert 20 < some < 390
+
+
+def test_unknown_licences_and_wrapped_notices(spark):
+    rng = random.Random(6)
+    prose = [f"the {w} of that and this in a river by the old {w}" for w in ("house", "tree", "field", "road", "hill", "stone", "lamp", "door")]
+    m = Z.fit(prose)
+    wrapped = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+    rows = [(0, wrapped), (1, "A line.\n\n# " + "\n# ".join(["Permission is hereby granted, free of charge, to any person", "obtaining a copy of this software and associated documentation", "files (the Software), to deal in the Software without restriction"]))]
+    rows += [(10 + i, f"This software is licensed under the {n} License.") for i, n in enumerate(("Blue Otter", "Quux", "Harbor"))]
+    rows += [(20 + i, " ".join(rng.choice(prose).split()[:9])) for i in range(20)]
+    got = {r["doc_id"]: (r["family"], r["para_no"]) for r in Z.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    assert got[0] == ("gpl", 0) and got[1] == ("mit", 2)
+    assert all(got[i][0] == "unknown" for i in (10, 11, 12)) and not any(i in got for i in range(20, 40))
 
 
 def test_licence_odd_rows(odd, none):
