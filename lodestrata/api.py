@@ -31,10 +31,8 @@ def search(corpus: DataFrame, options: SearchOptions | str, mode: str = "lines",
     o = SearchOptions(options) if isinstance(options, str) else options
     if neighbours is not None and is_plain_word(o.pattern):
         o.expand = cooccur.expansion(neighbours, o.pattern)
-    if postings is not None and not o.expand:
-        p = index.plan(_search.search_pattern(o.pattern, o.fixed), o.ignore_case)
-        if p.alternatives is not None:
-            corpus = corpus.join(index.candidates(postings, p), "doc_id", "left_semi")
+    if postings is not None:
+        corpus = index.pruned(corpus, postings, o)
     if o.top:
         return _search.bm25_topk(corpus, o, o.top)
     if mode in MODES:
@@ -44,7 +42,8 @@ def search(corpus: DataFrame, options: SearchOptions | str, mode: str = "lines",
 
 
 def build_index(spark: SparkSession, corpus: DataFrame, folder: str, generation: int) -> str:
-    return index.publish(spark, index.postings(corpus), folder, generation)
+    """Folded postings, which serve searches that ignore case and those that don't."""
+    return index.publish(spark, index.postings(corpus, folded=True), folder, generation)
 
 
 def update_index(spark: SparkSession, old: DataFrame, new: DataFrame, base: DataFrame, folder: str, generation: int) -> str:
@@ -55,7 +54,7 @@ def update_index(spark: SparkSession, old: DataFrame, new: DataFrame, base: Data
         return build_index(spark, new, folder, generation)
     gone = old.join(diff, "path").select("doc_id")
     fresh = new.join(diff.where("status <> 'deleted'"), "path").select("doc_id", "text")
-    return index.publish(spark, index.overlay(base, index.postings(fresh), gone), folder, generation)
+    return index.publish(spark, index.overlay(base, index.postings(fresh, folded=index.is_folded(base)), gone), folder, generation)
 
 
 def index_status(postings: DataFrame) -> DataFrame:

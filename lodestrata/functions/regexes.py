@@ -70,6 +70,33 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
     return "(?d)" + ("(?i)" if ignore_case else "") + "".join(out)
 
 
+def line_local(java: str) -> bool:
+    """True where every match surely lies within one line and needs no look at where texts begin and end, so that lines can be matched
+    one by one. Anything that may match a line end, and every anchor, says no."""
+    if re.search(r"\(\?[a-z]*s[a-z]*[):]", java):
+        return False
+    i, in_class = 0, False
+    while i < len(java):
+        c = java[i]
+        if c == "\\":
+            if java[i + 1 : i + 2] in tuple("sSDWHVNRXAzZGnrxuc0pPQvhk") and java[i + 1 : i + 2] != "S":
+                return False
+            i += 2
+            continue
+        if c == "[":
+            if java[i + 1 : i + 2] == "^":
+                return False
+            in_class = True
+        elif c == "]":
+            in_class = False
+        elif c == "\n" or not in_class and c in "^$":
+            return False
+        elif in_class and java[i + 1 : i + 2] == "-" and c < "\n" <= java[i + 2 : i + 3]:
+            return False
+        i += 1
+    return True
+
+
 def search_pattern(pattern: str, fixed: bool = False, word: bool = False) -> str:
     """The regular expression of a search: fixed strings are escaped first, whole words bounded next (as one group)."""
     if not pattern:
@@ -83,6 +110,14 @@ def is_plain_word(pattern: str) -> bool:
     return bool(pattern) and all(c.isalnum() or c in "_-" for c in pattern)
 
 
+def leading_flags(pattern: str) -> tuple[str, bool | None]:
+    """The pattern without flags at its start, and whether they ignore case; None for flags that change more than case, lines or dots."""
+    m = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    if not m:
+        return pattern, False
+    return pattern[m.end() :], ("i" in m[1]) if set(m[1]) <= set("ims") else None
+
+
 def literals(pattern: str, most: int = 256, in_class: int = 10) -> list[str] | None:
     """Strings of which each match of the pattern contains one, or None where no useful set exists.
 
@@ -91,8 +126,11 @@ def literals(pattern: str, most: int = 256, in_class: int = 10) -> list[str] | N
     import re._parser as parser
     from re import _constants as op
 
+    # flags inside, sets of sets and \p classes are read otherwise by this parser
+    if re.search(r"(?<!\\)\(\?[a-zA-Z-]*[a-zA-Z][a-zA-Z-]*[):]|\[[^\]]*(?:\[|&&)", pattern):
+        return None
     try:
-        tree = parser.parse(re.sub(r"\\[bBzA]", "", pattern))
+        tree = parser.parse(re.sub(r"\\(.)", lambda m: r"\Z" if m[1] == "z" else m[0], pattern))
     except re.error:
         return None
 

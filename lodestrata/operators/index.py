@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.regexes import literals
+from ..functions.regexes import leading_flags, literals
 from ..sources.tables import spread
 from . import search as S
 from .lines import split_lines
@@ -69,7 +70,13 @@ def postings(docs: DataFrame, n: int = 3, folded: bool = False) -> DataFrame:
     code = F.ascii("next")
     nxt = F.when(F.col("next") != "", _bit(F.pmod(code * 31, F.lit(8)).cast("int"))).otherwise(F.lit(0))
     zone = _bit(F.least("pos", F.lit(ZONE_BITS)).cast("int"))
-    return g.groupBy("gram", "doc_id").agg(F.bit_or(loc).alias("loc_mask"), F.bit_or(nxt.cast("long")).alias("next_mask"), F.bit_or(zone).alias("zone_mask"))
+    out = g.groupBy("gram", "doc_id").agg(F.bit_or(loc).alias("loc_mask"), F.bit_or(nxt.cast("long")).alias("next_mask"), F.bit_or(zone).alias("zone_mask"))
+    return out.withMetadata("gram", {"folded": folded, "n": n})
+
+
+def is_folded(posting: DataFrame) -> bool:
+    """Whether the grams are of folded text: kept with the table, through files too."""
+    return bool(posting.schema["gram"].metadata.get("folded", False))
 
 
 def gram_df(posting: DataFrame) -> DataFrame:
@@ -98,16 +105,22 @@ def covering(literal: str, n: int = 3) -> tuple[str, ...]:
     return tuple(dict.fromkeys(literal[i : i + n] for i in at))
 
 
-def plan(pattern: str, ignore_case: bool = False, n: int = 3) -> Plan:
-    """Grams of which a match must hold all of some alternative; no index for literals shorter than n or across lines."""
-    found = literals(pattern)
+def plan(pattern: str, ignore_case: bool = False, n: int = 3, folded: bool | None = None) -> Plan:
+    """Grams of which a match must hold all of some alternative; no index for literals shorter than n or across lines.
+
+    folded: whether the postings are of folded text (None: as the search is). A search that ignores case needs such postings; one
+    that doesn't can use them too. Flags at the start of the pattern count; any others mean no index.
+    """
+    rest, ignores = leading_flags(pattern)
+    folded = ignore_case or bool(ignores) if folded is None else folded
+    if ignores is None or (ignore_case or ignores) and not folded:
+        return Plan(None, folded)
+    found = literals(rest)
     if not found or any(len(x) < n or "\n" in x for x in found):
-        return Plan(None, ignore_case)
-    if ignore_case:
+        return Plan(None, folded)
+    if folded:
         found = [x.translate({c: c + 32 for c in range(65, 91)}) for x in found]
-        if any(not x.isascii() for x in found):
-            return Plan(None, True)
-    return Plan(tuple(sorted({covering(x, n) for x in found})), ignore_case)
+    return Plan(tuple(sorted({covering(x, n) for x in found})), folded)
 
 
 def candidates(posting: DataFrame, p: Plan) -> DataFrame:
@@ -151,10 +164,15 @@ def residual(posting: DataFrame, literal: str, n: int = 3) -> DataFrame:
 
 def search(corpus: DataFrame, posting: DataFrame, o: S.SearchOptions, n: int = 3) -> DataFrame:
     """The rows of search.counts, with documents pruned by the postings first (unless nearly all would stay)."""
-    p = plan(S.search_pattern(o.pattern, o.fixed), o.ignore_case, n)
-    if p.alternatives is None:
-        return S.counts(corpus, o)
-    return S.counts(corpus.join(candidates(posting, p), "doc_id", "left_semi"), o)
+    return S.counts(pruned(corpus, posting, o, n), o)
+
+
+def pruned(corpus: DataFrame, posting: DataFrame, o: S.SearchOptions, n: int = 3) -> DataFrame:
+    """The documents that may match, by the postings; all of them where the postings can't tell."""
+    if o.expand:
+        return corpus
+    p = plan(S.search_pattern(o.pattern, o.fixed), o.ignore_case, n, is_folded(posting))
+    return corpus if p.alternatives is None else corpus.join(candidates(posting, p), "doc_id", "left_semi")
 
 
 def worthwhile(posting: DataFrame, total: int, p: Plan, percent: int = BYPASS_PERCENT) -> bool:
@@ -171,7 +189,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def overlay(base: DataFrame, delta: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Live postings: the base without shadowed documents, and the delta's."""
-    return base.join(tombstones.select("doc_id"), "doc_id", "left_anti").unionByName(delta)
+    return base.join(tombstones.select("doc_id"), "doc_id", "left_anti").unionByName(delta).withMetadata("gram", base.schema["gram"].metadata)
+
+
+def live_candidates(base: DataFrame, delta: DataFrame, tombstones: DataFrame, p: Plan) -> DataFrame:
+    """The candidates of overlay(base, delta, tombstones): a document's postings are all in one of the two, so each is asked by itself
+    and the base keeps its pushed-down filter."""
+    return candidates(base, p).join(tombstones.select("doc_id"), "doc_id", "left_anti").unionByName(candidates(delta, p))
 
 
 def maintenance(base_docs: int, changed: int, overlay_docs: int) -> str:
@@ -195,6 +219,24 @@ def latest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(seal.orderBy(F.desc("generation")).first()["path"])
 
 
+def published(spark: SparkSession, docs: DataFrame, folded: bool = False, n: int = 3) -> DataFrame:
+    """The postings of docs(doc_id, text), read from files: published once for each state of the files that docs is read from.
+
+    They lie in the warehouse folder, which all executors share, under a name made of the paths, sizes and times of those files, so a
+    change of the input is another index. Filters on grams reach the files: postings are sorted by gram.
+    """
+    import hashlib
+
+    files = docs.select("_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time")).distinct().collect()
+    name = hashlib.sha256(repr((sorted(map(tuple, files)), folded, n)).encode()).hexdigest()[:16]
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/postings/{name}"
+    try:
+        return latest(spark, folder)
+    except AnalysisException:  # not there yet
+        publish(spark, postings(docs, n, folded), folder, 1)
+        return latest(spark, folder)
+
+
 def stats(posting: DataFrame) -> DataFrame:
     return posting.agg(F.count("*").alias("postings"), F.count_distinct("gram").alias("grams"), F.count_distinct("doc_id").alias("documents"))
 
@@ -243,7 +285,7 @@ def top_grams(frequencies: DataFrame, k: int = 20) -> DataFrame:
 
 def resolve_stats(corpus: DataFrame, posting: DataFrame, pattern: str) -> DataFrame:
     """One row: how many postings the grams of a pattern have, documents after the intersection, after the match, and rejects."""
-    p = plan(pattern)
+    p = plan(pattern, folded=is_folded(posting))
     wanted = sorted({g for a in p.alternatives or () for g in a})
     raw = posting.where(F.col("gram").isin(wanted)).agg(F.count("*").alias("raw"), F.count_distinct("gram").alias("leaves"))
     found = candidates(posting, p)

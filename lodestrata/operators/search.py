@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.regexes import search_pattern, to_java
+from ..functions.regexes import line_local, search_pattern, to_java
 from ..sources.tables import MAX_FILE_SIZE, excluded, extension, is_binary, matches_glob, of_type, size_within, under_paths
 from .lines import split_lines
 
@@ -66,35 +66,69 @@ def counts(corpus: DataFrame, o: SearchOptions) -> DataFrame:
     return eligible(corpus, o).where(hit(F.col("text"), o)).select("doc_id", "path", n.alias("match_count"))
 
 
+#: Characters that no text should hold (Unicode keeps them for internal use): they mark where matches start and end.
+_FROM, _TO, _INSTEAD = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def positions(found: DataFrame, o: SearchOptions, unit=F.char_length) -> DataFrame:
+    """doc_id, path, n, line_no, start, end of every match in the whole text: its place in the line where it starts (from 0).
+
+    Matches are marked in one pass, empty ones too, and the text is taken apart at the marks. A match starts where all pieces before
+    it end; its line starts after the last line end before it. unit: char_length, or octet_length for bytes.
+    """
+    marked = F.regexp_replace(F.translate("text", _FROM + _TO, _INSTEAD * 2), F.lit(o.java), F.lit(f"{_FROM}$0{_TO}"))
+    after = lambda x: F.element_at(F.split(x, _TO, -1), -1)
+    before = lambda x: F.substring_index(x, _TO, 1)
+    ends = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit("")))
+    # how far into a piece its last line end reaches
+    reach = lambda x: F.when(F.contains(x, F.lit("\n")), unit(x) - unit(F.substring_index(x, "\n", -1)))
+    facts = lambda g, m: F.struct(unit(g).alias("g"), unit(m).alias("m"), ends(g).alias("ge"), ends(m).alias("me"), reach(g).alias("gr"), reach(m).alias("mr"))
+    x = found.select("doc_id", "path", F.split(marked, _FROM, -1).alias("p")).where(F.size("p") > 1)
+    both = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: facts(after(a), before(b)))
+    x = x.select("doc_id", "path", F.posexplode(both).alias("n", "f")).select("doc_id", "path", "n", "f.*")
+    w = Window.partitionBy("doc_id", "path").orderBy("n")
+    x = x.withColumn("to", F.sum(F.col("g") + F.col("m")).over(w)).withColumn("from", F.col("to") - F.col("m"))
+    x = x.withColumn("line_no", (F.sum(F.col("ge") + F.col("me")).over(w) - F.col("me") + 1).cast("int"))
+    in_gap = F.max(F.col("from") - F.col("g") + F.col("gr")).over(w)
+    in_match = F.max(F.col("from") + F.col("mr")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    line = F.coalesce(F.greatest(in_gap, in_match), F.lit(0))
+    return x.select("doc_id", "path", "n", "line_no", (F.col("from") - line).cast("int").alias("start"), (F.col("to") - line).cast("int").alias("end"))
+
+
+def _marked_lines(found: DataFrame, o: SearchOptions) -> DataFrame:
+    """doc_id, path, line_no, line, n_ranges (0: no match starts here) of all lines of matching documents.
+
+    Where no match can hold or look at a line end, lines are matched one by one, without a join; else matches are those of the whole
+    text, and each counts for the line where it starts.
+    """
+    each = split_lines(found)
+    if line_local(o.java):
+        return each.withColumn("n_ranges", F.regexp_count("line", F.lit(o.java)).cast("long"))
+    per = positions(found, o).groupBy("doc_id", "path", "line_no").agg(F.count("*").alias("n_ranges"))
+    return each.join(per, ["doc_id", "path", "line_no"], "left").withColumn("n_ranges", F.coalesce("n_ranges", F.lit(0).cast("long")))
+
+
 def lines(corpus: DataFrame, o: SearchOptions) -> DataFrame:
-    """doc_id, path, line_no, line, n_ranges of matching lines; for patterns that don't cross a line end."""
+    """doc_id, path, line_no, line, n_ranges of the lines where matches start."""
     found = eligible(corpus, o).where(hit(F.col("text"), o)).select("doc_id", "path", "text")
-    each = split_lines(found).where(hit(F.col("line"), o))
-    return each.select("doc_id", "path", "line_no", "line", F.regexp_count("line", F.lit(o.java)).cast("long").alias("n_ranges"))
+    return _marked_lines(found, o).where(F.col("n_ranges") > 0).select("doc_id", "path", "line_no", "line", "n_ranges")
 
 
 def with_context(corpus: DataFrame, o: SearchOptions) -> DataFrame:
     """doc_id, line_no, line, is_context: matching lines and those around them."""
     before, after = (o.context, o.context) if o.context is not None else (o.before, o.after)
-    found = eligible(corpus, o).where(hit(F.col("text"), o)).select("doc_id", "text")
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-after, before)
-    x = split_lines(found).withColumn("is_match", hit(F.col("line"), o)).withColumn("near", F.max("is_match").over(w))
+    found = eligible(corpus, o).where(hit(F.col("text"), o)).select("doc_id", "path", "text")
+    w = Window.partitionBy("doc_id", "path").orderBy("line_no").rowsBetween(-after, before)
+    x = _marked_lines(found, o).withColumn("is_match", F.col("n_ranges") > 0).withColumn("near", F.max("is_match").over(w))
     return x.where("near").select("doc_id", "line_no", "line", (~F.col("is_match")).alias("is_context"))
 
 
-def ranges(corpus: DataFrame, o: SearchOptions) -> DataFrame:
-    """doc_id, line_no, n, start, end (characters, from 0) of every match in a line.
-
-    A match starts where all pieces and matches before it end, so positions come from the pieces between the matches.
-    """
-    x = lines(corpus, o).select("doc_id", "line_no", "line")
-    found = F.regexp_extract_all("line", F.lit(o.java), F.lit(0))
-    gaps = F.split("line", o.java, -1)
-    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
-    x = x.select("doc_id", "line_no", F.posexplode(sizes).alias("n", "s"))
-    w = Window.partitionBy("doc_id", "line_no").orderBy("n")
-    end = F.sum(F.col("s.g") + F.col("s.m")).over(w)
-    return x.select("doc_id", "line_no", (F.col("n") + 1).alias("n"), (end - F.col("s.m")).cast("int").alias("start"), end.cast("int").alias("end"))
+def ranges(corpus: DataFrame, o: SearchOptions, in_bytes: bool = False) -> DataFrame:
+    """doc_id, line_no, n, start, end (characters or bytes, from 0) of every match in the line where it starts."""
+    found = eligible(corpus, o).where(hit(F.col("text"), o)).select("doc_id", "path", "text")
+    x = positions(found, o, F.octet_length if in_bytes else F.char_length)
+    w = Window.partitionBy("doc_id", "path", "line_no").orderBy("n")
+    return x.select("doc_id", "line_no", F.row_number().over(w).alias("n"), "start", "end")
 
 
 def grouped(matches: DataFrame, per_file: int = 10) -> DataFrame:

@@ -48,7 +48,7 @@ def gram_masks_documents(spark, d):
 
 @query(f"SELECT count(*) AS postings, count(DISTINCT gram) AS grams, count(DISTINCT doc_id) AS documents FROM (SELECT DISTINCT gram, doc_id FROM {DOCS})")
 def index_stats(spark, d):
-    return I.stats(I.postings(_docs(spark, d)))
+    return I.stats(I.published(spark, _docs(spark, d)))
 
 
 @query(f"""SELECT gram, df, row_number() OVER (ORDER BY df DESC, gram)::INT AS rank FROM (SELECT gram, count(DISTINCT doc_id) AS df FROM {DOCS} GROUP BY gram ORDER BY df DESC, gram LIMIT 20)""")
@@ -68,17 +68,17 @@ def bigram_df_idf(spark, d):
 
 @query("SELECT doc_id FROM (SELECT doc_id, bool_or(contains(line, 'ers')) AND bool_or(contains(line, 'tio')) AND bool_or(contains(line, 'ing')) AS ok FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id) WHERE ok")
 def index_and(spark, d):
-    return I.candidates(I.postings(_docs(spark, d)), I.Plan((("ers", "tio", "ing"),)))
+    return I.candidates(I.published(spark, _docs(spark, d)), I.Plan((("ers", "tio", "ing"),)))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'ung') OR contains(text, 'eau')")
 def index_or(spark, d):
-    return I.candidates(I.postings(_docs(spark, d)), I.Plan((("ung",), ("eau",))))
+    return I.candidates(I.published(spark, _docs(spark, d)), I.Plan((("ung",), ("eau",))))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'ung') INTERSECT SELECT doc_id FROM documents WHERE contains(text, 'keit') EXCEPT SELECT doc_id FROM documents WHERE contains(text, 'heitst')")
 def index_set_ops(spark, d):
-    p = I.postings(_docs(spark, d))
+    p = I.published(spark, _docs(spark, d))
     one = lambda *g: I.candidates(p, I.Plan((g,)))
     text = _docs(spark, d)
     has = lambda s: text.where(F.contains("text", F.lit(s))).select("doc_id")
@@ -88,12 +88,12 @@ def index_set_ops(spark, d):
 
 @query(f"SELECT doc_id, {PATH} AS path, len(regexp_extract_all(text, 'erhing|theron[a-z]+'))::BIGINT AS match_count FROM documents WHERE regexp_matches(text, 'erhing|theron[a-z]+')")
 def index_search_verified(spark, d):
-    return I.search(T.corpus(spark, d), I.postings(_docs(spark, d)), SearchOptions("erhing|theron[a-z]+"))
+    return I.search(T.corpus(spark, d), I.published(spark, _docs(spark, d)), SearchOptions("erhing|theron[a-z]+"))
 
 
 @query(f"SELECT doc_id, {PATH} AS path, len(regexp_extract_all(text, '(?i)stanre'))::BIGINT AS match_count FROM documents WHERE regexp_matches(text, '(?i)stanre')")
 def index_search_folded(spark, d):
-    return I.search(T.corpus(spark, d), I.postings(_docs(spark, d), folded=True), SearchOptions("stanre", ignore_case=True))
+    return I.search(T.corpus(spark, d), I.published(spark, _docs(spark, d), folded=True), SearchOptions("stanre", ignore_case=True))
 
 
 @query("""SELECT doc_id FROM documents WHERE doc_id % 10 <> 3 AND contains(text, 'eron') UNION SELECT doc_id FROM documents WHERE doc_id % 10 = 3 AND contains(replace(text, 'the', 'eron'), 'eron')""")
@@ -102,9 +102,8 @@ def overlay_search(spark, d):
     docs = _docs(spark, d)
     changed = docs.where(F.pmod("doc_id", F.lit(10)) == 3)
     new = changed.select("doc_id", F.replace("text", F.lit("the"), F.lit("eron")).alias("text"))
-    live = I.overlay(I.postings(docs), I.postings(new), changed)
     texts = docs.where(F.pmod("doc_id", F.lit(10)) != 3).unionByName(new)
-    found = I.candidates(live, I.Plan((I.covering("eron"),)))
+    found = I.live_candidates(I.published(spark, docs), I.postings(new), changed, I.Plan((I.covering("eron"),)))
     return texts.join(found, "doc_id", "left_semi").where(F.contains("text", F.lit("eron"))).select("doc_id")
 
 
@@ -129,11 +128,11 @@ def sparse_grams(spark, d):
 SELECT (SELECT count(*) FROM g WHERE gram <> 'ron') AS raw, (SELECT count(DISTINCT gram) FROM g WHERE gram <> 'ron') AS leaves, count(*) AS after_intersection, count(*) FILTER (contains(text, 'eronn')) AS matched, count(*) FILTER (NOT contains(text, 'eronn')) AS rejected
 FROM documents JOIN c USING (doc_id)""".replace("{0}", DOCS))
 def resolve_stats(spark, d):
-    return I.resolve_stats(T.corpus(spark, d), I.postings(_docs(spark, d)), "eronn")
+    return I.resolve_stats(T.corpus(spark, d), I.published(spark, _docs(spark, d)), "eronn")
 
 
 @query(f"SELECT doc_id, {PATH} AS path, len(regexp_extract_all(text, 'anont'))::BIGINT AS match_count FROM documents WHERE contains(text, 'anont')")
 def api_search(spark, d):
     from .. import api
 
-    return api.search(T.corpus(spark, d), "anont", "count", postings=I.postings(_docs(spark, d)))
+    return api.search(T.corpus(spark, d), "anont", "count", postings=I.published(spark, _docs(spark, d)))

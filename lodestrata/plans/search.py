@@ -156,3 +156,33 @@ def search_multiline(spark, d):
 def default_excludes(spark, d):
     pages = T.read(spark, d, "pages")
     return pages.where(~T.excluded(T.F.col("url"), ["tag", "en", "category"])).select("page_id", "url")
+
+
+@query(f"SELECT doc_id, {PATH} AS path, 1 AS line_no, string_split(text, chr(10))[1] AS line, 1::BIGINT AS n_ranges FROM documents WHERE regexp_matches(text, '^The')")
+def search_lines_start(spark, d):
+    """An anchor means the text's start, not each line's."""
+    return S.lines(T.corpus(spark, d), SearchOptions("^The"))
+
+
+@query(rf"SELECT doc_id, {PATH} AS path, len(string_split(text, chr(10)))::INT AS line_no, string_split(text, chr(10))[-1] AS line, 1::BIGINT AS n_ranges FROM documents WHERE regexp_matches(text, '[a-z]+ion\.$')")
+def search_lines_end(spark, d):
+    return S.lines(T.corpus(spark, d), SearchOptions(r"[a-z]+ion\.$"))
+
+
+ACROSS = f"""(SELECT doc_id, path, line_no, line, regexp_matches(line, '[a-z]+[.]$') AND coalesce(regexp_matches(lead(line) OVER (PARTITION BY doc_id ORDER BY line_no), '^[A-Z]'), false) AS m FROM ({LINES}))"""
+
+
+@query(f"SELECT doc_id, path, line_no, line, 1::BIGINT AS n_ranges FROM {ACROSS} WHERE m")
+def search_lines_across(spark, d):
+    """A match that crosses a line end counts for the line where it starts."""
+    return S.lines(T.corpus(spark, d), SearchOptions(r"[a-z]+[.]\n[A-Z]"))
+
+
+@query(f"""SELECT doc_id, line_no, line, NOT m AS is_context FROM (SELECT *, max(m) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM {ACROSS}) WHERE near""")
+def search_context_across(spark, d):
+    return S.with_context(T.corpus(spark, d), SearchOptions(r"[a-z]+[.]\n[A-Z]", context=1))
+
+
+@query(f"""SELECT doc_id, line_no, 1 AS n, (strlen(line) - strlen(regexp_extract(line, '[a-z]+[.]$')))::INT AS start, (strlen(line) + 2)::INT AS "end" FROM {ACROSS} WHERE m""")
+def match_ranges_bytes(spark, d):
+    return S.ranges(T.corpus(spark, d), SearchOptions(r"[a-z]+[.]\n[A-Z]"), in_bytes=True)

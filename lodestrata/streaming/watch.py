@@ -47,40 +47,38 @@ def activity(events: DataFrame, key: str, window: str = "300 seconds", slide: st
 
 
 def changed_content(events: DataFrame, key: str, content: Column, order: list[str]) -> DataFrame:
-    """Batch form: events whose content differs from the key's last one (A, B, A are three changes); deletions (null) pass and forget."""
+    """Batch form: events whose content differs from the key's last one (A, B, A are three changes); deletions (null) pass and forget.
+    Contents of more than HASH_LIMIT bytes always pass."""
     h = F.xxhash64(content)
     x = events.withColumn("_h", F.when(content.isNotNull(), h))
     w = Window.partitionBy(key).orderBy(*order)
     prev = F.lag("_h").over(w)
     first = F.row_number().over(w) == 1
-    x = x.withColumn("_keep", first | F.col("_h").isNull() | prev.isNull() | (prev != F.col("_h")))
+    big = F.coalesce(F.octet_length(content) > HASH_LIMIT, F.lit(False))
+    x = x.withColumn("_keep", first | F.col("_h").isNull() | prev.isNull() | (prev != F.col("_h")) | big)
     return x.where("_keep").drop("_h", "_keep")
 
 
 def changed_content_stream(events: DataFrame, key: str, content: str) -> DataFrame:
-    """Stream form of changed_content: the last hash of each key is state. events must have key, content and seq (its order)."""
+    """Stream form of changed_content, with the same hash: the last one of each key is state. events must have key, content and seq (its
+    order)."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     out = f"`{key}` {kinds[key]}, seq {kinds['seq']}, `{content}` string"
+    # 0 stands for no content, so that hashes stay whole numbers on their way; _there tells the two apart
+    x = events.select(key, "seq", content, F.coalesce(F.when(F.col(content).isNotNull(), F.xxhash64(content)), F.lit(0)).alias("_h"), F.col(content).isNotNull().alias("_there"), F.coalesce(F.octet_length(content) > HASH_LIMIT, F.lit(False)).alias("_big"))
 
     def step(k: tuple, frames, state: GroupState):
-        import zlib
-
         last = state.get[0] if state.exists else None
         for pdf in frames:
             pdf = pdf.sort_values("seq")
             rows = []
-            for seq, text in zip(pdf["seq"], pdf[content], strict=True):
-                if text is None:
-                    rows.append((k[0], seq, None))
-                    last = None
-                    continue
-                h = zlib.crc32(text.encode()) << 32 | zlib.adler32(text.encode())
-                if h != last or len(text) > HASH_LIMIT:
-                    rows.append((k[0], seq, text))
-                last = h
+            for seq, text, h, there, big in zip(pdf["seq"], pdf[content], pdf["_h"], pdf["_there"], pdf["_big"], strict=True):
+                if not there or big or h != last:
+                    rows.append((k[0], seq, text if there else None))
+                last = int(h) if there else None
             yield pd.DataFrame(rows, columns=[key, "seq", content])
         if last is None:
             if state.exists:
@@ -88,7 +86,7 @@ def changed_content_stream(events: DataFrame, key: str, content: str) -> DataFra
         else:
             state.update((last,))
 
-    return events.groupBy(key).applyInPandasWithState(step, out, "h long", "append", GroupStateTimeout.NoTimeout)
+    return x.groupBy(key).applyInPandasWithState(step, out, "h long", "append", GroupStateTimeout.NoTimeout)
 
 
 def held(events: DataFrame, order: str = "ts") -> DataFrame:

@@ -162,3 +162,90 @@ def test_nearest_of_every_query(spark):
     for block in (2048, 2):
         assert {(r["query_id"], r["vec_id"], r["rank"]) for r in nearest(df, queries, block=block).collect()} == want
     assert nearest(df, queries.where("false")).count() == 0 and nearest(df.where("false"), queries).count() == 0
+
+
+def test_lines_of_whole_content_matches(spark):
+    """Matches are those of the whole text: against Python's, for anchors, flags, empty matches and matches across lines."""
+    import re
+
+    texts = ["hello\nhello x\nhello", "x\nhello", "", "\n", "é\nxéx hello\n", "a\n\nb\n", "hello", "\ufdd0 hello \ufdd1\nhello"]
+    c = spark.createDataFrame([(i, f"p/{i}.x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    for pattern in ("^hello", "hello$", "x\\nhello", "(?m)^hello", "(?m)hello$", "l+", "x*", "o\\s+h", "[^a]l", "(?s)x.h", "\\bhello\\b", "e.l", "(?i)HELLO$"):
+        o = S.SearchOptions(pattern)
+        want, places = {}, set()
+        for i, t in enumerate(texts):
+            for m in re.finditer(re.sub(r"(?<![\\(])\$$", lambda _: r"\Z" if not pattern.startswith("(?m)") else "$", pattern), t):
+                line = t.count("\n", 0, m.start()) + 1
+                at = t.rfind("\n", 0, m.start()) + 1
+                want[i, line] = want.get((i, line), 0) + 1
+                places.add((i, line, want[i, line], m.start() - at, m.end() - at))
+        got = {(r["doc_id"], r["line_no"]): r["n_ranges"] for r in S.lines(c, o).collect()}
+        assert got == want, pattern
+        assert {tuple(r) for r in S.ranges(c, o).collect()} == places, pattern
+        assert {(r["doc_id"], r["line_no"]) for r in S.with_context(c, o).where("not is_context").collect()} == set(want), pattern
+        totals = {}
+        for (i, _), n in want.items():
+            totals[i] = totals.get(i, 0) + n
+        assert {r["doc_id"]: r["match_count"] for r in S.counts(c, o).collect()} == totals, pattern
+
+
+def test_content_stream_over_micro_batches(spark, tmp_path):
+    """State holds from one micro-batch to the next, for hashes of either sign."""
+    texts = [f"text {i}" for i in range(30)]
+    rows = [(k, b * 10 + j, t) for b in range(3) for k, t in enumerate(texts) for j in range(1 if k % 3 else 2)]
+    rows += [(100, 1, "a"), (100, 11, None), (100, 21, "a"), (101, 1, "a"), (101, 11, "b"), (101, 21, "a")]
+    df = spark.createDataFrame(rows, "key long, seq long, content string")
+    for b in range(3):
+        df.where(f"seq div 10 = {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = W.changed_content_stream(stream, "key", "content").writeStream.format("memory").queryName("three").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240) and len([p for p in q.recentProgress if p["numInputRows"]]) == 3
+    got = sorted((r["key"], r["seq"]) for r in spark.table("three").collect())
+    assert got == sorted((r["key"], r["seq"]) for r in W.changed_content(df, "key", F.col("content"), ["seq"]).collect())
+    assert len(got) == 36
+
+
+def test_index_and_scan_agree(spark, tmp_path):
+    """Random patterns with flags, classes, alternatives and repeats, on folded and plain postings: the rows of the plain scan."""
+    import random
+
+    from lodestrata import api
+    from lodestrata.functions.regexes import validate
+    from lodestrata.operators import index as I
+
+    rng = random.Random(31)
+    words = ["hello", "Hello", "HELLO world", "the_end", "naïve", "x1y2", "Foo.bar", "a-b", "tion"]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    c = spark.createDataFrame([(i, f"p/{i}.x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string").cache()
+    plain, folded = I.postings(c).cache(), I.postings(c, folded=True)
+    I.publish(spark, folded, str(tmp_path / "index"), 1)
+    folded = I.latest(spark, str(tmp_path / "index")).cache()
+    assert I.is_folded(folded) and not I.is_folded(plain) and I.is_folded(I.overlay(folded, folded.where("false"), c.where("false")))
+    parts = ["hello", "Hel", "end", "tion", "[Hh]el", "(foo|Foo)", "naï", "wor?ld", "l{2}", "(?:the)+", "\\w+", ".", "o\\.b", "[^x]", "_", " ", "(?i:HEL)lo", "\\bhello", "end$", "^the", "x*", "[[:alpha:]]lo", "\\\\b"]
+    fixed = ["(?i)hello", "(?i)WORLD", "(?im)^hello", "(?s)hello.HELLO", "(?x) hel lo", "hello(?i)WORLD", "a-b", "Foo\\.bar|TION", "[h-i&&[h]]ello", "(?i)naÏve"]
+    patterns = fixed + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(200)]
+    tried = pruned = 0
+    for p in patterns:
+        for ignore in (False, True) if rng.random() < 0.3 else (rng.random() < 0.5,):
+            try:
+                validate(p)
+                o = S.SearchOptions(p, ignore_case=ignore)
+                want = None
+                for postings in (plain, folded):
+                    plan = I.plan(p, ignore, folded=I.is_folded(postings))
+                    if plan.alternatives is None:
+                        continue
+                    if want is None:
+                        want = {r["doc_id"] for r in S.files(c, o).collect()}
+                    left = {r["doc_id"] for r in I.candidates(postings, plan).collect()}
+                    pruned += 1
+                    assert want <= left, (p, ignore)
+                tried += 1
+            except ValueError:
+                continue
+    assert tried > 60 and pruned > 60
+    for p in ("(?i)hello", "HELLO"):
+        for ignore in (False, True):
+            scan = sorted(map(tuple, api.search(c, S.SearchOptions(p, ignore_case=ignore), "count").collect()))
+            for postings in (plain, folded):
+                assert sorted(map(tuple, api.search(c, S.SearchOptions(p, ignore_case=ignore), "count", postings=postings).collect())) == scan
