@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import to_workers
+from ..sources.tables import spread as spread  # noqa: PLC0414
 
 # White space that str.split() takes as a separator beyond [\x20\x09-\x0D].
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -67,10 +68,12 @@ _own_folders: dict[str, str] = {}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a temporary folder only where it is unset (tests)."""
+    """What spark.checkpoint.dir names; a temporary folder only where it is unset and no other machine takes part, else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         import tempfile
@@ -93,6 +96,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -123,13 +131,6 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, uni
     return out.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_h_{c}")).otherwise(F.col(f"_r_{c}")).alias(c) for c in cols])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows to every core when the input has fewer splits than cores (one small file); larger inputs stay as read."""
-    sc = df.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds: Arrow batches of at most so many rows (Spark's default is 10,000). Sees to the workers' code."""
     to_workers(spark)

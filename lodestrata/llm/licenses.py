@@ -13,10 +13,9 @@ A paragraph is reported when `none` is not its likeliest class. Its family is th
 reaches `sure` and the paragraph holds `similar` or more of the word pairs of one of the family's templates (or the template holds so
 many of the paragraph's); otherwise the family is `unknown`.
 
-Every paragraph is scored, in its row: the model is a few constant arrays, addressed by a hash that is perfect on its n-grams. First a
-bound: the sum over a paragraph's words and word pairs of the most that each can lift any class over `none` (another n-gram in the same
-place can only raise it). Where even that can't make up for the head start of `none`, the paragraph is `none` without more; the
-others are scored exactly.
+Every paragraph is scored, in its row: the model is a few constant arrays, addressed by a hash that is perfect on its n-grams. Of the
+n-grams found there the most that each can lift any class over `none` is added up first. Where even that can't make up for the head
+start of `none`, the paragraph is `none` without more; for the others the score of each class is taken.
 
 Nulls and edges: null and empty texts have no paragraphs; rows that repeat a doc_id and text are answered once; null ids stay null;
 an empty table gives an empty result; extra columns are ignored.
@@ -32,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 # Notices and characteristic sentences of licence families (fixed values, from the licences' public texts).
 TEMPLATES = {
@@ -270,27 +269,29 @@ class Scorer:
         else:
             raise ValueError("no perfect hash: too many n-grams")
         self.slot = slot
-        lift, index = np.zeros(SLOTS), np.full(SLOTS, -1)
-        lifts = np.ceil(model.lifts * 1e6) / 1e6
+        index = np.full(SLOTS, -1)
         for i, g in enumerate(model.vocabulary):
-            lift[where[g]], index[where[g]] = lifts[i], i
+            index[where[g]] = i
         constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-        self.lift, self.index = constant(lift.tolist(), "double"), constant(index.tolist(), "int")
-        self.vocabulary = constant(model.vocabulary, "string")
+        self.index, self.vocabulary = constant(index.tolist(), "int"), constant(model.vocabulary, "string")
+        self.lifts = constant((np.ceil(model.lifts * 1e6) / 1e6).tolist(), "double")
         self.weights = constant(model.weights.astype(float).tolist(), "array<double>")
 
-    def bound(self, tokens: Column) -> Column:
-        lift = lambda g: F.get(self.lift, self.slot(g))
-        zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("sum"))
-        add = lambda acc, t: F.struct(t.alias("last"), (acc["sum"] + lift(t) + lift(F.concat(acc["last"], F.lit(" "), t))).alias("sum"))
-        return F.aggregate(tokens, zero, add, lambda acc: acc["sum"])
-
-    def held(self, grams: Column) -> Column:
-        """The places in the vocabulary of the distinct n-grams that are in it."""
+    def held(self, tokens: Column) -> Column:
+        """The places in the vocabulary of the distinct words and word pairs that are in it."""
         place = lambda g: F.get(self.index, self.slot(g))
-        known = F.filter(grams, lambda g: (place(g) >= 0) & (F.get(self.vocabulary, place(g)) == g))
+        near = let(tokens, lambda t: F.filter(F.concat(t, pairs_of(t)), lambda g: place(g) >= 0))
+        known = F.filter(near, lambda g: F.get(self.vocabulary, place(g)) == g)
         return F.array_distinct(F.transform(known, place))
 
+    def lift(self, held: Column) -> Column:
+        return F.aggregate(held, F.lit(0.0), lambda acc, i: acc + F.get(self.lifts, i))
+
+    def reported(self, held: Column) -> Column:
+        """The numbers of all classes, or null where none's is the largest."""
+        k, enough = len(self.model.classes), self.lift(held) >= self.model.head_start - 1e-4
+        return F.when(enough, let(self.scores(held), lambda z: F.when(F.get(z, F.lit(k - 1)) < F.array_max(F.slice(z, 1, k - 1)), z)))
+
     def scores(self, held: Column) -> Column:
         """A number for each class."""
         bias = F.array(*[F.lit(float(b)) for b in self.model.bias])
@@ -303,10 +304,8 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, sure: float = 0.5
     m = model or train(docs)
     scorer, k = Scorer(m, spark), len(m.classes)
     paras = docs.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("para_no", "line"))
-    paras = paras.where(scorer.bound(tokens_of(F.col("line"))) >= m.head_start - 1e-4)
-    tokens = paras.withColumn("tokens", tokens_of(F.col("line")))
-    scored = tokens.withColumn("z", scorer.scores(scorer.held(F.concat("tokens", pairs_of(F.col("tokens"))))))
-    scored = scored.where(F.element_at("z", k) < F.array_max(F.slice("z", 1, k - 1))).drop("tokens")
+    # few rows pass, so that what the filter computes is computed again for those alone
+    scored = paras.withColumn("z", let(scorer.held(tokens_of(F.col("line"))), scorer.reported)).where("z is not null")
     top = F.array_max("z")
     scored = scored.withColumn("e", F.transform("z", lambda z: F.exp((z - top) / m.temperature)))
     sums = scored.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).withColumn("p", F.transform("e", lambda x: x / F.col("total")))

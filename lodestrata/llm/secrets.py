@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, spread_join, table
+from .common import durable, let, spread_join, table
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # the shortest accepted lengths stand in the pattern where a shorter run can't hide a longer one
@@ -44,11 +44,6 @@ def _running(values: Column) -> Column:
     return F.aggregate(values, zero, step, lambda acc: acc["out"])
 
 
-def let(value: Column, body) -> Column:
-    """body of a value that is computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running_totals(values: Column) -> Column:
     """Running totals of an array of ints, in blocks of its length's square root, so that long arrays are no square work."""
 
