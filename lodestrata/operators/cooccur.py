@@ -27,6 +27,9 @@ def tokens_of(line: Column) -> Column:
     return F.filter(low, lambda x: ~F.array_contains(stop, x) & ~F.rlike(x, F.lit("^([0-9]+$|u[0-9a-f]{4})")))
 
 
+PART = 1000
+
+
 def line_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, k, tokens: the lines with tokens, numbered from 1 within each text."""
     x = split_lines(docs.select("doc_id", "text")).withColumn("tokens", tokens_of(F.col("line"))).where(F.size("tokens") > 0)
@@ -47,16 +50,20 @@ def pair_counts(docs: DataFrame, window: int = WINDOW, min_token: int = 1) -> Da
     """a, b, n: how often two different tokens (a < b) stand in one line or within `window` token-bearing lines, by occurrences.
 
     Tokens below min_token occurrences in all are left out before lines are joined. The join is on (text, line number): each line
-    is sent to itself and to the next lines of its text.
+    is sent to itself and to the next lines of its text. A line of more than PART tokens is dealt to several tasks by its tokens, and
+    the lines it meets are sent to each of them.
     """
-    x = _by_line(docs)
+    w = Window.partitionBy("doc_id").orderBy("k")
+    parts = F.ceil(F.size("tokens") / PART).cast("int")
+    x = line_tokens(docs).withColumn("parts", F.array(parts, *[F.lead(parts, i).over(w) for i in range(1, window + 1)]))
+    x = x.select("doc_id", "k", "parts", F.explode("tokens").alias("token")).groupBy("doc_id", "k", "token").agg(F.count("*").alias("c"), F.first("parts").alias("parts"))
     if min_token > 1:
         frequent = x.groupBy("token").agg(F.sum("c").alias("t")).where(F.col("t") >= min_token).select("token")
         x = x.join(frequent, "token", "left_semi")
-    left = x.select("doc_id", F.col("token").alias("t1"), F.col("c").alias("c1"), "k", F.explode(F.sequence(F.lit(0), F.lit(window))).alias("gap"))
-    left = left.withColumn("k", F.col("k") + F.col("gap"))
-    right = x.select("doc_id", "k", F.col("token").alias("t2"), F.col("c").alias("c2"))
-    both = left.join(right, ["doc_id", "k"]).where(((F.col("gap") == 0) & (F.col("t1") < F.col("t2"))) | ((F.col("gap") > 0) & (F.col("t1") != F.col("t2"))))
+    left = x.select("doc_id", F.col("token").alias("t1"), F.col("c").alias("c1"), "k", F.posexplode("parts").alias("gap", "of")).where("of is not null")
+    left = left.withColumn("k", F.col("k") + F.col("gap")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    right = x.select("doc_id", "k", F.col("token").alias("t2"), F.col("c").alias("c2"), F.pmod(F.hash("token"), F.get("parts", F.lit(0))).alias("part"))
+    both = left.join(right, ["doc_id", "k", "part"]).where(((F.col("gap") == 0) & (F.col("t1") < F.col("t2"))) | ((F.col("gap") > 0) & (F.col("t1") != F.col("t2"))))
     return both.groupBy(F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b")).agg(F.sum(F.col("c1") * F.col("c2")).alias("n"))
 
 

@@ -56,23 +56,30 @@ def brace_depth(lines: DataFrame, opening: str = r"\{", closing: str = r"\}") ->
 def block_ends(lines: DataFrame, starts: DataFrame, opening: str = r"\{", closing: str = r"\}") -> DataFrame:
     """doc_id, line_no, block_end: the first line at or after a start after which no more braces are open than before it.
 
-    The line of each depth that follows is looked up by the text's depth profile, so a text of n lines costs n rows, not n squared.
+    A line after which fewer braces are open closes the levels in between; a start opens the level above those open before it, and
+    its block ends at the first line that closes that level. Windows are by level of a text, and a closing brace is one row.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
     x = brace_depth(lines, opening, closing).withColumn("before", F.coalesce(F.lag("depth").over(w), F.lit(0)))
-    s = x.join(starts.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", "before", "depth")
-    profile = x.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "depth"))).alias("p"))
-    end = F.array_min(F.transform(F.filter("p", lambda q: (q["line_no"] >= F.col("line_no")) & (q["depth"] <= F.col("before"))), lambda q: q["line_no"]))
-    return s.where("depth > before").join(profile, "doc_id").select("doc_id", "line_no", end.alias("block_end"))
+    closed = x.where("depth < before").select("doc_id", "line_no", F.explode(F.sequence(F.col("depth") + 1, F.col("before"))).alias("level"), F.lit(True).alias("closes"))
+    opened = x.where("depth > before").join(starts.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", (F.col("before") + 1).alias("level"), F.lit(False).alias("closes"))
+    after = Window.partitionBy("doc_id", "level").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
+    end = F.first(F.when(F.col("closes"), F.col("line_no")), ignorenulls=True).over(after)
+    return closed.unionByName(opened).withColumn("block_end", end).where(~F.col("closes")).select("doc_id", "line_no", "block_end")
+
+
+STRIPE = 32  # lines
 
 
 def enclosing(symbols_: DataFrame, targets: DataFrame, radius: int = 20) -> DataFrame:
     """doc_id, target, start, end: the last definition whose block holds the target line, else the lines around it.
 
-    An equi-join on the text and a range inside it; the latest definition wins.
+    Blocks and targets meet by stripes of lines of a text, so a target is compared with the blocks of its stripe alone.
     """
-    s = symbols_.select("doc_id", F.col("line_no").alias("s"), F.col("block_end").alias("e"))
-    x = targets.select("doc_id", F.col("line_no").alias("target")).join(s, "doc_id", "left")
+    stripe = lambda c: F.floor(F.col(c) / STRIPE).cast("int")
+    s = symbols_.where("block_end >= line_no").select("doc_id", F.col("line_no").alias("s"), F.col("block_end").alias("e"))
+    s = s.withColumn("stripe", F.explode(F.sequence(stripe("s"), stripe("e"))))
+    x = targets.select("doc_id", F.col("line_no").alias("target"), stripe("line_no").alias("stripe")).join(s, ["doc_id", "stripe"], "left")
     inside = (F.col("s") <= F.col("target")) & (F.col("target") <= F.col("e"))
     x = x.groupBy("doc_id", "target").agg(F.max(F.when(inside, F.struct("s", "e"))).alias("b"))
     return x.select("doc_id", "target", F.coalesce("b.s", F.greatest(F.col("target") - radius, F.lit(1))).alias("start"), F.coalesce("b.e", F.col("target") + radius).alias("end"))

@@ -96,10 +96,17 @@ def excluded(path: Column, names: list[str] | None = None) -> Column:
     return F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*[F.lit(x) for x in (names or DEFAULT_EXCLUDES)]))
 
 
+SPLIT_BYTES = 4 * 1024 * 1024  # Spark makes no smaller splits of files by itself
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows to every core when the input has fewer splits than cores (one small file); larger inputs stay as read."""
+    """Deals rows to every core when the input is too small to have a split for each; larger inputs stay as read.
+
+    Goes by the plan's own estimate, so nothing runs.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
 def session_files(spark: SparkSession, folder: str, since: str) -> DataFrame:

@@ -249,3 +249,42 @@ def test_index_and_scan_agree(spark, tmp_path):
             scan = sorted(map(tuple, api.search(c, S.SearchOptions(p, ignore_case=ignore), "count").collect()))
             for postings in (plain, folded):
                 assert sorted(map(tuple, api.search(c, S.SearchOptions(p, ignore_case=ignore), "count", postings=postings).collect())) == scan
+
+
+def test_blocks_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice(["{", "}", "{ {", "} }", "x", "} {", "{ }"]) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    x = lines(spark, *texts)
+    starts = x.select("doc_id", "line_no")
+    want, blocks = set(), {}
+    for d, t in enumerate(texts):
+        depth, depths = 0, [0]
+        for line in t.split("\n"):
+            depth += line.count("{") - line.count("}")
+            depths.append(depth)
+        for i in range(1, len(depths)):
+            if depths[i] > depths[i - 1]:
+                end = next((j for j in range(i, len(depths)) if depths[j] <= depths[i - 1]), None)
+                want.add((d, i, end))
+                blocks.setdefault(d, []).append((i, end))
+    ends = Y.block_ends(x, starts).cache()
+    assert {tuple(r) for r in ends.collect()} == want
+    got = {(r["doc_id"], r["target"]): (r["start"], r["end"]) for r in Y.enclosing(ends, starts).collect()}
+    for d, t in enumerate(texts):
+        for line in range(1, t.count("\n") + 2):
+            inside = [b for b in blocks.get(d, []) if b[1] is not None and b[0] <= line <= b[1]]
+            assert got[d, line] == (max(inside) if inside else (max(1, line - 20), line + 20))
+
+
+def test_pairs_of_long_lines(spark, monkeypatch):
+    """Lines dealt to several tasks give the counts of lines that are not."""
+    import random
+
+    rng = random.Random(3)
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet"]
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(9))) for i in range(6)], "doc_id long, text string")
+    want = {tuple(r) for r in K.pair_counts(docs).collect()}
+    monkeypatch.setattr(K, "PART", 3)
+    assert {tuple(r) for r in K.pair_counts(docs).collect()} == want and want
