@@ -79,3 +79,49 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[i] for i in range(201)} == {0} and {got[i] for i in range(1000, 1300)} == {1000} and got[7001] == 7000
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def table_sets(path, k):
+    import duckdb
+
+    rows = duckdb.execute(f"SELECT doc_id, text FROM '{path}/documents.parquet'").fetchall()
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {d: {hash(tuple(w[i : i + k])) for i in range(max(1, len(w) - k + 1))} if (w := words(t)) else set() for d, t in rows}
+
+
+def links_of(sets, queries, percent):
+    """Every link of the given documents, by an index of all shingles."""
+    holders: dict = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    for a in queries:
+        both: dict = {}
+        for x in sets[a]:
+            for b in holders[x]:
+                both[b] = both.get(b, 0) + 1
+        for b, n in both.items():
+            if b != a and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                yield a, b
+
+
+@pytest.mark.parametrize(("sf", "every"), [("sf0.01", 1), ("sf0.1", 100)])
+def test_components_of_the_test_tables(spark, sf, every):
+    """sf0.01: all components against brute force. sf0.1: every link of the documents whose id is divisible by 100 is in one component."""
+    sets = table_sets(f"/root/testdata/{sf}", 3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), 3, 85).collect()}
+    assert got.keys() == sets.keys() and all(got[d][0] == len(s) for d, s in sets.items())
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = list(links_of(sets, [d for d in sets if d % every == 0], 85))
+    assert links and all(got[a][1] == got[b][1] for a, b in links)
+    if every == 1:
+        for a, b in links:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+        assert all(got[d][1] == find(d) for d in sets)
