@@ -36,6 +36,24 @@ def format_age(seconds: Column) -> Column:
     return out
 
 
+def format_duration(seconds: Column) -> Column:
+    """0.0005 -> 500μs, 0.0123 -> 12.3ms, 2.5 -> 2.50s."""
+    ms = seconds * 1000
+    return F.when(ms < 1, F.format_string("%.0fμs", seconds * 1e6)).when(ms < 1000, F.format_string("%.1fms", ms)).otherwise(F.format_string("%.2fs", seconds.cast("double")))
+
+
+def truncate_bytes(s: Column, most: int) -> Column:
+    """At most so many bytes of UTF-8: a longer string is cut at a character and ends with three dots."""
+    raw, end = s.cast("binary"), max(0, most - 3)
+    # a byte of 80 to BF goes on with the character before it
+    goes_on = lambda i: F.conv(F.hex(F.substring(raw, i + 1, 1)), 16, 10).cast("int").between(128, 191)
+    cut = F.lit(end)
+    for back in (3, 2, 1, 0):
+        if end - back >= 0:
+            cut = F.when(~goes_on(end - back), F.lit(end - back)).otherwise(cut)
+    return F.when(F.octet_length(s) > most, F.concat(F.substring(raw, F.lit(1), cut).cast("string"), F.lit("..."))).otherwise(s)
+
+
 def parse_size(s: Column) -> Column:
     """`5GB`, `10 MB`, `1k` or a plain number to bytes; null for anything else."""
     num = F.regexp_extract(s, r"^\s*([0-9]+)\s*([KMGkmg]?)[Bb]?\s*$", 1)

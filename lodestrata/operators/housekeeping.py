@@ -85,6 +85,41 @@ def manifest_dependencies(lines: DataFrame) -> DataFrame:
     return x.where(name != "").select("path", "section", name.alias("name"), F.when(version != "", version).otherwise(inner).alias("version"))
 
 
+def dependencies(files: DataFrame) -> DataFrame:
+    """path, section, name, version of the manifests among files(path, text), by file name: Cargo.toml and pyproject.toml (tables and
+    arrays of dependencies), package.json, composer.json, go.mod, requirements.txt and Gemfile. version '' where none is named."""
+    name = F.element_at(F.split("path", "/"), -1)
+    x = files.select("path", "text", name.alias("file"))
+    lines = x.select("path", "file", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    toml = manifest_dependencies(lines.where(F.col("file").isin("Cargo.toml", "pyproject.toml")).select("path", "line_no", "line"))
+    # arrays of requirement strings: project.dependencies, and those of each extra
+    arrays = x.where("file = 'pyproject.toml'").select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)^\s*dependencies\s*=\s*\[(.*?)\]\s*$"), F.lit(1))).alias("body"))
+    quoted = arrays.select("path", F.lit("dependencies").alias("section"), F.explode(F.regexp_extract_all("body", F.lit("[\"']([^\"']+)[\"']"), F.lit(1))).alias("line"))
+    plain = lines.where("file = 'requirements.txt'").select("path", F.lit("requirements").alias("section"), F.regexp_replace("line", r"\s+#.*$", "").alias("line"))
+    wanted = quoted.unionByName(plain.where(~F.rlike("line", F.lit(r"^(#|-|$)"))))
+    m = lambda i: F.regexp_extract("line", r"^([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*([<>=!~^][^;]*)?", i)
+    python = wanted.select("path", "section", m(1).alias("name"), F.trim(m(2)).alias("version")).where("name <> ''")
+    sections = ["dependencies", "devDependencies", "peerDependencies", "require", "require-dev"]
+    parsed = x.where(F.col("file").isin("package.json", "composer.json")).select("path", F.from_json("text", ", ".join(f"`{c}` map<string,string>" for c in sections)).alias("j"))
+
+    def named(section: str) -> Column:
+        one = F.transform(F.map_entries(F.col("j")[section]), lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("name"), e["value"].alias("version")))
+        return F.coalesce(one, F.array().cast("array<struct<section:string,name:string,version:string>>"))
+
+    each = F.explode(F.flatten(F.array(*map(named, sections))))
+    json_ = parsed.select("path", each.alias("d")).select("path", "d.*")
+    go = lines.where("file = 'go.mod'")
+    w = Window.partitionBy("path").orderBy("line_no")
+    state = F.last(F.when(F.rlike("line", F.lit(r"^require\s*\($")), True).when(F.col("line") == ")", False), ignorenulls=True).over(w)
+    go = go.withColumn("inside", F.coalesce(state, F.lit(False)))
+    one = F.rlike("line", F.lit(r"^require\s+[^(\s]"))
+    g = lambda i: F.regexp_extract("line", r"^(?:require\s+)?([^\s/(][^\s(]*)\s+(\S+)", i)
+    go = go.where((F.col("inside") | one) & ~F.rlike("line", F.lit(r"^(//|\)|require\s*\()"))).select("path", F.lit("require").alias("section"), g(1).alias("name"), g(2).alias("version")).where("name <> ''")
+    r = lambda i: F.regexp_extract("line", r"^gem\s+[\"']([^\"']+)[\"'](?:\s*,\s*[\"']([^\"']+)[\"'])?", i)
+    ruby = lines.where("file = 'Gemfile'").select("path", F.lit("gems").alias("section"), r(1).alias("name"), r(2).alias("version")).where("name <> ''")
+    return toml.unionByName(python).unionByName(json_).unionByName(go).unionByName(ruby)
+
+
 DENY = r"(^|[;&|]\s*)(sudo\s+)?(rm\s+-[a-z]*r[a-z]*f|rm\s+-[a-z]*f[a-z]*r|mkfs|dd\s+if=|shutdown|reboot|chmod\s+-R\s+777\s+/)"
 ASK = r"(^|[;&|]\s*)(sudo|rm|mv|kill|git\s+(push|reset|clean)|docker\s+(rm|rmi|system)|kubectl\s+delete|npm\s+publish)\b"
 REWRITE = r"^(cat|head|tail|grep|rg|find|tree|ls|wc)\b"

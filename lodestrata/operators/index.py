@@ -130,6 +130,8 @@ def candidates(posting: DataFrame, p: Plan) -> DataFrame:
     """
     if p.alternatives is None:
         return posting.select("doc_id").distinct()
+    if not p.alternatives:
+        return posting.where("false").select("doc_id")
     wanted = sorted({g for a in p.alternatives for g in a})
     bits = F.element_at(F.create_map(*[x for i, g in enumerate(wanted) for x in (F.lit(g), F.lit(1 << i if i < 62 else 0).cast("long"))]), F.col("gram"))
     if len(wanted) <= 62:
@@ -146,6 +148,25 @@ def candidates(posting: DataFrame, p: Plan) -> DataFrame:
     return seen.where(test).select("doc_id")
 
 
+def leaf_costs(posting: DataFrame, p: Plan) -> dict[str, int]:
+    """How many postings each gram of a plan has (0: none), by one pushed-down count; a plan has a few hundred grams at most."""
+    wanted = sorted({g for a in p.alternatives or () for g in a})
+    found = {r["gram"]: r["count"] for r in posting.where(F.col("gram").isin(wanted)).groupBy("gram").count().collect()} if wanted else {}
+    return {g: found.get(g, 0) for g in wanted}
+
+
+def cheapest(p: Plan, costs: dict[str, int], total: int, most: int = 3, percent: int = BYPASS_PERCENT) -> Plan:
+    """The plan with the `most` rarest grams of each alternative, rarest first: fewer postings to read, and the rarest one bounds the
+    candidates anyway. An alternative with a gram that no document has is left out. Where the rarest grams alone would let more than
+    `percent` of the documents through, the plain scan is as good: no plan."""
+    if p.alternatives is None:
+        return p
+    kept = tuple(tuple(sorted(set(a), key=lambda g: (costs[g], g))[:most]) for a in p.alternatives if all(costs[g] for g in a))
+    if sum(costs[a[0]] for a in kept) * 100 > percent * total:
+        return Plan(None, p.folded)
+    return Plan(kept, p.folded)
+
+
 def residual(posting: DataFrame, literal: str, n: int = 3) -> DataFrame:
     """doc_id of documents in which the literal's grams can stand at consistent places: rotated position masks have a common bit."""
     grams = list(dict.fromkeys(literal[i : i + n] for i in range(len(literal) - n + 1)))

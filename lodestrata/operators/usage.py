@@ -97,6 +97,29 @@ def compare(history: DataFrame, now: DataFrame, days: int = 7) -> DataFrame:
     return x.withColumn("n_delta", F.col("n_this") - F.col("n_last")).withColumn("saved_delta", F.col("saved_this") - F.col("saved_last"))
 
 
+def period(name: str, now: Column) -> tuple[Column, Column]:
+    """Start and end (exclusive) of this-day, last-day, this-week, last-week, this-month or last-month, in seconds: a week is seven days
+    that end today, a month thirty."""
+    which, unit = name.split("-")
+    days = {"day": 1, "week": 7, "month": 30}[unit]
+    start = F.floor(now / 86400) * 86400 - (days - 1) * 86400
+    return (start, now) if which == "this" else (start - days * 86400, start)
+
+
+def compare_periods(history: DataFrame, now: DataFrame, a: str = "this-week", b: str = "last-week") -> DataFrame:
+    """One row: count, bytes in, bytes out and saved of two named periods, and the differences of count and saved."""
+    h = history.crossJoin(F.broadcast(now))  # now: one row
+    t, at = F.unix_timestamp(F.col("ts").cast("timestamp")), F.unix_timestamp(F.col("now").cast("timestamp"))
+    sums = []
+    for label, name in (("a", a), ("b", b)):
+        start, end = period(name, at)
+        inside = (t >= start) & (t < end)
+        total = lambda c: F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0))  # noqa: B023, E731
+        sums += [F.count_if(inside).alias(f"n_{label}"), *[total(c).alias(f"{c}_{label}") for c in ("in_bytes", "out_bytes", "saved")]]
+    x = h.agg(*sums)
+    return x.withColumn("n_delta", F.col("n_a") - F.col("n_b")).withColumn("saved_delta", F.col("saved_a") - F.col("saved_b"))
+
+
 def economics(history: DataFrame) -> DataFrame:
     x = history.agg(F.coalesce(F.sum("in_bytes"), F.lit(0)).alias("i"), F.coalesce(F.sum("saved"), F.lit(0)).alias("s"))
     tokens = F.floor(F.col("s") / BYTES_PER_TOKEN).cast("long")

@@ -153,3 +153,10 @@ def nested_session_commands(spark, d):
     a = F.to_json(F.struct(F.lit("assistant").alias("type"), F.col("conv_id").alias("timestamp"), F.struct(F.array(call("run")).alias("content")).alias("message")))
     p = F.to_json(F.struct(F.lit("progress").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.struct(F.struct(F.struct(F.array(call("sub")).alias("content")).alias("message")).alias("message")).alias("data")))
     return U.nested_commands(c.select(F.when(F.col("role") == "assistant", a).when(F.col("role") == "user", p).otherwise(F.lit("not json")).alias("value")))
+
+
+@query(f"""SELECT *, n_a - n_b AS n_delta, saved_a - saved_b AS saved_delta FROM (SELECT count(*) FILTER (a) AS n_a, coalesce(sum(in_bytes) FILTER (a), 0)::BIGINT AS in_bytes_a, coalesce(sum(out_bytes) FILTER (a), 0)::BIGINT AS out_bytes_a, coalesce(sum(saved) FILTER (a), 0)::BIGINT AS saved_a,
+  count(*) FILTER (b) AS n_b, coalesce(sum(in_bytes) FILTER (b), 0)::BIGINT AS in_bytes_b, coalesce(sum(out_bytes) FILTER (b), 0)::BIGINT AS out_bytes_b, coalesce(sum(saved) FILTER (b), 0)::BIGINT AS saved_b
+  FROM (SELECT *, ts >= now::DATE - 6 AND floor(epoch(ts)) < floor(epoch(now)) AS a, ts >= now::DATE - 13 AND ts < now::DATE - 6 AS b FROM {H}, {NOW}))""")
+def gain_compare_calendar(spark, d):
+    return U.compare_periods(_h(spark, d), _now(spark, d))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ignore import tree_files
+
 #: Directory names left out of a walk by default (fixed values), besides the folder of an index.
 DEFAULT_EXCLUDES = [
     "node_modules", "target", "dist", "build", ".next", ".nuxt", "__pycache__", ".venv", "venv", "vendor", ".git", ".hg", ".svn",
@@ -46,16 +49,72 @@ def check_root(folder: str, indexed: bool = False) -> str:
     return plain
 
 
+#: What marks the root of a project.
+MARKERS = ["Cargo.toml", "package.json", "go.mod", "pyproject.toml", "setup.py", "pom.xml", "build.gradle", "Gemfile", "composer.json", "Makefile"]
+
+
+def find_root(start: str, markers: list[str] | None = None, home: str | None = None) -> str:
+    """The highest folder at or above start, below home, with a repository and a marker; else with a repository, else with a marker;
+    else start."""
+    at = os.path.abspath(start if os.path.isdir(start) else os.path.dirname(start) or ".")
+    first, top, best = at, home or os.path.expanduser("~"), {}
+    while at != top:
+        git = os.path.exists(os.path.join(at, ".git"))
+        marked = any(os.path.exists(os.path.join(at, m)) for m in (MARKERS if markers is None else markers))
+        for kind, holds in (("both", git and marked), ("git", git), ("marker", marked)):
+            if holds:
+                best[kind] = at
+        if at == os.path.dirname(at):
+            break
+        at = os.path.dirname(at)
+    return next((best[k] for k in ("both", "git", "marker") if k in best), first)
+
+
 def walk(spark: SparkSession, folder: str, excludes: list[str] | None = None, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """path (below the folder), text, size, mtime of its files: default excludes, size limit and binary sniff applied; sorted by path."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    raw = raw.withColumn("path", F.element_at(F.split("path", re.escape(folder.rstrip("/")) + "/", 2), -1))
-    parts = F.split("path", "/")
-    names = F.array(*[F.lit(x) for x in (DEFAULT_EXCLUDES if excludes is None else excludes)])
-    kept = raw.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), names) & size_within(F.col("length"), max_size))
-    text = F.decode("content", "UTF-8")
-    plain = kept.where(F.expr(f"NOT hex(substring(content, 1, {SNIFF_BYTES})) RLIKE '^(?:..)*?00'"))
-    return plain.select("path", text.alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).orderBy("path")
+    """path (below the folder), text, size, mtime of its files: hidden and ignored files, default excludes, large and binary ones left out;
+    sorted by path. A folder that is one file gives that file.
+
+    A folder of this machine's file system (which executors must see too) is listed by the driver, names only, and read by tasks. Any
+    other store is listed by Spark, which passes over names that start with . or _ and knows no ignore files.
+    """
+    names = DEFAULT_EXCLUDES if excludes is None else excludes
+    local = folder.removeprefix("file://")
+    if os.path.isfile(local):
+        raw = _read_files(spark, os.path.dirname(local) or ".", [os.path.basename(local)], max_size)
+    elif os.path.isdir(local):
+        raw = _read_files(spark, local, tree_files(local, set(names)), max_size)
+    else:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        raw = raw.withColumn("path", F.element_at(F.split("path", re.escape(folder.rstrip("/")) + "/", 2), -1))
+        parts = F.split("path", "/")
+        raw = raw.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*[F.lit(x) for x in names])) & size_within(F.col("length"), max_size))
+    plain = raw.where(F.expr(f"NOT hex(substring(content, 1, {SNIFF_BYTES})) RLIKE '^(?:..)*?00'"))
+    # bytes that are no UTF-8 become replacement characters
+    return plain.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).orderBy("path")
+
+
+def _read_files(spark: SparkSession, root: str, paths, max_size: int) -> DataFrame:
+    """path, content, length, modificationTime of the files that can be read."""
+    import pandas as pd
+
+    root = os.path.abspath(root)
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    info = os.stat(os.path.join(root, path))
+                    if max_size == 0 or info.st_size <= max_size:
+                        with open(os.path.join(root, path), "rb") as f:
+                            rows.append((path, f.read(), info.st_size, info.st_mtime_ns // 1000))
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "content", "length", "changed"])
+
+    read = spread(listed).mapInPandas(run, "path string, content binary, length long, changed long")
+    return read.select("path", "content", "length", F.timestamp_micros("changed").alias("modificationTime"))
 
 
 def size_within(size: Column, most: int) -> Column:
@@ -63,9 +122,14 @@ def size_within(size: Column, most: int) -> Column:
     return F.lit(True) if most == 0 else size <= most
 
 
-def is_binary(text: Column) -> Column:
+def is_binary(text: Column, first: int = SNIFF_BYTES) -> Column:
     """A NUL among the first characters."""
-    return F.contains(F.substring(text, 1, SNIFF_BYTES), F.lit("\0"))
+    return F.contains(F.substring(text, 1, first), F.lit("\0"))
+
+
+def embeddable(text: Column) -> Column:
+    """Texts that chunks and vectors are made of: no NUL among the first 512 characters."""
+    return ~is_binary(text, 512)
 
 
 def extension(path: Column) -> Column:

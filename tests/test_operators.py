@@ -288,3 +288,65 @@ def test_pairs_of_long_lines(spark, monkeypatch):
     want = {tuple(r) for r in K.pair_counts(docs).collect()}
     monkeypatch.setattr(K, "PART", 3)
     assert {tuple(r) for r in K.pair_counts(docs).collect()} == want and want
+
+
+def test_walk_honours_ignore_files(spark, tmp_path):
+    root = tmp_path / "w"
+    files = {
+        ".git/config": "", ".git/info/exclude": "private.txt\n", ".gitignore": "*.log\n!keep.log\n/out/\ndoc/**/draft\n# x\n\nb[0-9].txt\nsub/only.txt\n", "a.txt": "a", "x.log": "x", "keep.log": "k",
+        "out/a.txt": "x", "sub/out/a.txt": "y", "doc/one/two/draft/z.txt": "x", "doc/final.txt": "f", "b1.txt": "x", "bx.txt": "b", ".hidden/a.txt": "x", ".env": "x", "__init__.py": "i",
+        "sub/.gitignore": "!x.log\nlocal*\n", "sub/x.log": "s", "sub/local1": "x", "sub/only.txt": "x", "private.txt": "x", "node_modules/m.js": "x", "naïve.txt": "é",
+    }
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    want = ["__init__.py", "a.txt", "bx.txt", "doc/final.txt", "keep.log", "naïve.txt", "sub/out/a.txt", "sub/x.log"]
+    got = T.walk(spark, str(root)).collect()
+    assert [r["path"] for r in got] == want and {r["path"]: r["text"] for r in got}["naïve.txt"] == "é"
+    assert [r["path"] for r in T.walk(spark, str(root / "a.txt")).collect()] == ["a.txt"]
+    (root / "Cargo.toml").write_text("")
+    (root / "sub" / "go.mod").write_text("")
+    assert T.find_root(str(root / "sub" / "out"), home=str(tmp_path)) == str(root)
+    assert T.find_root(str(root / "sub"), home=str(root)) == str(root / "sub")
+
+
+def test_manifests(spark):
+    files = [
+        ("a/Cargo.toml", '[package]\nname = "x"\n[dependencies]\nserde = "1.0"\ntokio = { version = "1.2", features = ["full"] }\n'),
+        ("b/package.json", '{"name":"n","dependencies":{"left":"^1.0"},"devDependencies":{"right":"2"}}'),
+        ("c/composer.json", '{"require":{"php":">=8"}}'),
+        ("d/go.mod", "module m\n\ngo 1.21\nrequire one.org/a v1.0.0\nrequire (\n\tgithub.com/x/y v1.2.3\n\t// no\n\tz.org/w v0.1.0 // indirect\n)\n"),
+        ("e/requirements.txt", "# c\nflask==2.0  # web\n-r other.txt\nnumpy>=1.2,<2\nplain\nextra[socks]~=1.0\n"),
+        ("f/pyproject.toml", '[project]\nname = "p"\ndependencies = [\n  "click>=8",\n  "rich",\n]\n'),
+        ("g/Gemfile", "source 'x'\ngem 'rails', '~> 7.0'\ngem \"puma\"\n"),
+        ("h/other.txt", "gem 'no'"), ("i/package.json", "not json"), ("j/package.json", None),
+    ]
+    got = {tuple(r) for r in H.dependencies(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {
+        ("a/Cargo.toml", "dependencies", "serde", "1.0"), ("a/Cargo.toml", "dependencies", "tokio", "1.2"), ("b/package.json", "dependencies", "left", "^1.0"), ("b/package.json", "devDependencies", "right", "2"),
+        ("c/composer.json", "require", "php", ">=8"), ("d/go.mod", "require", "one.org/a", "v1.0.0"), ("d/go.mod", "require", "github.com/x/y", "v1.2.3"), ("d/go.mod", "require", "z.org/w", "v0.1.0"),
+        ("e/requirements.txt", "requirements", "flask", "==2.0"), ("e/requirements.txt", "requirements", "numpy", ">=1.2,<2"), ("e/requirements.txt", "requirements", "plain", ""), ("e/requirements.txt", "requirements", "extra", "~=1.0"),
+        ("f/pyproject.toml", "dependencies", "click", ">=8"), ("f/pyproject.toml", "dependencies", "rich", ""), ("g/Gemfile", "gems", "rails", "~> 7.0"), ("g/Gemfile", "gems", "puma", ""),
+    }
+
+
+def test_formats_and_costs(spark):
+    from lodestrata.functions import text as X
+    from lodestrata.operators import index as I
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(X.format_duration(F.lit(s))) for s in (0.0005, 0.0123, 2.5)] == ["500μs", "12.3ms", "2.50s"]
+    for s in ("abc", "abcdefghij", "ééééééé", "日本語日本語", "ab🙂cd🙂ef", ""):
+        for most in (3, 4, 7, 8, 9, 10):
+            raw = s.encode()
+            want = s if len(raw) <= most else raw[: most - 3].decode(errors="ignore") + "..."
+            assert one(X.truncate_bytes(F.lit(s), most)) == want, (s, most)
+    docs = spark.createDataFrame([(i, "abcdef" if i else "abcxyz") for i in range(10)], "doc_id long, text string")
+    p = I.postings(docs)
+    plan = I.Plan((("abc", "xyz", "cxy"), ("qqq",)))
+    costs = I.leaf_costs(p, plan)
+    assert costs == {"abc": 10, "cxy": 1, "qqq": 0, "xyz": 1}
+    best = I.cheapest(plan, costs, 10, most=1)
+    assert best.alternatives == (("cxy",),) and [r["doc_id"] for r in I.candidates(p, best).collect()] == [0]
+    assert I.cheapest(I.Plan((("abc",),)), costs, 10).alternatives is None
+    assert I.candidates(p, I.cheapest(I.Plan((("qqq",),)), costs, 10)).count() == 0
