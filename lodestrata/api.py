@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import compress, cooccur, filters, housekeeping, index, lines, symbols, usage
+from .operators import compress, cooccur, filters, housekeeping, index, lines, render, symbols, usage
 from .operators import search as _search
 from .operators.search import SearchOptions
 from .sources import tables
@@ -20,11 +20,11 @@ MODES = {
 }
 
 
-def search(corpus: DataFrame, options: SearchOptions | str, mode: str = "lines", postings: DataFrame | None = None, neighbours: DataFrame | None = None) -> DataFrame:
+def search(corpus: DataFrame, options: SearchOptions | str, mode: str = "lines", postings: DataFrame | None = None, neighbours: DataFrame | None = None, documents: int | None = None) -> DataFrame:
     """Search corpus(doc_id, path, text).
 
     mode: lines, context, count, files, ranges, stats, grouped, compact or json. With postings, documents are pruned by the index
-    first; with neighbours, a plain word also finds the words that occur with it. options.top: the best documents by BM25.
+    first (documents: how many there are, so that a useless plan is not followed); with neighbours, a plain word also finds the words that occur with it. options.top: the best documents by BM25.
     """
     from .functions.regexes import is_plain_word
 
@@ -32,7 +32,7 @@ def search(corpus: DataFrame, options: SearchOptions | str, mode: str = "lines",
     if neighbours is not None and is_plain_word(o.pattern):
         o.expand = cooccur.expansion(neighbours, o.pattern)
     if postings is not None:
-        corpus = index.pruned(corpus, postings, o)
+        corpus = index.pruned(corpus, postings, o, documents=documents)
     if o.top:
         return _search.bm25_topk(corpus, o, o.top)
     if mode in MODES:
@@ -41,6 +41,24 @@ def search(corpus: DataFrame, options: SearchOptions | str, mode: str = "lines",
     return {"grouped": _search.grouped, "compact": _search.compact, "json": _search.json_lines}[mode](rows)
 
 
+def respond(corpus: DataFrame, options: SearchOptions | str, mode: str = "lines", postings: DataFrame | None = None, most: int = 200) -> dict:
+    """A search as one answer: results (at most `most` rows), total, candidates, search_ms and error (None: it went well)."""
+    import time
+
+    began = time.perf_counter()
+    out = {"results": [], "total": 0, "candidates": 0, "error": None}
+    try:
+        o = SearchOptions(options) if isinstance(options, str) else options
+        left = corpus if postings is None else index.pruned(corpus, postings, o)
+        out["candidates"] = left.count()
+        rows = search(left, o, mode)
+        out["total"] = rows.count()
+        out["results"] = [r.asDict(recursive=True) for r in rows.limit(most).collect()]
+    except ValueError as e:  # the pattern is not one
+        out["error"] = str(e)
+    return out | {"search_ms": round((time.perf_counter() - began) * 1000, 3)}
+
+
 def build_index(spark: SparkSession, corpus: DataFrame, folder: str, generation: int) -> str:
     """Folded postings, which serve searches that ignore case and those that don't."""
     return index.publish(spark, index.postings(corpus, folded=True), folder, generation)
@@ -62,6 +80,6 @@ def index_status(postings: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "SearchOptions", "build_index", "compress", "cooccur", "filters", "housekeeping", "index", "index_status", "lines", "search",
+    "SearchOptions", "build_index", "compress", "cooccur", "filters", "housekeeping", "index", "index_status", "lines", "render", "respond", "search",
     "symbols", "tables", "update_index", "usage", "watch",
 ]

@@ -19,6 +19,7 @@ from .lines import split_lines
 
 LOC_BITS, ZONE_BITS = 8, 31
 BYPASS_PERCENT = 85
+MASKED_LITERALS = 4
 OVERLAY_DOCS, COMPACT_DOCS, COMPACT_SHARE = 100, 1000, 0.10
 
 
@@ -95,6 +96,7 @@ class Plan:
 
     alternatives: tuple[tuple[str, ...], ...] | None
     folded: bool = False
+    literals: tuple[str, ...] = ()  # of which a match holds one, where they are few enough to be told apart by masks
 
 
 def covering(literal: str, n: int = 3) -> tuple[str, ...]:
@@ -120,7 +122,7 @@ def plan(pattern: str, ignore_case: bool = False, n: int = 3, folded: bool | Non
         return Plan(None, folded)
     if folded:
         found = [x.translate({c: c + 32 for c in range(65, 91)}) for x in found]
-    return Plan(tuple(sorted({covering(x, n) for x in found})), folded)
+    return Plan(tuple(sorted({covering(x, n) for x in found})), folded, tuple(sorted(set(found))) if len(found) <= MASKED_LITERALS else ())
 
 
 def candidates(posting: DataFrame, p: Plan) -> DataFrame:
@@ -168,19 +170,32 @@ def cheapest(p: Plan, costs: dict[str, int], total: int, most: int = 3, percent:
 
 
 def residual(posting: DataFrame, literal: str, n: int = 3) -> DataFrame:
-    """doc_id of documents in which the literal's grams can stand at consistent places: rotated position masks have a common bit."""
-    grams = list(dict.fromkeys(literal[i : i + n] for i in range(len(literal) - n + 1)))
-    first = {g: literal.index(g) for g in grams}
-    rows = [(g, first[g] % LOC_BITS) for g in grams]
-    rel = F.element_at(F.create_map(*[x for g, r in rows for x in (F.lit(g), F.lit(r))]), F.col("gram"))
+    """doc_id of documents in which the literal's grams can stand at consistent places: all of them are there, each with the literal's
+    next character among those that follow it, and their position masks, turned back by their offsets, have a common bit."""
+    first: dict[str, int] = {}
+    for i in range(len(literal) - n + 1):
+        first.setdefault(literal[i : i + n], i)
+    value = lambda pairs: F.element_at(F.create_map(*[x for g, v in pairs for x in (F.lit(g), F.lit(v))]), F.col("gram"))
+    rel = value([(g, i % LOC_BITS) for g, i in first.items()])
+    # 0: the literal ends with the gram, so anything may follow
+    follows = value([(g, 1 << ord(literal[i + n]) * 31 % 8 if i + n < len(literal) else 0) for g, i in first.items()])
     mask = F.col("loc_mask").cast("int")
-    rotated = F.shiftright(mask, 0)
+    turned = mask
     for r in range(1, LOC_BITS):
         turn = (F.shiftright(mask, r)).bitwiseOR(F.shiftleft(mask, LOC_BITS - r)).bitwiseAND(F.lit(255))
-        rotated = F.when(rel == r, turn).otherwise(rotated)
-    x = posting.where(F.col("gram").isin(grams)).select("doc_id", "gram", rotated.alias("m"))
-    x = x.groupBy("doc_id").agg(F.count("*").alias("n"), F.bit_and("m").alias("common"))
-    return x.where((F.col("n") == len(grams)) & (F.col("common") != 0)).select("doc_id")
+        turned = F.when(rel == r, turn).otherwise(turned)
+    x = posting.where(F.col("gram").isin(list(first))).where((follows == 0) | (F.col("next_mask").cast("int").bitwiseAND(follows) != 0))
+    x = x.select("doc_id", turned.alias("m")).groupBy("doc_id").agg(F.count("*").alias("n"), F.bit_and("m").alias("common"))
+    return x.where((F.col("n") == len(first)) & (F.col("common") != 0)).select("doc_id")
+
+
+def masked(posting: DataFrame, p: Plan, n: int = 3) -> DataFrame:
+    """Fewer candidates than the plan's grams alone leave: by the masks, for each of the plan's literals."""
+    out = None
+    for literal in p.literals:
+        part = residual(posting, literal, n)
+        out = part if out is None else out.unionByName(part)
+    return out.distinct() if len(p.literals) > 1 else out
 
 
 def search(corpus: DataFrame, posting: DataFrame, o: S.SearchOptions, n: int = 3) -> DataFrame:
@@ -188,12 +203,21 @@ def search(corpus: DataFrame, posting: DataFrame, o: S.SearchOptions, n: int = 3
     return S.counts(pruned(corpus, posting, o, n), o)
 
 
-def pruned(corpus: DataFrame, posting: DataFrame, o: S.SearchOptions, n: int = 3) -> DataFrame:
-    """The documents that may match, by the postings; all of them where the postings can't tell."""
+def pruned(corpus: DataFrame, posting: DataFrame, o: S.SearchOptions, n: int = 3, documents: int | None = None) -> DataFrame:
+    """The documents that may match, by the postings; all of them where the postings can't tell.
+
+    documents: how many there are, if known. Then the plan's grams are counted first, and a plan that leaves nearly all is not followed.
+    """
     if o.expand:
         return corpus
     p = plan(S.search_pattern(o.pattern, o.fixed), o.ignore_case, n, is_folded(posting))
-    return corpus if p.alternatives is None else corpus.join(candidates(posting, p), "doc_id", "left_semi")
+    if documents is not None:
+        best = cheapest(p, leaf_costs(posting, p), documents)
+        p = Plan(best.alternatives, p.folded, p.literals if best.alternatives else ())
+    if p.alternatives is None:
+        return corpus
+    found = masked(posting, p, n) if p.literals and "next_mask" in posting.columns else candidates(posting, p)
+    return corpus.join(found, "doc_id", "left_semi")
 
 
 def worthwhile(posting: DataFrame, total: int, p: Plan, percent: int = BYPASS_PERCENT) -> bool:
