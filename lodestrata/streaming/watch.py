@@ -101,6 +101,47 @@ def held(events: DataFrame, order: str = "ts") -> DataFrame:
     return x.select("key", "path", "released").distinct()
 
 
+def held_stream(events: DataFrame, order: str = "ts") -> DataFrame:
+    """Stream form of held: how many holders of a key are open, and the paths that wait, are state. A path comes out when its hold ends,
+    so what is still held at the end has not come out yet (the batch form gives it without a time)."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+
+    def step(k: tuple, frames, state: GroupState):
+        open_, waiting = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+        out = {}
+        for pdf in frames:
+            pdf = pdf.sort_values([order, "seq"])
+            for at, kind, path in zip(pdf[order], pdf["kind"], pdf["path"], strict=True):
+                if kind == "begin":
+                    open_ += 1
+                elif kind == "end":
+                    open_ -= 1
+                    if open_ == 0:
+                        out |= {(p, at): None for p in waiting}
+                        waiting = []
+                elif kind == "change" and open_ > 0:
+                    if path not in waiting:
+                        waiting.append(path)
+                elif kind == "change":
+                    out[path, at] = None
+        state.update((open_, waiting))
+        yield pd.DataFrame([(k[0], p, at) for p, at in out], columns=["key", "path", "released"])
+
+    schema = f"key {kinds['key']}, path string, released {kinds[order]}"
+    return events.groupBy("key").applyInPandasWithState(step, schema, "open long, waiting array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def activity_changes(events: DataFrame, key: str, item: str, window: str = "300 seconds", slide: str = "10 seconds") -> DataFrame:
+    """start, key, items, fingerprint of the sliding windows in which a key's active items are others than in its window before."""
+    seen = events.groupBy(F.window("ts", window, slide)["start"].alias("start"), key).agg(F.sort_array(F.collect_set(F.col(item).cast("string"))).alias("items"))
+    seen = seen.withColumn("fingerprint", F.xxhash64("items"))
+    before = F.lag("fingerprint").over(Window.partitionBy(key).orderBy("start"))
+    return seen.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("fingerprint"))).drop("before")
+
+
 def hot_files(events: DataFrame, key: str, item: str, most: int = HOT_FILES) -> DataFrame:
     """key, items: the items of a key seen last, each once, at most so many, in order of their last sight."""
     last = events.groupBy(key, item).agg(F.max("ts").alias("ts"))

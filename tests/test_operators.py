@@ -384,3 +384,25 @@ def test_renderers(spark, tmp_path):
     assert R.command_output(spark.createDataFrame([("o", None), (None, "e"), ("o", "e")], "stdout string, stderr string")).select("text").collect() == [("o",), ("e",), ("oe",)]
     R.write_manifest(t, str(tmp_path / "m"))
     assert rows(R.read_manifest(spark, str(tmp_path / "m"), "name string, n long"), "name") == [("a", None), ("b", 2)]
+
+
+def test_hold_stream_over_micro_batches(spark, tmp_path):
+    import random
+
+    rng = random.Random(14)
+    data = [(rng.choice("ab"), i, i, rng.choice(["begin", "end", "change", "change", "change"]), f"p{rng.randrange(4)}") for i in range(90)]
+    data += [(k, 100 + i, 100 + i, "end", None) for k in "ab" for i in range(40)]
+    df = spark.createDataFrame(data, "key string, ts long, seq long, kind string, path string")
+    for lo, hi in ((0, 30), (30, 60), (60, 200)):
+        df.where(f"ts >= {lo} and ts < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = W.held_stream(stream).writeStream.format("memory").queryName("holds").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    want = sorted(tuple(r) for r in W.held(df).where("released is not null").collect())
+    assert want and sorted(tuple(r) for r in spark.table("holds").collect()) == want
+
+
+def test_activity_changes(spark):
+    e = spark.sql("SELECT timestamp_seconds(c1) AS ts, c2 AS key, c3 AS item FROM VALUES (0, 'k', 'x'), (20, 'k', 'y'), (500, 'k', 'x') AS t(c1, c2, c3)")
+    got = [(r["start"], r["items"]) for r in W.activity_changes(e, "key", "item").selectExpr("unix_seconds(start) AS start", "items").orderBy("start").collect()]
+    assert got == [(-290, ["x"]), (-270, ["x", "y"]), (10, ["y"]), (210, ["x"])]
