@@ -247,11 +247,11 @@ def read_signatures(corpus: DataFrame, rules: dict[str, str] | None = None) -> D
     return x.select("doc_id", "line_no", bare.alias("line"))
 
 
-def symbol_name(signature: Column) -> Column:
-    """The name after a definition's words, null where there is none."""
+def symbol_name(signature: Column, char: str = r"[\p{L}\p{N}_]") -> Column:
+    """The name after a definition's words, null where there is none; char: what names are made of."""
     words = r"(?:(?:pub(?:\([a-z]+\))?|export|default|async|abstract|public|private|protected|static|unsafe|final) )*"
     kinds = r"(?:fn|struct|enum|trait|impl|type|mod|const|static|function|class|interface|def|func) "
-    name = F.regexp_extract(F.trim(signature), f"^{words}{kinds}([\\p{{L}}\\p{{N}}_]+)", 1)
+    name = F.regexp_extract(F.trim(signature), f"^{words}{kinds}({char}+)", 1)
     return F.when(name != "", name)
 
 

@@ -84,3 +84,18 @@ def test_corpus_queries_read_the_corpus(spark, tmp_path):
     assert QUERIES["pair_total_documents"](spark, str(tmp_path)).first()["pairs"] == pairs.total()
     assert {r["token"]: r["n"] for r in QUERIES["tokens_documents"](spark, str(tmp_path)).collect()} == collections.Counter(t for x in tokens for line in x for t in line)
     assert QUERIES["line_entropy_documents"](spark, str(tmp_path)).count() == sum(t.count("\n") + 1 for t in texts)
+
+
+def against_sql(name, spark, tmp_path, texts):
+    """The rows of a query over a few documents, which must be those of its SQL."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((tuple(plain(r[x]) for x in df.columns) for r in df.collect()), key=repr)
+    assert got == sorted((tuple(map(plain, r)) for r in c.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()), key=repr)
+    return got
+
+
+def test_symbol_names_end_at_other_letters(spark, tmp_path):
+    assert against_sql("symbol_names", spark, tmp_path, ["The Laciónllo ab\nThe river", "The été"]) == [(0, 1, "Laci"), (0, 2, "river")]
