@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .lines import split_lines
 
 #: Tokens that are left out (fixed values).
@@ -97,6 +99,88 @@ def ppmi_neighbours(docs: DataFrame, window: int = WINDOW, min_pair: int = MIN_P
     return both.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
+class _Lines:
+    """Texts of a batch, each a list of token-bearing lines, as arrays: ids (by token), names, line (by token), start (first token by
+    line, and the end), low and high (first line, and the one after the last, within `window` lines in the text, by line)."""
+
+    def __init__(self, column, window: int):
+        of, tokens = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), column.flatten()
+        size = tokens.value_lengths().to_numpy(zero_copy_only=False)
+        coded = tokens.flatten().dictionary_encode()
+        self.ids, self.names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        self.start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.line = np.repeat(np.arange(len(size)), size)
+        end = np.cumsum(of)
+        text = np.repeat(np.arange(len(of)), of)
+        k = np.arange(len(size))
+        self.low, self.high = np.maximum(k - window, (end - of)[text]), np.minimum(k + window + 1, end[text])
+        # numbers of lines in which different texts are out of reach
+        self.place = k + text * (window + 1)
+        self.window = window
+
+    def pairs(self) -> int:
+        """Pairs of different tokens in one line or within the window."""
+        size = np.diff(self.start)
+        every = int((size * (self.start[:-1] - self.start[self.low])).sum()) + int((size * (size - 1) // 2).sum())
+        if not len(self.ids):
+            return 0
+        far = int(self.place[-1]) + 2 * self.window + 2
+        key = np.sort(self.ids * far + self.place[self.line] + self.window)
+        return every - int((np.arange(len(key)) - np.searchsorted(key, key - self.window)).sum())
+
+    def near(self, word: str) -> np.ndarray:
+        """By token id: occurrence pairs with a word."""
+        import pyarrow.compute as pc
+
+        i = pc.index(self.names, word).as_py()
+        out = np.zeros(len(self.names), dtype=np.int64)
+        if i >= 0:
+            at = self.line[self.ids == i]
+            for a, b in zip(self.start[self.low[at]].tolist(), self.start[self.high[at]].tolist(), strict=True):
+                np.add.at(out, self.ids[a:b], 1)
+            out[i] = 0
+        return out
+
+
+def neighbour_counts(docs: DataFrame, word: str, window: int = WINDOW) -> DataFrame:
+    """token, n (occurrences), near (pairs with the word), pairs (all pairs; in the row of no token), from one pass over whole texts.
+
+    Counts are summed by token in each batch of texts, so neither lines nor pairs are shuffled.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["token", "n", "near", "pairs"]
+        for batch in batches:
+            x = _Lines(batch.column(0), window)
+            n = np.bincount(x.ids, minlength=len(x.names))
+            zero = np.zeros(len(n), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([x.names.cast(pa.string()), pa.array(n), pa.array(x.near(word)), pa.array(zero)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0]), pa.array([0]), pa.array([x.pairs()])], names)
+
+    lines = F.filter(F.transform(F.split("text", "\n", -1), tokens_of), lambda x: F.size(x) > 0)
+    each = spread(docs.select("doc_id", "text")).select(lines.alias("lines")).mapInArrow(run, "token string, n long, near long, pairs long")
+    return each.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "near", "pairs")])
+
+
+def neighbours_of(docs: DataFrame, word: str, limit: int = EXPAND, window: int = WINDOW, min_pair: int = MIN_PAIR, min_token: int = MIN_TOKEN, keep: int = KEEP) -> list[str]:
+    """expansion(ppmi_neighbours(docs), word, limit), for which only the pairs of that word are counted."""
+    word = word.lower()
+    counts = neighbour_counts(docs, word, window).persist()  # a row a token
+    try:
+        total = counts.agg(F.sum("n").alias("tokens"), F.sum("pairs").alias("pairs"), F.coalesce(F.sum(F.when(F.col("token") == word, F.col("n"))), F.lit(0)).alias("own")).first()
+        if total["own"] < min_token:
+            return []
+        pa, pb = F.lit(total["own"]).cast("double") / F.lit(total["tokens"]), F.col("n").cast("double") / F.lit(total["tokens"])
+        pmi = F.log((F.col("near") / F.lit(max(total["pairs"], 1))) / F.greatest(pa * pb, F.lit(1e-12)))
+        p = counts.where((F.col("near") >= min_pair) & (F.col("n") >= min_token)).withColumn("pmi", pmi).where("pmi > 0")
+        p = p.withColumn("score", F.round(F.col("pmi") * F.log(F.col("near").cast("double") + 1), 9))
+        return [r[0] for r in p.orderBy(F.desc("score"), "token").select("token").limit(min(limit, keep)).collect()]
+    finally:
+        counts.unpersist()
+
+
 def expansion(neighbours: DataFrame, word: str, limit: int = EXPAND) -> list[str]:
     """The words that a query word is widened by: at most `limit` rows come to the driver."""
     rows = neighbours.where((F.col("token") == F.lit(word.lower())) & (F.col("rank") <= limit)).orderBy("rank").select("nb").collect()

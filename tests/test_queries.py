@@ -140,3 +140,21 @@ def test_line_entropy_of_grams_beyond_the_table(spark, tmp_path):
     for table in (0, 5, 10_000):
         assert sorted((tuple(map(plain, r)) for r in C.line_entropy(docs, table).collect()), key=repr) == want
     assert "Exchange hashpartitioning(doc_id" not in C.line_entropy(docs)._jdf.queryExecution().toString()
+
+
+def test_neighbours_of_one_word_are_those_of_all(spark):
+    """Only pairs of the word are counted; names, totals and order are those of the whole table."""
+    from lodestrata.operators import cooccur as C
+
+    rng = np.random.default_rng(3)
+    words = ["ing", "Oak elm", "elm", "fir", "yew", "ash birch", "", "box ing ing"]
+    docs = spark.createDataFrame([(i, "\n".join(rng.choice(words, rng.integers(1, 30)))) for i in range(60)] + [(98, ""), (99, None)], "doc_id long, text string")
+    counts = {r["token"]: (r["n"], r["near"], r["pairs"]) for r in C.neighbour_counts(docs, "ing").collect()}
+    pairs = {(r["a"], r["b"]): r["n"] for r in C.pair_counts(docs).collect()}
+    assert counts.pop(None) == (0, 0, sum(pairs.values()))
+    assert {t: n for t, (n, _, _) in counts.items()} == {r["token"]: r["n"] for r in C.token_counts(docs).collect()}
+    assert {t: m for t, (_, m, _) in counts.items() if m} == {(set(p) - {"ing"}).pop(): n for p, n in pairs.items() if "ing" in p}
+    every = C.ppmi_neighbours(docs)
+    for word in ("ing", "Elm", "none"):
+        assert C.neighbours_of(docs, word) == C.expansion(every, word)
+    assert C.neighbours_of(docs, "ing")
