@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,22 @@ def links_of(sets, queries, percent):
                 yield a, b
 
 
+def test_components_of_few_links_take_few_jobs(spark):
+    """Rounds over many links and one task over few give the same components; few links run no rounds."""
+    rng = np.random.default_rng(5)
+    for kind, name in (("long", int), ("string", "n{:03}é".format)):
+        # a chain, a star, loops, repeated and random links
+        links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(40)] + [(7, 7), (3, 4)] + rng.integers(200, 400, (120, 2)).tolist()
+        df = spark.createDataFrame([(name(a), name(b)) for a, b in links], f"a {kind}, b {kind}")
+        want = {tuple(r) for r in connected_components(df, few=0).collect()}
+        assert want == {tuple(r) for r in connected_components(df, few=30).collect()}
+        spark.sparkContext.setJobGroup(f"few-{kind}", "")
+        got = connected_components(df)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few-{kind}")) <= 8
+        assert want == {tuple(r) for r in got.collect()} and min(want) == (name(0), name(0))
+
+
 @pytest.mark.parametrize(("sf", "every"), [("sf0.01", 1), ("sf0.1", 100)])
 def test_components_of_the_test_tables(spark, sf, every):
     """sf0.01: all components against brute force. sf0.1: every link of the documents whose id is divisible by 100 is in one component."""
