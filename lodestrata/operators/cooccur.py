@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
+from .index import unique_ids
 from .lines import split_lines
 
 #: Tokens that are left out (fixed values).
@@ -83,20 +87,244 @@ def total_pairs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return a.crossJoin(b).select((F.col("a") - F.col("b")).cast("long").alias("pairs"))  # one row each
 
 
+#: Tokens by rank of frequency that have 16-bit numbers; a row of counts is an array of them.
+COMMON = 1 << 16
+#: Tokens of texts that a task holds at once (2 bytes each, 4 where they are not common), elements that it counts at once, and the
+#: least work of a task in elements.
+BLOCK, CHUNK, WORK = 1 << 27, 1 << 19, 1 << 29
+
+
+def _token_lines(docs: DataFrame) -> DataFrame:
+    """lines: of each text its lines, each an array of tokens. Rows of one doc_id are one text: their lines of one number are one line."""
+    each = spread(docs.select("doc_id", "text")).select("doc_id", F.transform(F.split("text", "\n", -1), tokens_of).alias("lines"))
+    if not unique_ids(docs):
+        longest = F.array_max(F.transform("all", F.size))
+        line = lambda i: F.flatten(F.transform("all", lambda x: F.coalesce(F.get(x, i), F.array().cast("array<string>"))))
+        each = each.groupBy("doc_id").agg(F.collect_list("lines").alias("all"))
+        each = each.select(F.when(F.size("all") > 0, F.transform(F.sequence(F.lit(0), longest - 1), line)).alias("lines"))
+    return each.select(F.filter("lines", lambda x: F.size(x) > 0).alias("lines"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder, which all machines share."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestrata-"))
+    return df.checkpoint(eager=True)
+
+
+def _batches(docs: DataFrame, window: int) -> DataFrame:
+    """A row a batch of texts: names (its tokens), n (how often each), ids (of each token, by line), sizes (of lines), docs (lines of
+    each text), pairs (of all tokens)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = _Lines(batch.column(0), window)
+            of = batch.column(0).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            n = np.bincount(x.ids, minlength=len(x.names))
+            arrays = [a.astype(np.int32).tobytes() for a in (x.ids, np.diff(x.start), of)]
+            yield pa.RecordBatch.from_pydict({"names": pa.array([x.names.cast(pa.string()).to_pylist()], pa.list_(pa.string())), "n": pa.array([n], pa.list_(pa.int64())), **{k: pa.array([v], pa.binary()) for k, v in zip(("ids", "sizes", "docs"), arrays, strict=True)}, "pairs": pa.array([x.pairs()])})
+
+    return _token_lines(docs).mapInArrow(run, "names array<string>, n array<long>, ids binary, sizes binary, docs binary, pairs long")
+
+
+def _coded(batches: DataFrame, names) -> DataFrame:
+    """common, rare: numbers (places in the broadcast names) of the tokens that are there, by line, those from COMMON on apart; ofc, ofr:
+    how many of both in each line; docs as in batches."""
+
+    def run(rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in rows:
+            for row in range(len(batch)):
+                x = {k: np.frombuffer(batch.column(k)[row].as_py(), np.int32) for k in ("ids", "sizes", "docs")}
+                number = pc.index_in(batch.column("names")[row].values.cast(pa.string()), value_set=names.value).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+                ids, line = number[x["ids"]] if len(number) else x["ids"], np.repeat(np.arange(len(x["sizes"])), x["sizes"])
+                common, rare = (ids >= 0) & (ids < COMMON), ids >= COMMON
+                of = [np.bincount(line[m], minlength=len(x["sizes"])).astype(np.int32) for m in (common, rare)]
+                arrays = {"common": ids[common].astype(np.uint16), "rare": ids[rare], "ofc": of[0], "ofr": of[1], "docs": x["docs"]}
+                yield pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()})
+
+    return batches.select("names", "ids", "sizes", "docs").mapInArrow(run, "common binary, rare binary, ofc binary, ofr binary, docs binary")
+
+
+class _Block:
+    """Some coded texts. rows(): of each token in a range what stands near it."""
+
+    def __init__(self, parts: list[dict], window: int, chunk: int):
+        self.chunk = chunk
+        self.ids = [np.concatenate([x.pop(k) for x in parts]) for k in ("common", "rare")]
+        self.start = [np.concatenate([[0], np.cumsum(np.concatenate([x[k] for x in parts]), dtype=np.int64)]) for k in ("ofc", "ofr")]
+        of = np.concatenate([x["docs"] for x in parts])
+        end, k = np.cumsum(of, dtype=np.int64), np.arange(int(of.sum()))
+        self.low, self.high = np.maximum(k - window, np.repeat(end - of, of)), np.minimum(k + window + 1, np.repeat(end, of))
+
+    def _near(self, kind: int, lines: np.ndarray):
+        """Arrays of the tokens near the lines, a line given twice counting twice; each of about a chunk of elements."""
+        a, b, ids = self.start[kind][self.low[lines]], self.start[kind][self.high[lines]], self.ids[kind]
+        cut = [0, *(np.flatnonzero(np.diff(np.cumsum(b - a) // self.chunk)) + 1).tolist(), len(lines)]
+        a, b = a.tolist(), b.tolist()
+        for i, j in zip(cut, cut[1:]):
+            if i < j:
+                yield np.concatenate([ids[u:v] for u, v in zip(a[i:j], b[i:j])])
+
+    def _counts(self, lines: np.ndarray, width: int) -> np.ndarray:
+        """By common token: how often near the lines."""
+        out, start, ids = np.zeros(width, np.int64), self.start[0], self.ids[0]
+        if int((start[self.high[lines]] - start[self.low[lines]]).sum()) <= 2 * len(ids):
+            for x in self._near(0, lines):
+                out += np.bincount(x, minlength=width)
+            return out
+        # each line once, by the number of lines that it is near to
+        size = len(self.low) + 1
+        weight = np.cumsum(np.bincount(self.low[lines], minlength=size) - np.bincount(self.high[lines], minlength=size))[:-1]
+        total = np.zeros(width)
+        for i in range(0, len(weight), 1 << 14):
+            j = min(i + (1 << 14), len(weight))
+            total += np.bincount(ids[start[i] : start[j]], weights=np.repeat(weight[i:j], np.diff(start[i : j + 1])), minlength=width)
+        return total.astype(np.int64)
+
+    def rows(self, first: int, last: int, common: int, width: int, least: int):
+        """token, near, n: common tokens that stand near it `least` times or more, and all such tokens near one that is not common."""
+        for kind, lo, hi in ((0, first, min(last, common)), (1, max(first, common), last)):
+            if lo >= hi:
+                continue
+            at = np.flatnonzero((self.ids[kind] >= lo) & (self.ids[kind] <= hi - 1))
+            own = self.ids[kind][at]
+            order = np.argsort(own, kind="stable")
+            lines = np.searchsorted(self.start[kind], at[order], "right") - 1
+            bounds = np.searchsorted(own[order], np.arange(lo, hi + 1))
+            for token, i, j in zip(range(lo, hi), bounds.tolist(), bounds[1:].tolist()):
+                if i == j:
+                    continue
+                counts = self._counts(lines[i:j], width)
+                near = np.flatnonzero(counts >= least)
+                n = counts[near]
+                if kind:
+                    more = np.sort(np.concatenate([*self._near(1, lines[i:j])]))
+                    edge = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1], [True]]))
+                    often = np.diff(edge)
+                    some = often >= least
+                    near, n = np.concatenate([near, more[edge[:-1]][some]]), np.concatenate([n, often[some]])
+                other = near != token
+                yield token, near[other], n[other]
+
+
+def _best(token: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the rows of highest score of each token: `keep`, and all that rounding could put among them."""
+    order = np.lexsort((-score, token))
+    t, s = token[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(t)))
+    return order[s >= np.repeat(s[first + np.minimum(keep, size) - 1], size) - 1e-6]
+
+
+def _candidates(coded: DataFrame, names, counts, first: int, last: int, blocks: int, tokens: int, pairs: int, window: int, min_pair: int, keep: int) -> DataFrame:
+    """token, nb, n, ca, cb: what can be among the `keep` best neighbours, from the rows of counts of a range of tokens. One task, which
+    reads all texts; it gives both directions of a pair of a common and another token, so common tokens can come from several tasks."""
+
+    def run(rows):
+        import pyarrow as pa
+
+        n_of, width = counts.value, min(COMMON, len(counts.value))
+        sums: dict[int, list] = {}
+        found, back, waiting = [], [], 0
+
+        def score(a, b, n):
+            share = np.maximum(n_of[a] / tokens * (n_of[b] / tokens), 1e-12)
+            pmi = np.log(n / max(pairs, 1) / share)
+            return pmi, pmi * np.log(n + 1.0)
+
+        def joined(parts):
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+        def chosen(token, near, n):
+            nonlocal back, waiting
+            near, n = near[n >= min_pair], n[n >= min_pair]
+            pmi, s = score(token, near, n)
+            some = pmi > -1e-9
+            near, n, s = near[some], n[some], s[some]
+            own = np.full(len(near), token)
+            i = _best(own, s, keep) if len(near) > keep else np.arange(len(near))
+            found.append((own[i], near[i], n[i]))
+            if token >= COMMON:
+                r = near < COMMON
+                back.append((near[r], own[r], n[r], s[r]))
+                waiting += int(r.sum())
+                if waiting > 1 << 22:
+                    x = joined(back)
+                    i = _best(x[0], x[3], keep)
+                    back, waiting = [tuple(c[i] for c in x)], 0
+
+        def count(parts):
+            for token, near, n in _Block(parts, window, CHUNK).rows(first, last, COMMON, width, min_pair if blocks == 1 else 1):
+                if blocks == 1:
+                    chosen(token, near, n)
+                else:
+                    sums.setdefault(token, []).append((near.astype(np.int32), n))
+
+        parts, held = [], 0
+        for batch in rows:
+            for row in range(len(batch)):
+                x = {k: np.frombuffer(batch.column(k)[row].as_py(), np.uint16 if k == "common" else np.int32) for k in batch.schema.names}
+                if blocks > 1 and parts and held + len(x["common"]) + len(x["rare"]) > BLOCK:
+                    count(parts)
+                    parts, held = [], 0
+                parts.append(x)
+                held += len(x["common"]) + len(x["rare"])
+        if parts:
+            count(parts)
+        for token in list(sums):
+            near, n = joined(sums.pop(token))
+            near, at = np.unique(near, return_inverse=True)
+            chosen(token, near, np.bincount(at, weights=n).astype(np.int64))
+        if back:
+            x = joined(back)
+            i = _best(x[0], x[3], keep)
+            found.append((x[0][i], x[1][i], x[2][i]))
+        if found:
+            a, b, n = joined(found)
+            for i in range(0, len(a), 1 << 16):
+                u, v = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([names.value.take(pa.array(u)), names.value.take(pa.array(v)), pa.array(n[i : i + (1 << 16)]), pa.array(n_of[u]), pa.array(n_of[v])], ["token", "nb", "n", "ca", "cb"])
+
+    return coded.coalesce(1).mapInArrow(run, "token string, nb string, n long, ca long, cb long")
+
+
 def ppmi_neighbours(docs: DataFrame, window: int = WINDOW, min_pair: int = MIN_PAIR, min_token: int = MIN_TOKEN, keep: int = KEEP) -> DataFrame:
-    """token, nb, score, rank: the neighbours of highest PMI * ln(count + 1), PMI > 0, of each token."""
-    tokens = token_counts(docs)
-    total = tokens.agg(F.greatest(F.sum("n"), F.lit(1)).alias("tokens"))
-    frequent = tokens.where(F.col("n") >= min_token)
-    p = pair_counts(docs, window, min_token).where(F.col("n") >= min_pair)
-    p = p.join(frequent.select(F.col("token").alias("a"), F.col("n").alias("ca")), "a").join(frequent.select(F.col("token").alias("b"), F.col("n").alias("cb")), "b")
-    p = p.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(total_pairs(docs, window)))  # one row each
-    pa, pb = F.col("ca").cast("double") / F.col("tokens"), F.col("cb").cast("double") / F.col("tokens")
-    pmi = F.log((F.col("n") / F.greatest(F.col("pairs"), F.lit(1))) / F.greatest(pa * pb, F.lit(1e-12)))
-    p = p.withColumn("pmi", pmi).where("pmi > 0").select("a", "b", F.round(F.col("pmi") * F.log(F.col("n").cast("double") + 1), 9).alias("score"))
-    both = p.select(F.col("a").alias("token"), F.col("b").alias("nb"), "score").union(p.select("b", "a", "score"))
+    """token, nb, score, rank: the neighbours of highest PMI * ln(count + 1), PMI > 0, of each token.
+
+    Texts are tokenised once and coded; a task counts all that stands near each of its tokens, from all coded texts, so no pair is
+    shuffled but the best of each token. The tokens of min_token occurrences are broadcast.
+    """
+    batches = _kept(_batches(docs, window))
+    total = batches.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)).alias("tokens")).first()
+    each = batches.select(F.explode(F.arrays_zip("names", "n")).alias("x")).groupBy(F.col("x.names").alias("token")).agg(F.sum("x.n").alias("n"))
+    frequent = each.where(F.col("n") >= min_token).toArrow().combine_chunks().sort_by([("n", "descending"), ("token", "ascending")])
+    counts, sc = frequent["n"].to_numpy(), docs.sparkSession.sparkContext
+    names, n = sc.broadcast(frequent["token"].combine_chunks()), sc.broadcast(counts)
+    # elements of a row of counts, as far as a mean line tells; a row has some work of its own
+    mass = int(counts.sum())
+    work = np.cumsum(np.minimum(counts * (2 * total["pairs"] / max(total["tokens"], 1)), 2.0 * mass) + 20_000)
+    coded, blocks = _kept(_coded(batches, names)), -(-mass // BLOCK) or 1
+    tasks = max(1, min(len(counts), max(int(work[-1] / WORK), 24 * blocks))) if len(counts) else 1
+    ends = [0, *np.searchsorted(work, work[-1] * np.arange(1, tasks) / tasks).tolist(), len(counts)] if len(counts) else [0, 0]
+    ranges = [(a, b) for a, b in zip(ends, ends[1:]) if a < b] or [(0, 0)]
+    each = [_candidates(coded, names, n, a, b, blocks, total["tokens"], total["pairs"], window, min_pair, keep) for a, b in ranges]
+    # Spark runs a union of single partitions alone as one task, so one part is not: it has no rows, which the plan can't know
+    none = coded.where("octet_length(docs) < 0").select(*[(F.hex("docs") if kind == "string" else F.octet_length("docs").cast(kind)).alias(c) for c, kind in each[0].dtypes])
+    p = reduce(DataFrame.union, each, none)
+    pa, pb = F.col("ca").cast("double") / F.lit(total["tokens"]), F.col("cb").cast("double") / F.lit(total["tokens"])
+    pmi = F.log((F.col("n") / F.lit(max(total["pairs"], 1))) / F.greatest(pa * pb, F.lit(1e-12)))
+    p = p.withColumn("pmi", pmi).where("pmi > 0").select("token", "nb", F.round(F.col("pmi") * F.log(F.col("n").cast("double") + 1), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "nb"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= keep)
+    return p.withColumn("rank", rank).where(F.col("rank") <= keep)
 
 
 class _Lines:

@@ -167,3 +167,24 @@ def test_line_entropy_of_rows_of_one_doc_id(spark):
     mean = round((math.log(3 / 3) + 2 * math.log(3 / 2)) / 3, 6)
     for table in (0, 2, 100):
         assert sorted(tuple(r) for r in C.line_entropy(docs, table).collect()) == [(0, 1, mean), (0, 1, mean), (1, 1, 0.0)]
+
+
+def test_neighbours_are_counted_by_token(spark, tmp_path, monkeypatch):
+    """No pair is joined; few common tokens, small chunks, several blocks and rows of one doc_id give the rows of the SQL."""
+    from lodestrata.operators import cooccur as C
+
+    rng = np.random.default_rng(4)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(6)]
+    share = np.arange(30, 0, -1) / np.arange(30, 0, -1).sum()
+    texts = ["\n".join(" ".join(rng.choice(words, rng.integers(0, 7), p=share)) for _ in range(rng.integers(1, 12))) for _ in range(50)] + ["", None, "rare"]
+    spark.createDataFrame([(i // 2 if i < 20 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.execute(f"SELECT token, nb, score, rank FROM ({ORACLES['ppmi_neighbours_documents']})").fetchall())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert want and "Join" not in C.ppmi_neighbours(docs)._jdf.queryExecution().executedPlan().toString()
+    for common, block, chunk in ((1 << 16, 1 << 27, 1 << 19), (9, 1 << 27, 64), (9, 300, 64)):
+        monkeypatch.setattr(C, "COMMON", common)
+        monkeypatch.setattr(C, "BLOCK", block)
+        monkeypatch.setattr(C, "CHUNK", chunk)
+        assert sorted(map(tuple, C.ppmi_neighbours(docs).select("token", "nb", "score", "rank").collect())) == want
