@@ -33,9 +33,6 @@ def tokens_of(line: Column) -> Column:
     return F.filter(low, lambda x: ~F.array_contains(stop, x) & ~F.rlike(x, F.lit("^([0-9]+$|u[0-9a-f]{4})")))
 
 
-PART = 1000
-
-
 def line_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, k, tokens: the lines with tokens, numbered from 1 within each text."""
     x = split_lines(docs.select("doc_id", "text")).withColumn("tokens", tokens_of(F.col("line"))).where(F.size("tokens") > 0)
@@ -52,27 +49,6 @@ def _by_line(docs: DataFrame) -> DataFrame:
     return x.groupBy("doc_id", "k", "token").agg(F.count("*").alias("c"))
 
 
-def pair_counts(docs: DataFrame, window: int = WINDOW, min_token: int = 1) -> DataFrame:
-    """a, b, n: how often two different tokens (a < b) stand in one line or within `window` token-bearing lines, by occurrences.
-
-    Tokens below min_token occurrences in all are left out before lines are joined. The join is on (text, line number): each line
-    is sent to itself and to the next lines of its text. A line of more than PART tokens is dealt to several tasks by its tokens, and
-    the lines it meets are sent to each of them.
-    """
-    w = Window.partitionBy("doc_id").orderBy("k")
-    parts = F.ceil(F.size("tokens") / PART).cast("int")
-    x = line_tokens(docs).withColumn("parts", F.array(parts, *[F.lead(parts, i).over(w) for i in range(1, window + 1)]))
-    x = x.select("doc_id", "k", "parts", F.explode("tokens").alias("token")).groupBy("doc_id", "k", "token").agg(F.count("*").alias("c"), F.first("parts").alias("parts"))
-    if min_token > 1:
-        frequent = x.groupBy("token").agg(F.sum("c").alias("t")).where(F.col("t") >= min_token).select("token")
-        x = x.join(frequent, "token", "left_semi")
-    left = x.select("doc_id", F.col("token").alias("t1"), F.col("c").alias("c1"), "k", F.posexplode("parts").alias("gap", "of")).where("of is not null")
-    left = left.withColumn("k", F.col("k") + F.col("gap")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    right = x.select("doc_id", "k", F.col("token").alias("t2"), F.col("c").alias("c2"), F.pmod(F.hash("token"), F.get("parts", F.lit(0))).alias("part"))
-    both = left.join(right, ["doc_id", "k", "part"]).where(((F.col("gap") == 0) & (F.col("t1") < F.col("t2"))) | ((F.col("gap") > 0) & (F.col("t1") != F.col("t2"))))
-    return both.groupBy(F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b")).agg(F.sum(F.col("c1") * F.col("c2")).alias("n"))
-
-
 def total_pairs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row, pairs: the sum of pair_counts without its join: all occurrence pairs by line lengths, less those of equal tokens."""
     x = _by_line(docs)
@@ -92,6 +68,9 @@ COMMON = 1 << 16
 #: Tokens of texts that a task holds at once (2 bytes each, 4 where they are not common), elements that it counts at once, and the
 #: least work of a task in elements.
 BLOCK, CHUNK, WORK = 1 << 27, 1 << 19, 1 << 29
+#: For all pairs: tokens that so few stand near are counted together, by sorting; the cost of a pair that is given, in elements; the
+#: least cost of a task; tokens of texts that it holds at once.
+PART, ROW, ROWS_WORK, ROWS_BLOCK = 4096, 200, 1 << 31, 1 << 25
 
 
 def _token_lines(docs: DataFrame) -> DataFrame:
@@ -117,8 +96,8 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def _batches(docs: DataFrame, window: int) -> DataFrame:
-    """A row a batch of texts: names (its tokens), n (how often each), ids (of each token, by line), sizes (of lines), docs (lines of
-    each text), pairs (of all tokens)."""
+    """A row a batch of texts: names (its tokens), n (how often each), near (how many tokens stand near each), ids (of each token, by
+    line), sizes (of lines), docs (lines of each text), pairs (of all tokens)."""
 
     def run(batches):
         import pyarrow as pa
@@ -127,10 +106,11 @@ def _batches(docs: DataFrame, window: int) -> DataFrame:
             x = _Lines(batch.column(0), window)
             of = batch.column(0).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             n = np.bincount(x.ids, minlength=len(x.names))
+            near = np.bincount(x.ids, (x.start[x.high] - x.start[x.low])[x.line], len(x.names)).astype(np.int64)
             arrays = [a.astype(np.int32).tobytes() for a in (x.ids, np.diff(x.start), of)]
-            yield pa.RecordBatch.from_pydict({"names": pa.array([x.names.cast(pa.string()).to_pylist()], pa.list_(pa.string())), "n": pa.array([n], pa.list_(pa.int64())), **{k: pa.array([v], pa.binary()) for k, v in zip(("ids", "sizes", "docs"), arrays, strict=True)}, "pairs": pa.array([x.pairs()])})
+            yield pa.RecordBatch.from_pydict({"names": pa.array([x.names.cast(pa.string()).to_pylist()], pa.list_(pa.string())), "n": pa.array([n], pa.list_(pa.int64())), "near": pa.array([near], pa.list_(pa.int64())), **{k: pa.array([v], pa.binary()) for k, v in zip(("ids", "sizes", "docs"), arrays, strict=True)}, "pairs": pa.array([x.pairs()])})
 
-    return _token_lines(docs).mapInArrow(run, "names array<string>, n array<long>, ids binary, sizes binary, docs binary, pairs long")
+    return _token_lines(docs).mapInArrow(run, "names array<string>, n array<long>, near array<long>, ids binary, sizes binary, docs binary, pairs long")
 
 
 def _coded(batches: DataFrame, names) -> DataFrame:
@@ -216,6 +196,162 @@ class _Block:
                 yield token, near[other], n[other]
 
 
+    def pairs(self, first: int, last: int, common: int, width: int, part: int):
+        """token, near, n, as arrays: of each token in a range the tokens of lower number that stand near it. The block holds no token
+        from `last` on."""
+        for kind, lo, hi in ((0, first, min(last, common)), (1, max(first, common), last)):
+            if lo >= hi:
+                continue
+            kinds = range(kind + 1)
+            ids, step = self.ids[kind], 1 << 22
+            at = np.concatenate([np.empty(0, np.int64), *(np.flatnonzero((ids[i : i + step] >= lo) & (ids[i : i + step] <= hi - 1)) + i for i in range(0, len(ids), step))])
+            own = ids[at].astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            own, lines = own[order] - lo, np.searchsorted(self.start[kind], at[order], "right") - 1
+            size = sum(self.start[k][self.high[lines]] - self.start[k][self.low[lines]] for k in kinds)
+            bounds = np.searchsorted(own, np.arange(hi - lo + 1))
+            cost = np.diff(np.concatenate([[0], np.cumsum(size)])[bounds])
+            few = cost <= part
+            for token in np.flatnonzero(~few).tolist():
+                mine = lines[bounds[token] : bounds[token + 1]]
+                counts = self._counts(mine, width)[: lo + token]
+                near = np.flatnonzero(counts)
+                n = counts[near]
+                if kind:
+                    more = np.sort(np.concatenate([*self._near(1, mine)]))
+                    more = more[more < lo + token]
+                    edge = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1], [True]])) if len(more) else np.zeros(1, np.int64)
+                    near, n = np.concatenate([near, more[edge[:-1]]]), np.concatenate([n, np.diff(edge)])
+                yield np.full(len(near), lo + token), near, n
+            keep = few[own]
+            own, lines = own[keep], lines[keep]
+            group = np.cumsum(np.where(few, cost, 0)) // self.chunk
+            cut = [0, *(np.flatnonzero(np.diff(group[own])) + 1).tolist(), len(own)]
+            for i, j in zip(cut, cut[1:]):
+                if i < j:
+                    yield self._sorted(own[i:j] + lo, lines[i:j], kinds, last)
+
+    def _sorted(self, own: np.ndarray, lines: np.ndarray, kinds, last: int):
+        """token, near, n of some tokens, given by occurrence, that few tokens stand near."""
+        base, bits = int(own[0]), max(last - 1, 1).bit_length()
+        kind = np.uint32 if (int(own[-1]) - base).bit_length() + bits <= 32 else np.int64
+        keys = []
+        for k in kinds:
+            a, b, ids = self.start[k][self.low[lines]], self.start[k][self.high[lines]], self.ids[k]
+            near, token = np.concatenate([ids[u:v] for u, v in zip(a.tolist(), b.tolist())]), np.repeat(own, b - a)
+            before = near < token
+            keys.append((token[before] - base).astype(kind) << kind(bits) | near[before].astype(kind))
+        key = np.concatenate(keys)
+        key.sort()
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        key = key[edge[:-1]]
+        return (key >> kind(bits)).astype(np.int64) + base, (key & kind((1 << bits) - 1)).astype(np.int64), np.diff(edge)
+
+
+def _before(x: dict, last: int) -> dict:
+    """Coded texts without the tokens from a number on."""
+    out = dict(x)
+    for ids, of in (("common", "ofc"), ("rare", "ofr")):
+        keep = x[ids] < last
+        end = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(x[of], dtype=np.int64)])]
+        out[ids], out[of] = x[ids][keep], np.diff(end).astype(np.int32)
+    return out
+
+
+def _together(coded: DataFrame, each: list[DataFrame]) -> DataFrame:
+    """A union whose parts are tasks of their own. Spark runs a union of single partitions alone as one task, so one part is not: it has
+    no rows, which the plan can't know."""
+    none = coded.where("octet_length(docs) < 0").select(*[(F.hex("docs") if kind == "string" else F.octet_length("docs").cast(kind)).alias(c) for c, kind in each[0].dtypes])
+    return reduce(DataFrame.union, each, none)
+
+
+def _all_pairs(coded: DataFrame, names, places, first: int, last: int, blocks: int, window: int) -> DataFrame:
+    """a, b, n: the pairs of a range of tokens with those of lower number. One task, which reads all texts."""
+
+    def run(rows):
+        import pyarrow as pa
+
+        place = places.value
+        words, width = names.value.take(pa.array(np.argsort(place))), min(COMMON, last)
+
+        def batches(found):
+            parts, waiting = [], 0
+            for x in found:
+                parts.append(x)
+                waiting += len(x[0])
+                if waiting >= 1 << 16:
+                    yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+                    parts, waiting = [], 0
+            if waiting:
+                yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+        def named(found):
+            for token, near, n in batches(found):
+                x, y = place[token], place[near]
+                a, b = np.minimum(x, y), np.maximum(x, y)
+                for i in range(0, len(n), 1 << 16):
+                    j = i + (1 << 16)
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(a[i:j])), words.take(pa.array(b[i:j])), pa.array(n[i:j])], ["a", "b", "n"])
+
+        sums = [np.empty(0, np.int64)] * 2
+
+        def count(parts):
+            """Adds the pairs of some texts to the sums, which are in order of pairs."""
+            nonlocal sums
+            found = [(token * last + near, n) for token, near, n in batches(_Block(parts, window, CHUNK).pairs(first, last, COMMON, width, PART))]
+            key, n = (np.concatenate(x) for x in zip(sums, *found, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+            sums = [key[edge], np.add.reduceat(n, edge) if len(edge) else n]
+
+        parts, held = [], 0
+        for batch in rows:
+            for row in range(len(batch)):
+                x = {k: np.frombuffer(batch.column(k)[row].as_py(), np.uint16 if k == "common" else np.int32) for k in batch.schema.names}
+                size = len(x["common"]) + len(x["rare"])
+                if blocks > 1 and parts and held + size > ROWS_BLOCK:
+                    count(parts)
+                    parts, held = [], 0
+                parts.append(_before(x, last))
+                held += size
+        if parts and blocks == 1:
+            yield from named(_Block(parts, window, CHUNK).pairs(first, last, COMMON, width, PART))
+        elif parts:
+            count(parts)
+            yield from named([(sums[0] // last, sums[0] % last, sums[1])])
+
+    return coded.coalesce(1).mapInArrow(run, "a string, b string, n long")
+
+
+def pair_counts(docs: DataFrame, window: int = WINDOW, min_token: int = 1) -> DataFrame:
+    """a, b, n: how often two different tokens (a < b) stand in one line or within `window` token-bearing lines, by occurrences.
+
+    Tokens below min_token occurrences in all are left out, not their lines. Texts are tokenised once and coded, tokens numbered by
+    frequency; a task counts what stands near each of its tokens among those of lower number, from all coded texts, so no pair is
+    joined or shuffled and each is given by one task. The tokens are broadcast.
+    """
+    import pyarrow.compute as pc
+
+    batches = _kept(_batches(docs.where("doc_id is not null"), window))
+    each = batches.select(F.explode(F.arrays_zip("names", "n", "near")).alias("x")).groupBy(F.col("x.names").alias("token")).agg(F.sum("x.n").alias("n"), F.sum("x.near").alias("near"))
+    frequent = each.where(F.col("n") >= min_token).toArrow().combine_chunks().sort_by([("n", "descending"), ("token", "ascending")])
+    words, counts, near, sc = frequent["token"].combine_chunks(), frequent["n"].to_numpy(), frequent["near"].to_numpy(), docs.sparkSession.sparkContext
+    place = np.empty(len(words), np.int32)
+    place[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words), dtype=np.int32)
+    names, places = sc.broadcast(words), sc.broadcast(place)
+    mass = int(counts.sum())
+    # elements counted for a token, and pairs given: no more than tokens of lower number
+    lower = near * (np.cumsum(counts) / max(mass, 1))
+    work = np.cumsum(4 * lower + ROW * np.minimum(lower**0.9, np.arange(len(counts))) + 2_000)
+    coded, blocks = _kept(_coded(batches, names)), -(-mass // ROWS_BLOCK) or 1
+    # sums over blocks are held until the end, so such tasks are smaller; a small input is dealt to all cores, where that is worth while
+    tasks = max(1, min(len(counts), max(int(work[-1] / ROWS_WORK * min(blocks, 2)), min(4 * sc.defaultParallelism, int(work[-1]) >> 26)))) if len(counts) else 1
+    ends = [0, *np.searchsorted(work, work[-1] * np.arange(1, tasks) / tasks).tolist(), len(counts)] if len(counts) else [0, 0]
+    ranges = [(a, b) for a, b in zip(ends, ends[1:]) if a < b] or [(0, 0)]
+    return _together(coded, [_all_pairs(coded, names, places, a, b, blocks, window) for a, b in ranges])
+
+
 def _best(token: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
     """Places of the rows of highest score of each token: `keep`, and all that rounding could put among them."""
     order = np.lexsort((-score, token))
@@ -316,10 +452,7 @@ def ppmi_neighbours(docs: DataFrame, window: int = WINDOW, min_pair: int = MIN_P
     tasks = max(1, min(len(counts), max(int(work[-1] / WORK), 24 * blocks))) if len(counts) else 1
     ends = [0, *np.searchsorted(work, work[-1] * np.arange(1, tasks) / tasks).tolist(), len(counts)] if len(counts) else [0, 0]
     ranges = [(a, b) for a, b in zip(ends, ends[1:]) if a < b] or [(0, 0)]
-    each = [_candidates(coded, names, n, a, b, blocks, total["tokens"], total["pairs"], window, min_pair, keep) for a, b in ranges]
-    # Spark runs a union of single partitions alone as one task, so one part is not: it has no rows, which the plan can't know
-    none = coded.where("octet_length(docs) < 0").select(*[(F.hex("docs") if kind == "string" else F.octet_length("docs").cast(kind)).alias(c) for c, kind in each[0].dtypes])
-    p = reduce(DataFrame.union, each, none)
+    p = _together(coded, [_candidates(coded, names, n, a, b, blocks, total["tokens"], total["pairs"], window, min_pair, keep) for a, b in ranges])
     pa, pb = F.col("ca").cast("double") / F.lit(total["tokens"]), F.col("cb").cast("double") / F.lit(total["tokens"])
     pmi = F.log((F.col("n") / F.lit(max(total["pairs"], 1))) / F.greatest(pa * pb, F.lit(1e-12)))
     p = p.withColumn("pmi", pmi).where("pmi > 0").select("token", "nb", F.round(F.col("pmi") * F.log(F.col("n").cast("double") + 1), 9).alias("score"))

@@ -188,3 +188,33 @@ def test_neighbours_are_counted_by_token(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(C, "BLOCK", block)
         monkeypatch.setattr(C, "CHUNK", chunk)
         assert sorted(map(tuple, C.ppmi_neighbours(docs).select("token", "nb", "score", "rank").collect())) == want
+
+
+def test_pairs_are_counted_by_token(spark, tmp_path, monkeypatch):
+    """No pair is joined or shuffled; few common tokens, small groups, several blocks, long lines and rows of one doc_id or none give the
+    rows of the SQL."""
+    from lodestrata.operators import cooccur as C
+
+    rng = np.random.default_rng(5)
+    words = [f"{a}{chr(97 + i)}" for a in ("w", "Ü", "𝐚", "\ufb01", "z9") for i in range(8)]
+    share = np.arange(40, 0, -1) / np.arange(40, 0, -1).sum()
+    texts = ["\n".join(" ".join(rng.choice(words, rng.integers(0, 7), p=share)) for _ in range(rng.integers(1, 12))) for _ in range(50)]
+    texts += ["", None, "rare", " ".join(rng.choice(words, 300)), "\n\nwa wa Üb\nonce\n\nwa"]
+    rows = [(i // 2 if i < 20 else i, t) for i, t in enumerate(texts)] + [(None, "wa wb none"), (None, "wa")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.execute(f"SELECT a, b, n FROM ({ORACLES['pair_counts_documents']})").fetchall())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["pair_counts_documents"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert want and "Join" not in plan and "Exchange" not in plan
+    for common, block, chunk, part, work in ((1 << 16, 1 << 25, 1 << 19, 4096, 1 << 31), (1 << 16, 1 << 25, 64, 0, 1 << 31), (9, 1 << 25, 64, 30, 50_000), (9, 300, 64, 200, 50_000), (9, 300, 1 << 19, 1 << 20, 1 << 31)):
+        monkeypatch.setattr(C, "COMMON", common)
+        monkeypatch.setattr(C, "ROWS_BLOCK", block)
+        monkeypatch.setattr(C, "CHUNK", chunk)
+        monkeypatch.setattr(C, "PART", part)
+        monkeypatch.setattr(C, "ROWS_WORK", work)
+        assert sorted(map(tuple, C.pair_counts(docs).collect())) == want
+    often = {r["token"] for r in C.token_counts(docs.where("doc_id is not null")).where("n >= 30").collect()}
+    assert sorted(map(tuple, C.pair_counts(docs, min_token=30).collect())) == [x for x in want if {*x[:2]} <= often] != want
+    assert C.pair_counts(docs.limit(0)).count() == 0
