@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -68,9 +69,9 @@ COMMON = 1 << 16
 #: Tokens of texts that a task holds at once (2 bytes each, 4 where they are not common), elements that it counts at once, and the
 #: least work of a task in elements.
 BLOCK, CHUNK, WORK = 1 << 27, 1 << 19, 1 << 29
-#: For all pairs: tokens that so few stand near are counted together, by sorting; the cost of a pair that is given, in elements; the
-#: least cost of a task; tokens of texts that it holds at once.
-PART, ROW, ROWS_WORK, ROWS_BLOCK = 4096, 200, 1 << 31, 1 << 25
+#: For all pairs: tokens that so few stand near are counted together, by sorting; the cost of a pair that is given and of an occurrence
+#: whose neighbours are looked up, in elements; the cost of a task; occurrences in a band, and a quarter of it those of a task's own tokens.
+PART, ROW, FIND, ROWS_WORK, ROWS_BLOCK = 4096, 200, 50, 1 << 32, 1 << 24
 
 
 def _token_lines(docs: DataFrame) -> DataFrame:
@@ -196,87 +197,176 @@ class _Block:
                 yield token, near[other], n[other]
 
 
-    def pairs(self, first: int, last: int, common: int, width: int, part: int):
-        """token, near, n, as arrays: of each token in a range the tokens of lower number that stand near it. The block holds no token
-        from `last` on."""
-        for kind, lo, hi in ((0, first, min(last, common)), (1, max(first, common), last)):
-            if lo >= hi:
-                continue
-            kinds = range(kind + 1)
-            ids, step = self.ids[kind], 1 << 22
-            at = np.concatenate([np.empty(0, np.int64), *(np.flatnonzero((ids[i : i + step] >= lo) & (ids[i : i + step] <= hi - 1)) + i for i in range(0, len(ids), step))])
-            own = ids[at].astype(np.int64)
-            order = np.argsort(own, kind="stable")
-            own, lines = own[order] - lo, np.searchsorted(self.start[kind], at[order], "right") - 1
-            size = sum(self.start[k][self.high[lines]] - self.start[k][self.low[lines]] for k in kinds)
-            bounds = np.searchsorted(own, np.arange(hi - lo + 1))
-            cost = np.diff(np.concatenate([[0], np.cumsum(size)])[bounds])
-            few = cost <= part
-            for token in np.flatnonzero(~few).tolist():
-                mine = lines[bounds[token] : bounds[token + 1]]
-                counts = self._counts(mine, width)[: lo + token]
-                near = np.flatnonzero(counts)
-                n = counts[near]
-                if kind:
-                    more = np.sort(np.concatenate([*self._near(1, mine)]))
-                    more = more[more < lo + token]
-                    edge = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1], [True]])) if len(more) else np.zeros(1, np.int64)
-                    near, n = np.concatenate([near, more[edge[:-1]]]), np.concatenate([n, np.diff(edge)])
-                yield np.full(len(near), lo + token), near, n
-            keep = few[own]
-            own, lines = own[keep], lines[keep]
-            group = np.cumsum(np.where(few, cost, 0)) // self.chunk
-            cut = [0, *(np.flatnonzero(np.diff(group[own])) + 1).tolist(), len(own)]
+def _together(none: DataFrame, each: list[DataFrame]) -> DataFrame:
+    """A union whose parts are tasks of their own. Spark runs a union of single partitions alone as one task, so one part is not: it has
+    no rows, which the plan can't know."""
+    each = [none, *each]
+    while len(each) > 1:
+        each = [reduce(DataFrame.union, each[i : i + 2]) for i in range(0, len(each), 2)]
+    return each[0]
+
+
+def _banded(batches: DataFrame, names, edges: np.ndarray) -> DataFrame:
+    """A row a batch of texts and band of tokens that it holds: ids (of the tokens in the band, by line), sizes (how many in each line),
+    docs (lines of each text). Numbers of tokens are places in the broadcast names; a band has those from one edge to the next, and ids
+    count from its first. Kept in the checkpoint folder by band, so that a task reads the bands that it needs."""
+
+    def run(rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        serial = TaskContext.get().partitionId() << 32
+        for batch in rows:
+            for row in range(len(batch)):
+                x = {k: np.frombuffer(batch.column(k)[row].as_py(), np.int32) for k in ("ids", "sizes", "docs")}
+                number = pc.index_in(batch.column("names")[row].values.cast(pa.string()), value_set=names.value).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+                ids, line = number[x["ids"]] if len(number) else x["ids"], np.repeat(np.arange(len(x["sizes"]), dtype=np.int32), x["sizes"])
+                at = np.flatnonzero(ids >= 0)
+                band = (np.searchsorted(edges, ids[at], "right") - 1).astype(np.min_scalar_type(len(edges)))
+                at = at[np.argsort(band, kind="stable")]
+                ends = np.cumsum(np.bincount(band, minlength=len(edges) - 1))
+                for k, (i, j) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                    if i < j:
+                        own = (ids[at[i:j]] - edges[k]).astype(_kind(edges, k))
+                        of = np.bincount(line[at[i:j]], minlength=len(x["sizes"]))
+                        of = of.astype(np.min_scalar_type(int(of.max())))
+                        yield pa.RecordBatch.from_pydict({"band": pa.array([k], pa.int32()), "batch": pa.array([serial]), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("ids", own), ("sizes", of), ("docs", x["docs"]))}})
+                serial += 1
+
+    schema = "band int, batch long, ids binary, sizes binary, docs binary"
+    coded, spark = batches.select("names", "ids", "sizes", "docs").mapInArrow(run, schema), batches.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/bands-{uuid.uuid4().hex}"
+    coded.write.partitionBy("band").parquet(path)
+    return spark.read.schema("batch long, ids binary, sizes binary, docs binary, band int").parquet(path)
+
+
+def _kind(edges: np.ndarray, band: int):
+    return np.uint16 if edges[band + 1] - edges[band] <= 1 << 16 else np.int32
+
+
+class _Near:
+    """ids: the tokens of a band, by line. own, low, high: of each occurrence of some tokens its token, and from where to where in ids
+    the tokens stand that are near it; in order of tokens, and of places for each."""
+
+    def __init__(self, ids: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, chunk: int):
+        self.ids, self.width, self.chunk = ids, width, chunk
+        at = np.flatnonzero(low < high)
+        at = at[np.argsort(own[at], kind="stable")]
+        self.own, self.low, self.high = own[at], low[at], high[at]
+
+    def _found(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The tokens near some occurrences, one given for each that it is near to."""
+        size = (high - low).astype(np.int64)
+        end = np.cumsum(size)
+        if end[-1] > 32 * len(size):
+            return np.concatenate([self.ids[u:v] for u, v in zip(low.tolist(), high.tolist())])
+        return self.ids[np.repeat(low - (end - size), size) + np.arange(end[-1])]
+
+    def _counts(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """By token of the band: how often near some occurrences of one token."""
+        end = np.cumsum(high - low, dtype=np.int64)
+        if end[-1] <= 2 * len(self.ids):
+            out = np.zeros(self.width, np.int64)
+            cut = [0, *(np.flatnonzero(np.diff(end // self.chunk)) + 1).tolist(), len(low)]
             for i, j in zip(cut, cut[1:]):
                 if i < j:
-                    yield self._sorted(own[i:j] + lo, lines[i:j], kinds, last)
-
-    def _sorted(self, own: np.ndarray, lines: np.ndarray, kinds, last: int):
-        """token, near, n of some tokens, given by occurrence, that few tokens stand near."""
-        base, bits = int(own[0]), max(last - 1, 1).bit_length()
-        kind = np.uint32 if (int(own[-1]) - base).bit_length() + bits <= 32 else np.int64
-        keys = []
-        for k in kinds:
-            a, b, ids = self.start[k][self.low[lines]], self.start[k][self.high[lines]], self.ids[k]
-            near, token = np.concatenate([ids[u:v] for u, v in zip(a.tolist(), b.tolist())]), np.repeat(own, b - a)
-            before = near < token
-            keys.append((token[before] - base).astype(kind) << kind(bits) | near[before].astype(kind))
-        key = np.concatenate(keys)
+                    out += np.bincount(self._found(low[i:j], high[i:j]), minlength=self.width)
+            return out
+        # each place once, by the number of occurrences that it is near to
+        out, near, step = np.zeros(self.width), 0, max(self.chunk, 1 << 14)
+        for i in range(0, len(self.ids), step):
+            x = self.ids[i : i + step]
+            (a, b), (c, d) = (np.searchsorted(y, [i, i + len(x)]) for y in (low, high))
+            weight = near + np.cumsum(np.bincount(low[a:b] - i, minlength=len(x)) - np.bincount(high[c:d] - i, minlength=len(x)))
+            out += np.bincount(x, weights=weight, minlength=self.width)
+            near = int(weight[-1])
+        return out.astype(np.int64)
+
+    def pairs(self, first: int, part: int):
+        """token, near, n, as arrays: of each own token the tokens of the band that stand near it and have a lower number. first: the
+        number of own token 0, counted from the band's first."""
+        tokens = int(self.own[-1]) + 1 if len(self.own) else 0
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(self.own, minlength=tokens))])
+        cost = np.diff(np.concatenate([[0], np.cumsum(self.high - self.low, dtype=np.int64)])[bounds])
+        few = cost <= max(part, min(self.width >> 4, self.chunk))
+        for token in np.flatnonzero(~few).tolist():
+            i, j = bounds[token], bounds[token + 1]
+            counts = self._counts(self.low[i:j], self.high[i:j])[: first + token]
+            near = np.flatnonzero(counts)
+            yield np.full(len(near), token), near, counts[near]
+        at = np.flatnonzero(few[self.own])
+        own, low, high = self.own[at], self.low[at], self.high[at]
+        bits = max(self.width - 1, 1).bit_length()
+        group = np.cumsum(np.where(few, cost, 0)) // self.chunk
+        cut = [0, *(np.flatnonzero(np.diff(group[own]) | np.diff(own >> max(32 - bits, 0))) + 1).tolist(), len(own)]
+        for i, j in zip(cut, cut[1:]):
+            if i < j:
+                yield self._sorted(own[i:j], low[i:j], high[i:j], first, bits)
+
+    def _sorted(self, own: np.ndarray, low: np.ndarray, high: np.ndarray, first: int, bits: int):
+        """The same of some tokens, by sorting."""
+        base, kind = int(own[0]), np.uint32 if bits <= 32 else np.int64
+        near, token = self._found(low, high), np.repeat(own, high - low)
+        if first + base < self.width:
+            before = near < token + first
+            near, token = near[before], token[before]
+        key = (token - base).astype(kind) << kind(bits) | near.astype(kind)
         key.sort()
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
         key = key[edge[:-1]]
         return (key >> kind(bits)).astype(np.int64) + base, (key & kind((1 << bits) - 1)).astype(np.int64), np.diff(edge)
 
 
-def _before(x: dict, last: int) -> dict:
-    """Coded texts without the tokens from a number on."""
-    out = dict(x)
-    for ids, of in (("common", "ofc"), ("rare", "ofr")):
-        keep = x[ids] < last
-        end = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(x[of], dtype=np.int64)])]
-        out[ids], out[of] = x[ids][keep], np.diff(end).astype(np.int32)
-    return out
-
-
-def _together(coded: DataFrame, each: list[DataFrame]) -> DataFrame:
-    """A union whose parts are tasks of their own. Spark runs a union of single partitions alone as one task, so one part is not: it has
-    no rows, which the plan can't know."""
-    none = coded.where("octet_length(docs) < 0").select(*[(F.hex("docs") if kind == "string" else F.octet_length("docs").cast(kind)).alias(c) for c, kind in each[0].dtypes])
-    return reduce(DataFrame.union, each, none)
-
-
-def _all_pairs(coded: DataFrame, names, places, first: int, last: int, blocks: int, window: int) -> DataFrame:
-    """a, b, n: the pairs of a range of tokens with those of lower number. One task, which reads all texts."""
+def _band_pairs(coded: DataFrame, names, places, edges: np.ndarray, band: int, first: int, last: int, window: int) -> DataFrame:
+    """a, b, n: the pairs of a range of tokens with those of a band that have lower numbers. One task, which reads the band and those of
+    the range."""
+    lo, hi = int(edges[band]), int(edges[band + 1])
+    own = range(int(np.searchsorted(edges, first, "right")) - 1, int(np.searchsorted(edges, last)))
 
     def run(rows):
         import pyarrow as pa
 
-        place = places.value
-        words, width = names.value.take(pa.array(np.argsort(place))), min(COMMON, last)
-
-        def batches(found):
+        def found():
+            """token, low, high of each occurrence of the range's tokens, and the band's tokens, batch by batch."""
+            waiting, done, parts = {}, 0, len(own) + (band not in own)
+            for batch in rows:
+                for row in range(len(batch)):
+                    k, serial = batch.column("band")[row].as_py(), batch.column("batch")[row].as_py()
+                    docs = np.frombuffer(batch.column("docs")[row].as_py(), np.int32)
+                    ids, sizes = np.frombuffer(batch.column("ids")[row].as_py(), _kind(edges, k)), batch.column("sizes")[row].as_py()
+                    start = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, f"u{len(sizes) // int(docs.sum())}"), dtype=np.int64)])
+                    x = waiting.setdefault(serial, {"own": [], "near": None})
+                    if k in own:
+                        token = ids.astype(np.int64) + (int(edges[k]) - first)
+                        at = np.flatnonzero((token >= 0) & (token < last - first))
+                        x["own"].append((token[at].astype(np.int32), np.searchsorted(start, at, "right") - 1))
+                    if k == band:
+                        x["near"] = ids, start, docs
+            for serial in sorted(waiting):
+                x = waiting.pop(serial)
+                if x["near"] is None or not x["own"]:
+                    continue
+                ids, start, docs = x["near"]
+                token, line = (np.concatenate(c) for c in zip(*x["own"], strict=True))
+                end = np.cumsum(docs, dtype=np.int64)
+                text = np.searchsorted(end, line, "right")
+                low, high = np.maximum(line - window, (end - docs)[text]), np.minimum(line + window + 1, end[text])
+                yield ids, token, *(start[y] + done for y in (low, high))
+                done += len(ids)
+
+        parts = list(found())
+        if not parts:
+            return
+        ids, token, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        block = _Near(ids, token, low, high, hi - lo, CHUNK)
+        words = pa.concat_arrays([names.value.slice(first, last - first), names.value.slice(lo, hi - lo)])
+        one, two = places.value[first:last], places.value[lo:hi]
+
+        def batches():
             parts, waiting = [], 0
-            for x in found:
+            for x in block.pairs(first - lo, PART):
                 parts.append(x)
                 waiting += len(x[0])
                 if waiting >= 1 << 16:
@@ -285,51 +375,24 @@ def _all_pairs(coded: DataFrame, names, places, first: int, last: int, blocks: i
             if waiting:
                 yield [np.concatenate(c) for c in zip(*parts, strict=True)]
 
-        def named(found):
-            for token, near, n in batches(found):
-                x, y = place[token], place[near]
-                a, b = np.minimum(x, y), np.maximum(x, y)
-                for i in range(0, len(n), 1 << 16):
-                    j = i + (1 << 16)
-                    yield pa.RecordBatch.from_arrays([words.take(pa.array(a[i:j])), words.take(pa.array(b[i:j])), pa.array(n[i:j])], ["a", "b", "n"])
-
-        sums = [np.empty(0, np.int64)] * 2
-
-        def count(parts):
-            """Adds the pairs of some texts to the sums, which are in order of pairs."""
-            nonlocal sums
-            found = [(token * last + near, n) for token, near, n in batches(_Block(parts, window, CHUNK).pairs(first, last, COMMON, width, PART))]
-            key, n = (np.concatenate(x) for x in zip(sums, *found, strict=True))
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-            sums = [key[edge], np.add.reduceat(n, edge) if len(edge) else n]
-
-        parts, held = [], 0
-        for batch in rows:
-            for row in range(len(batch)):
-                x = {k: np.frombuffer(batch.column(k)[row].as_py(), np.uint16 if k == "common" else np.int32) for k in batch.schema.names}
-                size = len(x["common"]) + len(x["rare"])
-                if blocks > 1 and parts and held + size > ROWS_BLOCK:
-                    count(parts)
-                    parts, held = [], 0
-                parts.append(_before(x, last))
-                held += size
-        if parts and blocks == 1:
-            yield from named(_Block(parts, window, CHUNK).pairs(first, last, COMMON, width, PART))
-        elif parts:
-            count(parts)
-            yield from named([(sums[0] // last, sums[0] % last, sums[1])])
+        for token, near, n in batches():
+            swap = one[token] > two[near]
+            near += last - first
+            a, b = np.where(swap, near, token), np.where(swap, token, near)
+            for i in range(0, len(n), 1 << 16):
+                j = i + (1 << 16)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(a[i:j])), words.take(pa.array(b[i:j])), pa.array(n[i:j])], ["a", "b", "n"])
 
-    return coded.coalesce(1).mapInArrow(run, "a string, b string, n long")
+    return coded.where(F.col("band").isin(*{band, *own})).coalesce(1).mapInArrow(run, "a string, b string, n long")
 
 
 def pair_counts(docs: DataFrame, window: int = WINDOW, min_token: int = 1) -> DataFrame:
     """a, b, n: how often two different tokens (a < b) stand in one line or within `window` token-bearing lines, by occurrences.
 
     Tokens below min_token occurrences in all are left out, not their lines. Texts are tokenised once and coded, tokens numbered by
-    frequency; a task counts what stands near each of its tokens among those of lower number, from all coded texts, so no pair is
-    joined or shuffled and each is given by one task. The tokens are broadcast.
+    frequency and cut into bands of about as many occurrences; a task counts what of one band stands near each of its tokens and has a
+    lower number, from the texts' tokens of those bands alone, so no pair is joined or shuffled and each is given by one task. The tokens
+    are broadcast.
     """
     import pyarrow.compute as pc
 
@@ -340,16 +403,27 @@ def pair_counts(docs: DataFrame, window: int = WINDOW, min_token: int = 1) -> Da
     place = np.empty(len(words), np.int32)
     place[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words), dtype=np.int32)
     names, places = sc.broadcast(words), sc.broadcast(place)
-    mass = int(counts.sum())
-    # elements counted for a token, and pairs given: no more than tokens of lower number
-    lower = near * (np.cumsum(counts) / max(mass, 1))
-    work = np.cumsum(4 * lower + ROW * np.minimum(lower**0.9, np.arange(len(counts))) + 2_000)
-    coded, blocks = _kept(_coded(batches, names)), -(-mass // ROWS_BLOCK) or 1
-    # sums over blocks are held until the end, so such tasks are smaller; a small input is dealt to all cores, where that is worth while
-    tasks = max(1, min(len(counts), max(int(work[-1] / ROWS_WORK * min(blocks, 2)), min(4 * sc.defaultParallelism, int(work[-1]) >> 26)))) if len(counts) else 1
-    ends = [0, *np.searchsorted(work, work[-1] * np.arange(1, tasks) / tasks).tolist(), len(counts)] if len(counts) else [0, 0]
-    ranges = [(a, b) for a, b in zip(ends, ends[1:]) if a < b] or [(0, 0)]
-    return _together(coded, [_all_pairs(coded, names, places, a, b, blocks, window) for a, b in ranges])
+    before = np.concatenate([[0], np.cumsum(counts)])
+    mass, bands = max(int(before[-1]), 1), -(-int(before[-1]) // ROWS_BLOCK)
+    edges = np.unique([0, *np.searchsorted(before, mass * np.arange(1, bands) / max(bands, 1)).tolist(), len(counts)])
+    works = []
+    for lo, hi in zip(edges, edges[1:]):
+        # elements counted for a token, and pairs given: no more than tokens of the band that have lower numbers
+        share = np.minimum(before[lo:-1], before[hi]) - before[lo]
+        some = near[lo:] * (share / mass)
+        rows = np.minimum(some**0.9, np.minimum(np.arange(len(counts) - lo), hi - lo))
+        works.append(4 * np.minimum(some, 2.0 * (before[hi] - before[lo])) + ROW * rows + FIND * counts[lo:] + 100)
+    coded, total = _banded(batches, names, edges), sum(float(x.sum()) for x in works)
+    # a small input is dealt to all cores, where that is worth while
+    aim = min(ROWS_WORK, total / max(1, min(4 * sc.defaultParallelism, int(total) >> 26)))
+    tasks = []
+    for band, work in enumerate(works):
+        lo = int(edges[band])
+        part = np.cumsum(np.maximum(work / aim, counts[lo:] * (4 / ROWS_BLOCK))).astype(np.int64)
+        ends = [lo, *(np.flatnonzero(np.diff(part)) + lo + 1).tolist(), len(counts)]
+        tasks += [_band_pairs(coded, names, places, edges, band, a, b, window) for a, b in zip(ends, ends[1:])]
+    none = coded.where("band < 0").select(F.hex("ids").alias("a"), F.hex("ids").alias("b"), F.col("batch").alias("n"))
+    return _together(none, tasks)
 
 
 def _best(token: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
@@ -452,7 +526,8 @@ def ppmi_neighbours(docs: DataFrame, window: int = WINDOW, min_pair: int = MIN_P
     tasks = max(1, min(len(counts), max(int(work[-1] / WORK), 24 * blocks))) if len(counts) else 1
     ends = [0, *np.searchsorted(work, work[-1] * np.arange(1, tasks) / tasks).tolist(), len(counts)] if len(counts) else [0, 0]
     ranges = [(a, b) for a, b in zip(ends, ends[1:]) if a < b] or [(0, 0)]
-    p = _together(coded, [_candidates(coded, names, n, a, b, blocks, total["tokens"], total["pairs"], window, min_pair, keep) for a, b in ranges])
+    none = coded.where("octet_length(docs) < 0").select(*[F.hex("docs").alias(c) for c in ("token", "nb")], *[F.octet_length("docs").cast("long").alias(c) for c in ("n", "ca", "cb")])
+    p = _together(none, [_candidates(coded, names, n, a, b, blocks, total["tokens"], total["pairs"], window, min_pair, keep) for a, b in ranges])
     pa, pb = F.col("ca").cast("double") / F.lit(total["tokens"]), F.col("cb").cast("double") / F.lit(total["tokens"])
     pmi = F.log((F.col("n") / F.lit(max(total["pairs"], 1))) / F.greatest(pa * pb, F.lit(1e-12)))
     p = p.withColumn("pmi", pmi).where("pmi > 0").select("token", "nb", F.round(F.col("pmi") * F.log(F.col("n").cast("double") + 1), 9).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import datetime
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -218,3 +219,33 @@ def test_pairs_are_counted_by_token(spark, tmp_path, monkeypatch):
     often = {r["token"] for r in C.token_counts(docs.where("doc_id is not null")).where("n >= 30").collect()}
     assert sorted(map(tuple, C.pair_counts(docs, min_token=30).collect())) == [x for x in want if {*x[:2]} <= often] != want
     assert C.pair_counts(docs.limit(0)).count() == 0
+
+
+def test_pairs_read_bands_alone(spark, tmp_path, monkeypatch):
+    """A task of pairs reads the bands of its tokens and of those near them, not all texts; bands are of bounded size."""
+    from lodestrata.operators import cooccur as C
+
+    rng = np.random.default_rng(6)
+    texts = ["\n".join(" ".join(rng.choice(list("αβγδεζηθικλμ"), rng.integers(1, 6)) + rng.choice(["", "x", "y"])) for _ in range(8)) for _ in range(30)]
+    monkeypatch.setattr(C, "ROWS_BLOCK", 150)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["pair_counts_documents"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    read = [{*map(int, re.findall(r"\d+", x))} for x in re.findall(r"PartitionFilters: \[[^]]*band#\d+ (?:IN|=) ([(\d, )]+)", plan)]
+    every = set().union(*read)
+    assert len(every) > 3 and max(map(len, read)) < len(every), plan[:3000]
+    against_sql("pair_counts_documents", spark, tmp_path / "again", texts)
+
+
+def test_near_tokens_of_a_band():
+    """By one place after another, by each place once, and by sorting, in and above the band of the tokens."""
+    from lodestrata.operators import cooccur as C
+
+    rng = np.random.default_rng(7)
+    for width, first, part, chunk in ((7, 3, 0, 5), (7, 7, 0, 1 << 19), (40, 0, 10, 64), (5000, 4990, 0, 700), (1 << 17, (1 << 17) - 5, 50, 1 << 19)):
+        ids = np.minimum(rng.zipf(1.3, 900), width).astype(np.int32) - 1
+        own = np.minimum(rng.zipf(1.2, 700), 30).astype(np.int32) - 1
+        low = np.sort(rng.integers(0, 890, 700))
+        high = np.minimum(np.maximum.accumulate(low + rng.integers(0, 60, 700)), 900)
+        want = collections.Counter((t, x) for t, a, b in zip(own.tolist(), low.tolist(), high.tolist(), strict=True) for x in ids[a:b].tolist() if x < t + first)
+        got = [tuple(map(int, r)) for x in C._Near(ids, own, low, high, width, chunk).pairs(first, part) for r in zip(*x, strict=True)]
+        assert {(t, x): n for t, x, n in got} == want and len(got) == len(want)
