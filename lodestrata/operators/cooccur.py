@@ -352,15 +352,16 @@ def _band_pairs(coded: DataFrame, names, places, edges: np.ndarray, band: int, f
                 end = np.cumsum(docs, dtype=np.int64)
                 text = np.searchsorted(end, line, "right")
                 low, high = np.maximum(line - window, (end - docs)[text]), np.minimum(line + window + 1, end[text])
-                yield ids, token, *(start[y] + done for y in (low, high))
+                kind = np.int32 if done + len(ids) < 1 << 31 else np.int64
+                yield ids, token, *((start[y] + done).astype(kind) for y in (low, high))
                 done += len(ids)
 
-        parts = list(found())
+        parts = [list(x) for x in zip(*found(), strict=True)]
         if not parts:
             return
-        ids, token, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
+        ids, token, low, high = (np.concatenate(parts.pop(0)) for _ in range(4))
         block = _Near(ids, token, low, high, hi - lo, CHUNK)
+        del token, low, high
         words = pa.concat_arrays([names.value.slice(first, last - first), names.value.slice(lo, hi - lo)])
         one, two = places.value[first:last], places.value[lo:hi]
 
